@@ -2,10 +2,12 @@
 
 Documents with equal shingle sets are first joined by a fingerprint of the set, so a group of copies goes
 on as one row. Each remaining row has BANDS * ROWS minima. Rows that share a band are candidates. Within a
-bucket every row is first compared with the bucket's smallest row only; then, in buckets which the links
-found so far leave in several components, rows of different components. So every pair of one bucket is
-compared, or already known to be connected, without a table of all pairs of a large group. A pair at
-similarity 0.8 shares no band with probability (1 - 0.8**ROWS)**BANDS, about 5e-6.
+bucket every row is first compared with the bucket's smallest row only. In buckets which the links so far
+leave in several components, one row of each component is compared with one of each other; then, where that
+still leaves several, all rows of different components. So every pair of one bucket is compared, or already
+known to be connected, without a table of all pairs of a large group: two rows whose exact overlaps with the
+bucket's first row rule out the threshold, and that share no shingle beyond it, aren't paired. A pair at similarity 0.8 shares no band
+with probability (1 - 0.8**ROWS)**BANDS, about 8e-6.
 
 A candidate's signatures are compared in batches. After n values of which m agree, the posterior of the
 similarity (uniform prior) is Beta(m + 1, n - m + 1); the pair is dropped once the probability that it
@@ -26,7 +28,9 @@ from pyspark.sql import DataFrame, functions as F
 from citeloom.llm import arrays as A
 from citeloom.llm.shared import components, stored
 
-BANDS, ROWS, MISS, BATCH = 40, 6, 1e-6, 24
+BANDS, ROWS, MISS, BATCH = 64, 8, 1e-5, 32
+#: Values of a signature that are kept for the comparison.
+VALUES = 512
 _rng = np.random.default_rng(7)
 _SCALE = (_rng.integers(1, 2**32, (BANDS * ROWS, 2), dtype=np.uint32) | 1).astype(np.uint32)
 U = np.uint64
@@ -78,7 +82,7 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
                 "n_shingles": pa.array(size.astype(np.int64)),
                 "print_a": pa.array(prints[:, 0].view(np.int64)),
                 "print_b": pa.array(prints[:, 1].view(np.int64)),
-                "signature": pa.array([x.tobytes() for x in (least & 0xFF).astype(np.uint8)], pa.binary()),
+                "signature": pa.array([x.tobytes() for x in (least[:, :VALUES] & 0xFF).astype(np.uint8)], pa.binary()),
                 "keys": pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), value),
             }
         )
@@ -92,7 +96,7 @@ def least_agreeing(threshold: float, miss: float = MISS) -> list[tuple[int, int]
     """
     t = threshold + (1 - threshold) / 256
     out = []
-    for n in range(BATCH, BANDS * ROWS + 1, BATCH):
+    for n in range(BATCH, VALUES + 1, BATCH):
         total, m = 0.0, -1
         while total < miss:
             m += 1
@@ -104,7 +108,7 @@ def least_agreeing(threshold: float, miss: float = MISS) -> list[tuple[int, int]
 def _verified(batches: Iterator[pa.RecordBatch], rules: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
-        one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, BANDS * ROWS) for c in ("signature_a", "signature_b"))
+        one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, VALUES) for c in ("signature_a", "signature_b"))
         alive, agree, at = np.arange(n), np.zeros(n, np.int64), 0
         for to, need in rules:
             agree[alive] += (one[alive, at:to] == two[alive, at:to]).sum(1)
@@ -112,14 +116,18 @@ def _verified(batches: Iterator[pa.RecordBatch], rules: list[tuple[int, int]]) -
         yield batch.select(["a", "b"]).take(pa.array(alive))
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _confirmed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Sizes of both sets and of what they share, and the hashes of what only b has."""
     for batch in A.slices(batches, "text_a"):
         n = batch.num_rows
         (one, of_one), (two, of_two) = (distinct(*shingles_of(batch.column(c), width)) for c in ("text_a", "text_b"))
-        _, at, _ = np.intersect1d(A.keyed(one, of_one), A.keyed(two, of_two), assume_unique=True, return_indices=True)
-        both = np.bincount(of_one[at], minlength=n)
-        union = np.bincount(of_one, minlength=n) + np.bincount(of_two, minlength=n) - both
-        yield batch.select(["a", "b"]).filter(pa.array((both > 0) & (100 * both >= percent * union)))
+        _, at, shared = np.intersect1d(A.keyed(one, of_one), A.keyed(two, of_two), assume_unique=True, return_indices=True)
+        only = np.ones(len(two), bool)
+        only[shared] = False
+        size = lambda of: np.bincount(of, minlength=n).astype(np.int64)
+        ends = np.append(0, np.cumsum(size(of_two[only]))).astype(np.int32)
+        extra = pa.ListArray.from_arrays(pa.array(ends), pa.array(two[only].view(np.int64)))
+        yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(size(of_one)), pa.array(size(of_two)), pa.array(size(of_one[at])), extra], ["a", "b", "n_a", "n_b", "both", "extra"])
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -144,22 +152,42 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
         ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
         texts = stored(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
         pairs = likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-        return pairs.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirmed(it, width, percent), "a long, b long")
+        return pairs.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirmed(it, width), "a long, b long, n_a long, n_b long, both long, extra array<long>")
 
-    # The size of a bucket's first row isn't carried: Bayes and the sets see to it.
-    edges = stored(linked(bands.join(buckets, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()))
+    similar = f"both > 0 and 100 * both >= {percent} * (n_a + n_b - both)"
+    star = stored(linked(bands.join(buckets, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()))
+    edges = star.where(similar).select("a", "b")
     found = components(edges)
-    # What these links leave apart.
-    member = bands.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("part"))
-    open_ = member.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key", "first")
-    rest = stored(member.join(open_, "key").where("doc_id <> first").select("key", "doc_id", "n_shingles", "part"))
-    pairs = rest.toDF("key", "a", "n_a", "part_a").join(rest.toDF("key", "b", "n_b", "part_b"), "key").where(f"a < b and part_a <> part_b and {sizes}").select("a", "b").distinct()
-    more = stored(linked(pairs))
-    if more.isEmpty():
-        final = found
-    else:
-        final = components(edges.union(more))
-    of_rep = alone.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
+    measured = star.select(F.col("a").alias("first"), F.col("b").alias("doc_id"), "both")
+    # What these links leave apart: first one row of each component in a bucket, picked anew in each bucket, then
+    # all rows of different components.
+    for each in (True, False):
+        parts = found.withColumnRenamed("node", "doc_id")
+        member = bands.join(parts, "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("part"))
+        open_ = member.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key", "first")
+        rest = member.join(open_, "key").where("doc_id <> first").join(measured, ["first", "doc_id"], "left")
+        if each:
+            rest = rest.groupBy("key", "part").agg(F.min_by(F.struct("doc_id", "n_shingles"), F.xxhash64("doc_id", "key")).alias("x"), F.first("first").alias("first"))
+            rest = rest.select("key", "x.doc_id", "x.n_shingles", "part", "first", F.lit(None).cast("long").alias("both"))
+        rest = stored(rest.select("key", "doc_id", "n_shingles", "part", "both", "first"))
+        apart = f"a < b and part_a <> part_b and {sizes}"
+        # Two sets share at most what the smaller shares with the bucket's first, unless they share something else.
+        bound = f"(both_a is null or both_b is null or 100 * least(both_a, both_b) >= {percent} * (n_a + n_b - least(both_a, both_b)))"
+        one, two = (rest.select("key", F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("part").alias(f"part_{x}"), F.col("both").alias(f"both_{x}")) for x in "ab")
+        pairs = one.join(two, "key").where(f"{apart} and {bound}").select("a", "b")
+        if not each:
+            family = rest.where("both is not null").select("first", "doc_id", "n_shingles", "part").distinct()
+            family = family.join(star.select(F.col("a").alias("first"), F.col("b").alias("doc_id"), "extra"), ["first", "doc_id"])
+            family = family.join(parts.toDF("first", "first_part"), "first", "left").withColumn("outside", F.expr("part <> coalesce(first_part, first)"))
+            shingle = family.select("first", "doc_id", "n_shingles", "part", "outside", F.explode("extra").alias("shingle"))
+            one, two = (shingle.where(w).select("first", "shingle", F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("part").alias(f"part_{x}")) for x, w in (("a", "outside"), ("b", "true")))
+            close = one.join(two, ["first", "shingle"]).where(f"part_a <> part_b and {sizes}")
+            pairs = pairs.union(close.select(F.least("a", "b"), F.greatest("a", "b")))
+        more = stored(linked(pairs.distinct()).where(similar).select("a", "b"))
+        if not more.isEmpty():
+            edges = edges.union(more)
+            found = components(edges)
+    of_rep = alone.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", *same).join(of_rep, same, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 

@@ -4,16 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import minhash_dedup
+from citeloom.llm import license_scan, minhash_dedup, pattern_packing, repetition_rules, secret_scan, seed_decontamination, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file is, here and on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"), width=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup,)}
-ORACLES: dict[str, str] = {}
+def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pattern_packing.pack(_read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition_rules.repetition(_read(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(_read(spark, sf_dir, "documents"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(_read(spark, sf_dir, "documents"))
+
+
+def op10_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seed_decontamination.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_pattern_packing, op3_repetition_rules, op4_token_counts, op6_license_scan, op9_secret_scan, op10_seed_decontamination)}
+ORACLES: dict[str, str] = {"op6_license_scan": license_scan.oracle_sql()}
