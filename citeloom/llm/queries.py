@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import license_scan, minhash_dedup, pattern_packing, repetition_rules, secret_scan, seed_decontamination, token_counts
+from citeloom.llm import gru_language, license_scan, minhash_dedup, pattern_packing, pii_sanitise, repetition_rules, secret_scan, seed_decontamination, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,10 +34,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op5_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_language.predict_languages(_read(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(_read(spark, sf_dir, "documents"))
 
 
+def op8_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_sanitise.report(_read(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(_read(spark, sf_dir, "documents"))
 
@@ -46,5 +54,18 @@ def op10_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seed_decontamination.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_pattern_packing, op3_repetition_rules, op4_token_counts, op6_license_scan, op9_secret_scan, op10_seed_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_dedup,
+        op2_pattern_packing,
+        op3_repetition_rules,
+        op4_token_counts,
+        op5_gru_language,
+        op6_license_scan,
+        op8_pii_sanitise,
+        op9_secret_scan,
+        op10_seed_decontamination,
+    )
+}
 ORACLES: dict[str, str] = {"op6_license_scan": license_scan.oracle_sql()}

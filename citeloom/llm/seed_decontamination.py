@@ -23,7 +23,7 @@ from citeloom.llm import arrays as A
 from citeloom.llm.shared import stored
 
 #: Kept token positions are 1. Any 13 tokens with two substitutions hit at least one of these.
-MASKS = ("1111011", "1101111", "11100111", "111111")
+MASKS = ("1111011", "1101111", "11100111", "11111")
 WINDOW, AGREE, BITS = 13, 80, 1 << 25
 U = np.uint64
 
