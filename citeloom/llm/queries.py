@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import gru_language, license_scan, minhash_dedup, pattern_packing, pii_sanitise, repetition_rules, secret_scan, seed_decontamination, token_counts
+from citeloom.llm import gru_language, kneser_ney_quality, license_scan, minhash_dedup, pattern_packing, pii_sanitise, repetition_rules, secret_scan, seed_decontamination, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(_read(spark, sf_dir, "documents"))
 
 
+def op7_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney_quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op8_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_sanitise.report(_read(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES = {
         op4_token_counts,
         op5_gru_language,
         op6_license_scan,
+        op7_kneser_ney_quality,
         op8_pii_sanitise,
         op9_secret_scan,
         op10_seed_decontamination,
