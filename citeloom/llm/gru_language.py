@@ -200,6 +200,20 @@ def label(docs: DataFrame, network: Network | None) -> DataFrame:
     return docs.mapInArrow(lambda it: _labelled(it, network), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def _fitting(batches: Iterator[pa.RecordBatch], network: Network | None, least: float) -> Iterator[pa.RecordBatch]:
+    for batch in A.slices(batches, "text"):
+        if network is not None:
+            p, letters = network.pooled(batch.column("text"))
+            batch = batch.filter(pa.array((letters > 0) & (p.max(1) >= least)))
+        yield batch
+
+
+def keep_known(docs: DataFrame, network: Network | None, least: float) -> DataFrame:
+    """The rows of docs, with all columns, whose text gets a language with a score of least or more. Without a
+    network no row can be judged, and all stay."""
+    return docs.mapInArrow(lambda it: _fitting(it, network, least), docs.schema)
+
+
 def predict_languages(docs: DataFrame) -> DataFrame:
     """As label(), by a network learned from the rows of docs (with lang) that are not held out."""
     return label(docs, learn(docs.where(~held_out(F.col("doc_id")))))

@@ -58,6 +58,12 @@ def op10_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seed_decontamination.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,6 +77,7 @@ QUERIES = {
         op8_pii_sanitise,
         op9_secret_scan,
         op10_seed_decontamination,
+        pipeline,
     )
 }
 ORACLES: dict[str, str] = {"op6_license_scan": license_scan.oracle_sql()}
