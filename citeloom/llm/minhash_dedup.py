@@ -23,14 +23,16 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from citeloom.llm import arrays as A
 from citeloom.llm.shared import components, stored
 
 BANDS, ROWS, MISS, BATCH = 64, 8, 1e-5, 32
-#: Values of a signature that are kept for the comparison.
-VALUES = 512
+#: Values of a signature that are kept for the comparison, and those that are compared first.
+VALUES, FEW = 512, 64
+#: Rows of its first row's component from which on a bucket's other rows are all measured against that row.
+FAMILY = 8
 _rng = np.random.default_rng(7)
 _SCALE = (_rng.integers(1, 2**32, (BANDS * ROWS, 2), dtype=np.uint32) | 1).astype(np.uint32)
 U = np.uint64
@@ -105,12 +107,14 @@ def least_agreeing(threshold: float, miss: float = MISS) -> list[tuple[int, int]
     return out
 
 
-def _verified(batches: Iterator[pa.RecordBatch], rules: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterator[pa.RecordBatch], rules: list[tuple[int, int]], values: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
-        one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, VALUES) for c in ("signature_a", "signature_b"))
+        one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, values) for c in ("signature_a", "signature_b"))
         alive, agree, at = np.arange(n), np.zeros(n, np.int64), 0
         for to, need in rules:
+            if to > values:
+                break
             agree[alive] += (one[alive, at:to] == two[alive, at:to]).sum(1)
             alive, at = alive[agree[alive] >= need], to
         yield batch.select(["a", "b"]).take(pa.array(alive))
@@ -135,58 +139,86 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     percent = round(100 * threshold)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(docs.mapInArrow(lambda it: _signed(it, width), "doc_id long, n_shingles long, print_a long, print_b long, signature binary, keys array<long>"))
-    full = signed.where("n_shingles > 0")
     same = ["n_shingles", "print_a", "print_b"]
     # Copies go on as the row with the smallest doc_id.
-    alone = full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    reps = stored(full.join(alone.withColumnRenamed("rep", "doc_id"), ["doc_id", *same], "left_semi").dropDuplicates(["doc_id"]))
+    alone = signed.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
+    reps = stored(signed.join(alone.withColumnRenamed("rep", "doc_id"), ["doc_id", *same], "left_semi").dropDuplicates(["doc_id"]))
     bands = reps.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
-    signature = reps.select("doc_id", "signature")
-    buckets = bands.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    sizes = "100 * least(n_a, n_b) >= {0} * greatest(n_a, n_b)".format(percent)
+    crowded = bands.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    crowded = stored(bands.join(crowded, "key"))
     rules = least_agreeing(percent / 100)
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(signature.toDF("a", "signature_a"), "a").join(signature.toDF("b", "signature_b"), "b")
-        likely = stored(pairs.select("a", "b", "signature_a", "signature_b").mapInArrow(lambda it: _verified(it, rules), "a long, b long"))
-        ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
+    similar = f"both > 0 and 100 * both >= {percent} * (n_a + n_b - both)"
+    sizes = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Pairs that Bayesian verification leaves: by the signatures' first batches, then by all."""
+        for values in (FEW, VALUES):
+            part = reps.select("doc_id", F.substring("signature", 1, values).alias("signature"))
+            both = pairs.join(part.toDF("a", "signature_a"), "a").join(part.toDF("b", "signature_b"), "b")
+            pairs = stored(both.select("a", "b", "signature_a", "signature_b").mapInArrow(lambda it, v=values: _verified(it, rules, v), "a long, b long"))
+        return pairs
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        """a, b, n_a, n_b, both (shingles), extra (hashes of what only b has) from full sets."""
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         texts = stored(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-        pairs = likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-        return pairs.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirmed(it, width), "a long, b long, n_a long, n_b long, both long, extra array<long>")
+        both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+        return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirmed(it, width), "a long, b long, n_a long, n_b long, both long, extra array<long>"))
 
-    similar = f"both > 0 and 100 * both >= {percent} * (n_a + n_b - both)"
-    star = stored(linked(bands.join(buckets, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()))
+    star = measured(likely(crowded.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()))
     edges = star.where(similar).select("a", "b")
     found = components(edges)
-    measured = star.select(F.col("a").alias("first"), F.col("b").alias("doc_id"), "both")
-    # What these links leave apart: first one row of each component in a bucket, picked anew in each bucket, then
-    # all rows of different components.
-    for each in (True, False):
+
+    def apart() -> DataFrame:
+        """Rows of the buckets that hold several components."""
         parts = found.withColumnRenamed("node", "doc_id")
-        member = bands.join(parts, "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("part"))
-        open_ = member.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key", "first")
-        rest = member.join(open_, "key").where("doc_id <> first").join(measured, ["first", "doc_id"], "left")
-        if each:
-            rest = rest.groupBy("key", "part").agg(F.min_by(F.struct("doc_id", "n_shingles"), F.xxhash64("doc_id", "key")).alias("x"), F.first("first").alias("first"))
-            rest = rest.select("key", "x.doc_id", "x.n_shingles", "part", "first", F.lit(None).cast("long").alias("both"))
-        rest = stored(rest.select("key", "doc_id", "n_shingles", "part", "both", "first"))
-        apart = f"a < b and part_a <> part_b and {sizes}"
-        # Two sets share at most what the smaller shares with the bucket's first, unless they share something else.
-        bound = f"(both_a is null or both_b is null or 100 * least(both_a, both_b) >= {percent} * (n_a + n_b - least(both_a, both_b)))"
-        one, two = (rest.select("key", F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("part").alias(f"part_{x}"), F.col("both").alias(f"both_{x}")) for x in "ab")
-        pairs = one.join(two, "key").where(f"{apart} and {bound}").select("a", "b")
-        if not each:
-            family = rest.where("both is not null").select("first", "doc_id", "n_shingles", "part").distinct()
-            family = family.join(star.select(F.col("a").alias("first"), F.col("b").alias("doc_id"), "extra"), ["first", "doc_id"])
-            family = family.join(parts.toDF("first", "first_part"), "first", "left").withColumn("outside", F.expr("part <> coalesce(first_part, first)"))
-            shingle = family.select("first", "doc_id", "n_shingles", "part", "outside", F.explode("extra").alias("shingle"))
-            one, two = (shingle.where(w).select("first", "shingle", F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("part").alias(f"part_{x}")) for x, w in (("a", "outside"), ("b", "true")))
-            close = one.join(two, ["first", "shingle"]).where(f"part_a <> part_b and {sizes}")
-            pairs = pairs.union(close.select(F.least("a", "b"), F.greatest("a", "b")))
-        more = stored(linked(pairs.distinct()).where(similar).select("a", "b"))
-        if not more.isEmpty():
-            edges = edges.union(more)
-            found = components(edges)
+        member = crowded.join(parts, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
+        several = member.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key")
+        return member.join(several, "key", "left_semi").select("key", "first", "doc_id", "n_shingles", "part")
+
+    def sides(rows: DataFrame, *keys: str) -> list[DataFrame]:
+        other = [c for c in rows.columns if c not in keys]
+        return [rows.select(*keys, *(F.col(c).alias({"doc_id": x, "n_shingles": f"n_{x}"}.get(c, f"{c}_{x}")) for c in other)) for x in "ab"]
+
+    # One row of each component in a bucket, picked anew in each bucket.
+    picked = F.min_by(F.struct("doc_id", "n_shingles"), F.xxhash64("doc_id", "key")).alias("x")
+    one, two = sides(stored(apart().groupBy("key", "part").agg(picked).select("key", "x.doc_id", "x.n_shingles", "part")), "key")
+    pairs = one.join(two, "key").where(f"a < b and part_a <> part_b and {sizes}").select("a", "b").distinct()
+    edges = stored(edges.union(measured(likely(pairs)).where(similar).select("a", "b")))
+    found = components(edges)
+
+    # All rows of different components, but for those that the first row of their bucket tells apart. Where that
+    # row's component is large in a bucket, the bucket's other rows are measured against it as well.
+    rows = stored(apart())
+    family = rows.join(rows.where("doc_id = first").select("key", F.col("part").alias("first_part")), "key")
+    large = family.groupBy("key").agg(F.count(F.when(F.expr("part = first_part"), 1)).alias("n")).where(f"n >= {FAMILY}").select("key")
+    known = star.select(F.col("a").alias("first"), F.col("b").alias("doc_id"))
+    rest = rows.join(large, "key", "left_semi").where("doc_id <> first").select("first", "doc_id").distinct().join(known, ["first", "doc_id"], "left_anti")
+    star = stored(star.union(measured(rest.toDF("a", "b"))))
+    against = star.select(F.col("a").alias("first"), F.col("b").alias("doc_id"), "both")
+    near = stored(rows.where("doc_id <> first").join(against, ["first", "doc_id"], "left"))
+    one, two = sides(near, "key", "first")
+    # Two sets share at most what the lesser shares with the first, unless they share something that it lacks.
+    bound = f"(both_a is null or both_b is null or 100 * least(both_a, both_b) >= {percent} * (n_a + n_b - least(both_a, both_b)))"
+    pairs = one.join(two, ["key", "first"]).where(f"a < b and part_a <> part_b and {sizes} and {bound}").select("a", "b")
+    kin = near.where("both is not null").select("first", "doc_id", "n_shingles", "part", "both").distinct().join(star.select(F.col("a").alias("first"), F.col("b").alias("doc_id"), "extra"), ["first", "doc_id"])
+    kin = kin.join(rows.select("first", "doc_id", "part").where("doc_id = first").distinct().select("first", F.col("part").alias("first_part")), "first")
+    kin = kin.select("first", "doc_id", "n_shingles", "part", "both", F.expr("part <> first_part").alias("outside"), F.size("extra").alias("more"), F.explode("extra").alias("shingle"))
+    # A set that must share k of its extra shingles with another shares one but its k - 1 most common with it.
+    common = kin.groupBy("first", "shingle").agg(F.count("*").alias("df"))
+    least = kin.groupBy("first").agg(F.min("n_shingles").alias("n_least"))
+    rank = F.row_number().over(Window.partitionBy("first", "doc_id").orderBy("df", "shingle"))
+    must = F.greatest(F.lit(1), F.ceil(percent * (F.col("n_shingles") + F.col("n_least")) / (100 + percent) - F.lit(1e-6)) - F.col("both"))
+    kin = kin.join(common, ["first", "shingle"]).join(least, "first").withColumn("rank", rank).where(F.col("rank") <= F.col("more") - must + 1).drop("df", "rank", "n_least")
+    one, two = sides(kin, "first", "shingle")
+    # and then enough of that to make up for what they can't share with it.
+    enough = f"{100 + percent} * (least(both_a, both_b) + least(more_a, more_b)) >= {percent} * (n_a + n_b)"
+    close = one.where("outside_a").join(two, ["first", "shingle"]).where(f"part_a <> part_b and {sizes} and {enough}")
+    pairs = pairs.union(close.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
+    more = measured(likely(pairs)).where(similar).select("a", "b")
+    if not more.isEmpty():
+        found = components(edges.union(more))
+
     of_rep = alone.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", *same).join(of_rep, same, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
