@@ -6,7 +6,7 @@ bucket every row is first compared with the bucket's smallest row only. In bucke
 leave in several components, one row of each component is compared with one of each other; then, where that
 still leaves several, all rows of different components. So every pair of one bucket is compared, or already
 known to be connected, without a table of all pairs of a large group: two rows whose exact overlaps with the
-bucket's first row rule out the threshold, and that share no shingle beyond it, aren't paired. A pair at similarity 0.8 shares no band
+bucket's first row, and bit maps of what each has beyond it, rule out the threshold aren't paired. A pair at similarity 0.8 shares no band
 with probability (1 - 0.8**ROWS)**BANDS, about 8e-6.
 
 A candidate's signatures are compared in batches. After n values of which m agree, the posterior of the
@@ -23,16 +23,18 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from citeloom.llm import arrays as A
-from citeloom.llm.shared import components, stored
+from citeloom.llm.shared import components, maybe_among, stored
 
 BANDS, ROWS, MISS, BATCH = 64, 8, 1e-5, 32
-#: Values of a signature that are kept for the comparison, and those that are compared first.
-VALUES, FEW = 512, 64
+#: Values of a signature that are kept (a byte each), and those that are compared first (a bit each).
+VALUES, SKETCH = 512, 256
 #: Rows of its first row's component from which on a bucket's other rows are all measured against that row.
 FAMILY = 8
+#: Bits that show which shingles a set has beyond another's.
+MAP = 512
 _rng = np.random.default_rng(7)
 _SCALE = (_rng.integers(1, 2**32, (BANDS * ROWS, 2), dtype=np.uint32) | 1).astype(np.uint32)
 U = np.uint64
@@ -78,6 +80,7 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
                 key = A.mix(key * U(0x9E3779B97F4A7C15) + part[:, k])
             keys[:, band] = key
         value = pa.array(keys.view(np.int64).ravel())
+        sketch = np.packbits((least[:, :SKETCH] & 1).astype(np.uint8), axis=1).view(np.int64)
         yield pa.record_batch(
             {
                 "doc_id": batch.column("doc_id").cast(pa.int64()),
@@ -85,20 +88,21 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
                 "print_a": pa.array(prints[:, 0].view(np.int64)),
                 "print_b": pa.array(prints[:, 1].view(np.int64)),
                 "signature": pa.array([x.tobytes() for x in (least[:, :VALUES] & 0xFF).astype(np.uint8)], pa.binary()),
+                **{f"s{k}": pa.array(sketch[:, k]) for k in range(SKETCH // 64)},
                 "keys": pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), value),
             }
         )
 
 
-def least_agreeing(threshold: float, miss: float = MISS) -> list[tuple[int, int]]:
-    """(n, m): a pair of which fewer than m of the first n values agree is dropped.
+def least_agreeing(similarity: float, values: list[int], chance: float, miss: float = MISS) -> list[tuple[int, int]]:
+    """(n, m) for each n of values: a pair of which fewer than m of the first n values agree is dropped.
 
-    With a uniform prior, P(similarity >= t | m of n) = P(Binomial(n + 1, t) <= m). Signatures are kept as
-    one byte a value, so t is raised by the chance that different values agree.
+    With a uniform prior, P(similarity >= t | m of n) = P(Binomial(n + 1, t) <= m). t is raised by the chance that
+    shortened values agree where the full ones differ.
     """
-    t = threshold + (1 - threshold) / 256
+    t = similarity + (1 - similarity) * chance
     out = []
-    for n in range(BATCH, VALUES + 1, BATCH):
+    for n in values:
         total, m = 0.0, -1
         while total < miss:
             m += 1
@@ -107,120 +111,116 @@ def least_agreeing(threshold: float, miss: float = MISS) -> list[tuple[int, int]
     return out
 
 
-def _verified(batches: Iterator[pa.RecordBatch], rules: list[tuple[int, int]], values: int) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterator[pa.RecordBatch], rules: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
-        one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, values) for c in ("signature_a", "signature_b"))
+        one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, VALUES) for c in ("signature_a", "signature_b"))
         alive, agree, at = np.arange(n), np.zeros(n, np.int64), 0
         for to, need in rules:
-            if to > values:
-                break
             agree[alive] += (one[alive, at:to] == two[alive, at:to]).sum(1)
             alive, at = alive[agree[alive] >= need], to
         yield batch.select(["a", "b"]).take(pa.array(alive))
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Sizes of both sets and of what they share, and the hashes of what only b has."""
+    """Sizes of both sets, of what they share and of what only b has, and a bit map of the latter's hashes."""
     for batch in A.slices(batches, "text_a"):
         n = batch.num_rows
         (one, of_one), (two, of_two) = (distinct(*shingles_of(batch.column(c), width)) for c in ("text_a", "text_b"))
         _, at, shared = np.intersect1d(A.keyed(one, of_one), A.keyed(two, of_two), assume_unique=True, return_indices=True)
         only = np.ones(len(two), bool)
         only[shared] = False
-        size = lambda of: np.bincount(of, minlength=n).astype(np.int64)
-        ends = np.append(0, np.cumsum(size(of_two[only]))).astype(np.int32)
-        extra = pa.ListArray.from_arrays(pa.array(ends), pa.array(two[only].view(np.int64)))
-        yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(size(of_one)), pa.array(size(of_two)), pa.array(size(of_one[at])), extra], ["a", "b", "n_a", "n_b", "both", "extra"])
+        bits = np.zeros((n, MAP), np.uint8)
+        bits[of_two[only], (two[only] & U(MAP - 1)).astype(np.int64)] = 1
+        longs = np.packbits(bits, axis=1).view(np.int64)
+        size = lambda of: pa.array(np.bincount(of, minlength=n).astype(np.int64))
+        columns = {"a": batch.column("a"), "b": batch.column("b"), "n_a": size(of_one), "n_b": size(of_two), "both": size(of_one[at]), "more": size(of_two[only])}
+        yield pa.record_batch(columns | {"set": pa.array(bits.sum(1, dtype=np.int64))} | {f"m{k}": pa.array(longs[:, k]) for k in range(MAP // 64)})
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id that links reach), kept."""
     percent = round(100 * threshold)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stored(docs.mapInArrow(lambda it: _signed(it, width), "doc_id long, n_shingles long, print_a long, print_b long, signature binary, keys array<long>"))
+    sketch, maps = [f"s{k}" for k in range(SKETCH // 64)], [f"m{k}" for k in range(MAP // 64)]
+    longs = lambda names: ", ".join(f"{x} long" for x in names)
+    signed = stored(docs.mapInArrow(lambda it: _signed(it, width), f"doc_id long, n_shingles long, print_a long, print_b long, signature binary, {longs(sketch)}, keys array<long>"))
     same = ["n_shingles", "print_a", "print_b"]
     # Copies go on as the row with the smallest doc_id.
     alone = signed.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    reps = stored(signed.join(alone.withColumnRenamed("rep", "doc_id"), ["doc_id", *same], "left_semi").dropDuplicates(["doc_id"]))
-    bands = reps.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
+    reps = stored(signed.join(alone.withColumnRenamed("rep", "doc_id").hint("merge"), ["doc_id", *same], "left_semi").dropDuplicates(["doc_id"]))
+    bands = reps.select("doc_id", F.explode("keys").alias("key"))
     crowded = bands.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    crowded = stored(bands.join(crowded, "key"))
-    rules = least_agreeing(percent / 100)
+    crowded = bands.join(crowded.hint("merge"), "key").join(reps.select("doc_id", "n_shingles", *sketch).hint("merge"), "doc_id")
+    crowded = stored(crowded.select("key", "first", "doc_id", "n_shingles", *sketch))
+    rules = least_agreeing(percent / 100, list(range(BATCH, VALUES + 1, BATCH)), 1 / 256)
+    [(_, agreeing)] = least_agreeing(percent / 100, [SKETCH], 1 / 2)
     similar = f"both > 0 and 100 * both >= {percent} * (n_a + n_b - both)"
-    sizes = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    # What the rows of a bucket show of a pair: sizes, and one bit of each of the first values.
+    alike = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and " + " + ".join(f"bit_count({x}_a ^ {x}_b)" for x in sketch) + f" <= {SKETCH - agreeing}"
 
     def likely(pairs: DataFrame) -> DataFrame:
-        """Pairs that Bayesian verification leaves: by the signatures' first batches, then by all."""
-        for values in (FEW, VALUES):
-            part = reps.select("doc_id", F.substring("signature", 1, values).alias("signature"))
-            both = pairs.join(part.toDF("a", "signature_a"), "a").join(part.toDF("b", "signature_b"), "b")
-            pairs = stored(both.select("a", "b", "signature_a", "signature_b").mapInArrow(lambda it, v=values: _verified(it, rules, v), "a long, b long"))
-        return pairs
+        """Pairs that Bayesian verification of the signatures leaves."""
+        both = pairs.join(reps.select(F.col("doc_id").alias("a"), F.col("signature").alias("signature_a")).hint("merge"), "a")
+        both = both.join(reps.select(F.col("doc_id").alias("b"), F.col("signature").alias("signature_b")).hint("merge"), "b")
+        return stored(both.select("a", "b", "signature_a", "signature_b").mapInArrow(lambda it: _verified(it, rules), "a long, b long"))
 
     def measured(pairs: DataFrame) -> DataFrame:
-        """a, b, n_a, n_b, both (shingles), extra (hashes of what only b has) from full sets."""
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        texts = stored(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-        both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-        return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirmed(it, width), "a long, b long, n_a long, n_b long, both long, extra array<long>"))
+        """See _confirmed: pairs from full sets. Few texts take part; a bit table keeps the others from moving."""
+        ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+        texts = stored(maybe_among(docs, ids).join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        both = pairs.join(texts.toDF("a", "text_a").hint("merge"), "a").join(texts.toDF("b", "text_b").hint("merge"), "b")
+        schema = f"a long, b long, n_a long, n_b long, both long, more long, set long, {longs(maps)}"
+        return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirmed(it, width), schema))
 
-    star = measured(likely(crowded.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()))
+    def sides(rows: DataFrame, *keys: str) -> list[DataFrame]:
+        other = [c for c in rows.columns if c not in keys]
+        return [rows.select(*keys, *(F.col(c).alias({"doc_id": x, "n_shingles": f"n_{x}"}.get(c, f"{c}_{x}")) for c in other)) for x in "ab"]
+
+    one, two = sides(crowded.drop("first"), "key")
+    firsts = crowded.where("doc_id = first").select("key", F.col("first").alias("a"))
+    star = firsts.join(one.hint("merge"), ["key", "a"]).join(two.hint("merge"), "key").where(f"a <> b and {alike}").select("a", "b").distinct()
+    star = measured(likely(star))
     edges = star.where(similar).select("a", "b")
     found = components(edges)
 
     def apart() -> DataFrame:
         """Rows of the buckets that hold several components."""
         parts = found.withColumnRenamed("node", "doc_id")
-        member = crowded.join(parts, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
+        member = crowded.join(parts.hint("merge"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
         several = member.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key")
-        return member.join(several, "key", "left_semi").select("key", "first", "doc_id", "n_shingles", "part")
-
-    def sides(rows: DataFrame, *keys: str) -> list[DataFrame]:
-        other = [c for c in rows.columns if c not in keys]
-        return [rows.select(*keys, *(F.col(c).alias({"doc_id": x, "n_shingles": f"n_{x}"}.get(c, f"{c}_{x}")) for c in other)) for x in "ab"]
+        return stored(member.join(several.hint("merge"), "key", "left_semi").drop("component"))
 
     # One row of each component in a bucket, picked anew in each bucket.
-    picked = F.min_by(F.struct("doc_id", "n_shingles"), F.xxhash64("doc_id", "key")).alias("x")
-    one, two = sides(stored(apart().groupBy("key", "part").agg(picked).select("key", "x.doc_id", "x.n_shingles", "part")), "key")
-    pairs = one.join(two, "key").where(f"a < b and part_a <> part_b and {sizes}").select("a", "b").distinct()
+    rows = apart()
+    picked = F.min_by(F.struct("doc_id", "n_shingles", *sketch), F.xxhash64("doc_id", "key")).alias("x")
+    one, two = sides(rows.groupBy("key", "part").agg(picked).select("key", "part", "x.*"), "key")
+    pairs = one.join(two.hint("merge"), "key").where(f"a < b and part_a <> part_b and {alike}").select("a", "b").distinct()
     edges = stored(edges.union(measured(likely(pairs)).where(similar).select("a", "b")))
     found = components(edges)
 
     # All rows of different components, but for those that the first row of their bucket tells apart. Where that
     # row's component is large in a bucket, the bucket's other rows are measured against it as well.
-    rows = stored(apart())
-    family = rows.join(rows.where("doc_id = first").select("key", F.col("part").alias("first_part")), "key")
+    rows = apart()
+    family = rows.join(rows.where("doc_id = first").select("key", F.col("part").alias("first_part")).hint("merge"), "key")
     large = family.groupBy("key").agg(F.count(F.when(F.expr("part = first_part"), 1)).alias("n")).where(f"n >= {FAMILY}").select("key")
     known = star.select(F.col("a").alias("first"), F.col("b").alias("doc_id"))
-    rest = rows.join(large, "key", "left_semi").where("doc_id <> first").select("first", "doc_id").distinct().join(known, ["first", "doc_id"], "left_anti")
-    star = stored(star.union(measured(rest.toDF("a", "b"))))
-    against = star.select(F.col("a").alias("first"), F.col("b").alias("doc_id"), "both")
-    near = stored(rows.where("doc_id <> first").join(against, ["first", "doc_id"], "left"))
+    rest = rows.join(large.hint("merge"), "key", "left_semi").where("doc_id <> first").select("first", "doc_id").distinct().join(known.hint("merge"), ["first", "doc_id"], "left_anti")
+    against = star.union(measured(rest.toDF("a", "b"))).select(F.col("a").alias("first"), F.col("b").alias("doc_id"), "both", "more", "set", *maps)
+    near = stored(rows.where("doc_id <> first").join(against.hint("merge"), ["first", "doc_id"], "left"))
+    # Two sets share at most what the lesser shares with the first, and of the rest what their bit maps share and
+    # those of the one hide.
+    common = " + ".join(f"bit_count({x}_a & {x}_b)" for x in maps)
+    most = f"(least(both_a, both_b) + least(more_a, more_b, {common} + least(more_a - set_a, more_b - set_b)))"
+    bound = f"(both_a is null or both_b is null or {100 + percent} * {most} >= {percent} * (n_a + n_b))"
     one, two = sides(near, "key", "first")
-    # Two sets share at most what the lesser shares with the first, unless they share something that it lacks.
-    bound = f"(both_a is null or both_b is null or 100 * least(both_a, both_b) >= {percent} * (n_a + n_b - least(both_a, both_b)))"
-    pairs = one.join(two, ["key", "first"]).where(f"a < b and part_a <> part_b and {sizes} and {bound}").select("a", "b")
-    kin = near.where("both is not null").select("first", "doc_id", "n_shingles", "part", "both").distinct().join(star.select(F.col("a").alias("first"), F.col("b").alias("doc_id"), "extra"), ["first", "doc_id"])
-    kin = kin.join(rows.select("first", "doc_id", "part").where("doc_id = first").distinct().select("first", F.col("part").alias("first_part")), "first")
-    kin = kin.select("first", "doc_id", "n_shingles", "part", "both", F.expr("part <> first_part").alias("outside"), F.size("extra").alias("more"), F.explode("extra").alias("shingle"))
-    # A set that must share k of its extra shingles with another shares one but its k - 1 most common with it.
-    common = kin.groupBy("first", "shingle").agg(F.count("*").alias("df"))
-    least = kin.groupBy("first").agg(F.min("n_shingles").alias("n_least"))
-    rank = F.row_number().over(Window.partitionBy("first", "doc_id").orderBy("df", "shingle"))
-    must = F.greatest(F.lit(1), F.ceil(percent * (F.col("n_shingles") + F.col("n_least")) / (100 + percent) - F.lit(1e-6)) - F.col("both"))
-    kin = kin.join(common, ["first", "shingle"]).join(least, "first").withColumn("rank", rank).where(F.col("rank") <= F.col("more") - must + 1).drop("df", "rank", "n_least")
-    one, two = sides(kin, "first", "shingle")
-    # and then enough of that to make up for what they can't share with it.
-    enough = f"{100 + percent} * (least(both_a, both_b) + least(more_a, more_b)) >= {percent} * (n_a + n_b)"
-    close = one.where("outside_a").join(two, ["first", "shingle"]).where(f"part_a <> part_b and {sizes} and {enough}")
-    pairs = pairs.union(close.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
+    pairs = one.join(two.hint("merge"), ["key", "first"]).where(f"a < b and part_a <> part_b and {alike} and {bound}").select("a", "b").distinct()
     more = measured(likely(pairs)).where(similar).select("a", "b")
     if not more.isEmpty():
         found = components(edges.union(more))
 
     of_rep = alone.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", *same).join(of_rep, same, "left")
+    out = signed.select("doc_id", *same).join(of_rep.hint("merge"), same, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 

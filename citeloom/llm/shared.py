@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Columns that every operator here works with; others in a table are left alone.
@@ -30,6 +33,36 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bit_table(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A table of ``bits`` bits, whatever the number of keys, with a bit set for each key modulo bits."""
+    words = keys.groupBy(F.expr(f"({column} & {bits - 1}) div 64").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(({column} & 63) as int))")).alias("bits"))
+    table = np.zeros(bits // 64, np.int64)
+    for word, b in words.toLocalIterator():
+        table[word] = b
+    return table.view(np.uint64)
+
+
+def in_table(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which unsigned keys have their bit set."""
+    place = keys & np.uint64(64 * len(table) - 1)
+    return (table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+def maybe_among(docs: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """doc_id, text of the rows of docs whose doc_id is among ids (doc_id), and of a few others: what is to be
+    joined with ids, before it's shuffled. Null doc_ids never pass."""
+    place = F.xxhash64("doc_id")
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(ids.select(place.alias("place")), "place", bits))
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            there = in_table(np.asarray(batch.column("place")).view(np.uint64), table.value)
+            yield batch.filter(pa.array(there)).select(["doc_id", "text"])
+
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("place"))
+    return rows.mapInArrow(passing, "doc_id long, text string")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): node, component (its smallest node).
 
