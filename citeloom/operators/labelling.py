@@ -75,7 +75,7 @@ def label_windows(windows: DataFrame, predictor: Callable[[], Callable[[pd.DataF
         for batch in batches:
             yield batch.assign(label=predict(batch))
 
-    return checked.drop("fine").mapInPandas(run, columns.schema.add("label", "string"))
+    return checked.where("fine is null").drop("fine").mapInPandas(run, columns.schema.add("label", "string"))
 
 
 def decode_entities(labelled: DataFrame, mode: str = "insert") -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from citeloom.sources.storage import stored
+
 PREVIEW = 200
 
 
@@ -22,9 +24,13 @@ def exact_leaks(df: DataFrame) -> DataFrame:
 def shingles(df: DataFrame, width: int = 5) -> DataFrame:
     """id, split, shingle (hash), n (the set's size): distinct shingles of ``width`` words, lower case."""
     words = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    rows = _texts(df).select("id", "split", words.alias("w")).where(F.size("w") >= width)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, width), " ")))
-    rows = rows.select("id", "split", F.array_distinct(grams).alias("s"))
+
+    def grams(w: Column) -> Column:
+        return F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, width), " "))))
+
+    # The words are bound by an outer transform: named in the inner one, they would be split anew for each shingle.
+    bound = F.get(F.transform(F.array(words), grams), F.lit(0))
+    rows = _texts(df).select("id", "split", F.array_distinct(bound).alias("s")).where("s is not null")
     return rows.select("id", "split", F.size("s").alias("n"), F.explode("s").alias("shingle"))
 
 
@@ -46,7 +52,7 @@ def fuzzy_leaks(df: DataFrame, threshold: float = 0.9, width: int = 5) -> DataFr
     that are so similar share one of the first n - ceil(t * n) + 1. Only those are joined, so a shingle that a
     large group shares is joined only by sets that have hardly anything rarer. Equal sets are joined once.
     """
-    rows = shingles(df, width)
+    rows = stored(shingles(df, width))
     sets = rows.groupBy("id", "split", "n").agg(F.sum(F.col("shingle").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("shingle")).alias("xor"))
     # Sets that are equal stand for each other: one for each split goes on.
     alike = ["n", "sum", "xor", "split"]
@@ -58,7 +64,7 @@ def fuzzy_leaks(df: DataFrame, threshold: float = 0.9, width: int = 5) -> DataFr
     prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.round(F.col("n") * threshold, 6)) + 1).select("shingle", "id", "split", "n")
     one, two = prefix.toDF("shingle", "id1", "split1", "n1"), prefix.toDF("shingle", "id2", "split2", "n2")
     near = one.join(two, "shingle").where(f"split1 < split2 and least(n1, n2) >= {threshold} * greatest(n1, n2)")
-    pairs = near.select("id1", "split1", "n1", "id2", "split2", "n2").distinct()
+    pairs = stored(near.select("id1", "split1", "n1", "id2", "split2", "n2").distinct())
     mine, other = rows.select(F.col("id").alias("id1"), "shingle"), rows.select(F.col("id").alias("id2"), "shingle")
     both = pairs.join(mine, "id1").join(other, ["id2", "shingle"]).groupBy("id1", "split1", "n1", "id2", "split2", "n2").agg(F.count("*").alias("both"))
     both = both.withColumn("similarity", similarity(F.col("both"), F.col("n1"), F.col("n2"))).where(F.col("similarity") >= threshold)

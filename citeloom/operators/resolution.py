@@ -106,8 +106,8 @@ def resolution_coverage(citations: DataFrame, key: str) -> DataFrame:
 
 def grams(rows: DataFrame, width: int = 3) -> DataFrame:
     """id, gram, n: distinct character n-grams of text, lower case; a shorter text is its own gram."""
-    text = F.lower("text")
-    every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (width - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(width)))
+    cut = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (width - 1), F.lit(1))), lambda i: F.substring(t, i, F.lit(width)))
+    every = F.get(F.transform(F.array(F.lower("text")), cut), F.lit(0))
     out = rows.where("text <> ''").select("id", F.array_distinct(every).alias("g"))
     return out.select("id", F.size("g").alias("n"), F.explode("g").alias("gram"))
 
