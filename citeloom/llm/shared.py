@@ -37,8 +37,8 @@ def bit_table(keys: DataFrame, column: str, bits: int) -> np.ndarray:
     """A table of ``bits`` bits, whatever the number of keys, with a bit set for each key modulo bits."""
     words = keys.groupBy(F.expr(f"({column} & {bits - 1}) div 64").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(({column} & 63) as int))")).alias("bits"))
     table = np.zeros(bits // 64, np.int64)
-    for word, b in words.toLocalIterator():
-        table[word] = b
+    rows = words.toPandas()  # at most bits / 64 rows
+    table[rows["word"]] = rows["bits"]
     return table.view(np.uint64)
 
 
@@ -71,15 +71,15 @@ def components(edges: DataFrame) -> DataFrame:
     table of edges gives an empty result.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         now = stored(small)
-        sign = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if sign == before:
+        # Done, when every node has one edge down and none that has is another's centre.
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("centre")).union(now.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("centre").alias("centre"))
+        if ends.agg(F.max((F.col("down") + F.col("centre") > 1).cast("int"))).first()[0] != 1:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
-        before = sign
