@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import gru_language, kneser_ney_quality, license_scan, minhash_dedup, pattern_packing, pii_sanitise, repetition_rules, secret_scan, seed_decontamination, token_counts
+from citeloom.llm import gru_language, kneser_ney_quality, license_scan, minhash_dedup, oracles, pattern_packing, pii_sanitise, repetition_rules, secret_scan, seed_decontamination, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -80,4 +80,11 @@ QUERIES = {
         pipeline,
     )
 }
-ORACLES: dict[str, str] = {"op6_license_scan": license_scan.oracle_sql()}
+#: The others tokenise, learn, pack or estimate: tests/llm has their brute-force versions.
+ORACLES: dict[str, str] = {
+    "op1_minhash_dedup": oracles.near_duplicates(),
+    "op3_repetition_rules": oracles.repetition(),
+    "op6_license_scan": license_scan.oracle_sql(),
+    "op9_secret_scan": oracles.secrets(),
+    "op10_seed_decontamination": oracles.decontamination(),
+}
