@@ -36,8 +36,8 @@ def edition(quote: Column) -> Column:
     return F.when(quote.rlike(r"[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}]"), "grc").otherwise("lat")
 
 
-def assemble(namespace: Column, work: Column, quote: Column, citation: Column) -> Column:
-    """A urn from its parts; without a passage it ends after the edition, without a work it is null."""
-    head = F.concat(F.lit("urn:cts:"), namespace, F.lit(":"), work, F.lit(".perseus-"), edition(F.coalesce(quote, F.lit(""))), F.lit("1"))
+def assemble(namespace: Column, work: Column, quote: Column, citation: Column, series: str = "ed") -> Column:
+    """A urn from its parts and the name of a series of editions; without a passage it ends after the edition, without a work it is null."""
+    head = F.concat(F.lit("urn:cts:"), namespace, F.lit(":"), work, F.lit(f".{series}-"), edition(F.coalesce(quote, F.lit(""))), F.lit("1"))
     place = passage(F.coalesce(citation, F.lit("")))
     return F.when(place == "", head).otherwise(F.concat(head, F.lit(":"), place))

@@ -278,7 +278,7 @@ def rank_candidates(spark, sf):
     return _candidates(spark, sf)
 
 
-B.TABLES["t_model"] = """SELECT c.id, 'urn:cts:' || c.lang || 'Lit:' || k.work || '.perseus-lat1' || CASE WHEN p = '' THEN '' ELSE ':' || p END AS urn, k.confidence FROM
+B.TABLES["t_model"] = """SELECT c.id, 'urn:cts:' || c.lang || 'Lit:' || k.work || '.ed-lat1' || CASE WHEN p = '' THEN '' ELSE ':' || p END AS urn, k.confidence FROM
     (SELECT *, replace(regexp_extract(CAST(id AS VARCHAR) || ' d', '([0-9]+(?:\\.[0-9]+)*(?: ?[a-e]\\b)?)', 1), ' ', '') AS p FROM t_cites) c JOIN t_candidates k ON k.id = c.id AND k.rank = 1"""
 B.TABLES["t_model"] = B.TABLES["t_model"].replace("\\\\", "\\")
 
