@@ -38,6 +38,9 @@ MAP = 512
 _rng = np.random.default_rng(7)
 _SCALE = (_rng.integers(1, 2**32, (BANDS * ROWS, 2), dtype=np.uint32) | 1).astype(np.uint32)
 U = np.uint64
+#: A value's short forms are cut from its mix with one of these: the low bits of low * a + high * b are nearly the
+#: same function of a shingle for every odd a and b.
+_SALT = np.arange(1, BANDS * ROWS + 1, dtype=U) << U(32)
 
 
 def shingles_of(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,22 +75,24 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             low, high = grams.astype(np.uint32), (grams >> U(32)).astype(np.uint32)
             for k, (a, b) in enumerate(_SCALE):
                 least[has, k] = np.minimum.reduceat(low * a + high * b, at)
-        keys = np.zeros((n, BANDS), U)
+        keys, short = np.zeros((n, BANDS), U), np.zeros((n, BANDS * ROWS), np.uint16)
         for band in range(BANDS):
-            part = least[:, band * ROWS : (band + 1) * ROWS].astype(U)
+            of = slice(band * ROWS, (band + 1) * ROWS)
+            part = least[:, of].astype(U)
+            short[:, of] = A.mix(part + _SALT[of]) >> U(48)
             key = np.full(n, band + 1, U)
             for k in range(ROWS):
                 key = A.mix(key * U(0x9E3779B97F4A7C15) + part[:, k])
             keys[:, band] = key
         value = pa.array(keys.view(np.int64).ravel())
-        sketch = np.packbits((least[:, :SKETCH] & 1).astype(np.uint8), axis=1).view(np.int64)
+        sketch = np.packbits((short[:, :SKETCH] >> 15).astype(np.uint8), axis=1).view(np.int64)
         yield pa.record_batch(
             {
                 "doc_id": batch.column("doc_id").cast(pa.int64()),
                 "n_shingles": pa.array(size.astype(np.int64)),
                 "print_a": pa.array(prints[:, 0].view(np.int64)),
                 "print_b": pa.array(prints[:, 1].view(np.int64)),
-                "signature": pa.array([x.tobytes() for x in (least[:, :VALUES] & 0xFF).astype(np.uint8)], pa.binary()),
+                "signature": pa.array([x.tobytes() for x in (short[:, :VALUES] & 0xFF).astype(np.uint8)], pa.binary()),
                 **{f"s{k}": pa.array(sketch[:, k]) for k in range(SKETCH // 64)},
                 "keys": pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), value),
             }

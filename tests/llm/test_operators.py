@@ -81,6 +81,21 @@ def test_rule_drops_unlikely_pairs_only():
     assert 150 < m < 190 and n == 256
 
 
+@pytest.mark.parametrize("a, b", [(4, 5), (8, 10)])
+def test_sketch_keeps_small_sets_at_the_threshold(a, b):
+    rng, n = np.random.default_rng(5), 3000
+    words = [[f"w{x}" for x in rng.integers(0, 10**9, b + 4)] for _ in range(n)]
+    sketches = []
+    for size in (a, b):
+        texts = pa.array([" ".join(x[: size + 4]) for x in words])
+        out = pa.Table.from_batches(minhash_dedup._signed(iter([pa.record_batch({"doc_id": pa.array(range(n)), "text": texts})]), 5))
+        assert set(out["n_shingles"].to_pylist()) == {size}
+        sketches.append(np.stack([out[f"s{k}"].to_numpy() for k in range(minhash_dedup.SKETCH // 64)], 1))
+    differ = np.bitwise_count((sketches[0] ^ sketches[1]).view(np.uint64)).sum(1)
+    [(_, need)] = minhash_dedup.least_agreeing(0.8, [minhash_dedup.SKETCH], 1 / 2)
+    assert (differ > minhash_dedup.SKETCH - need).sum() <= 1
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in shared.components(spark.createDataFrame(edges, "a long, b long")).collect()}
