@@ -3,13 +3,16 @@
 Emails, IP addresses, payment cards and telephone numbers are found by pattern. Removing them can leave terms
 that still reveal them. How much a term t tells of an entity e is their pointwise mutual information as a
 share of the entity's information content, log(p(e,t) / (p(e) p(t))) / -log p(e), estimated over all
-documents: 1 when t stands nowhere but beside e. Terms within WINDOW words of an entity count as together
-with it. Those that reach DISCLOSURE, in at least SUPPORT documents and SUPPORT different contexts (so that
-copies of one document prove nothing), become spans of kind ``term`` beside that entity; in a sanitised text
-they are generalised, or removed at REMOVAL and above.
+documents: 1 when t stands nowhere but in documents of e. A term counts as together with every entity of its
+document. Those that reach DISCLOSURE, in at least SUPPORT documents and SUPPORT different contexts (the terms
+within WINDOW words of the entity, so that copies of one document prove nothing), become spans of kind ``term``
+wherever they stand, in documents without the entity as well; in a sanitised text they are generalised, or
+removed at REMOVAL and above. What is left of such a term: other spellings of it, and the term as a part of a
+longer word. Words of fewer than SHORTEST bytes are never terms.
 
 The corpus frequency of a candidate term is counted over every document; a bit table of fixed size made from
-the candidates keeps other terms out of the shuffle, and the counts that pass it are joined exactly.
+the candidates keeps other terms out of the shuffle, and the counts that pass it are joined exactly. Terms too
+frequent to reach DISCLOSURE leave before they are paired with the entities of their documents.
 
 Offsets are code points, end exclusive. Null texts are empty. Rows with equal doc_id and text count as one
 document in the estimates and give equal results each. A null doc_id is no document for the estimates.
@@ -25,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from citeloom.llm import arrays as A
-from citeloom.llm.shared import stored
+from citeloom.llm.shared import bit_table, in_table, maybe_among, stored
 
 WINDOW, SUPPORT, DISCLOSURE, REMOVAL, SHORTEST, BITS = 6, 3, 0.8, 0.97, 4, 1 << 23
+#: One in so many documents is counted first, for a bound.
+PART = 32
 KINDS = ("email", "ip", "card", "phone", "term")
 U = np.uint64
 
@@ -81,14 +86,25 @@ def _terms(texts: pa.Array) -> tuple[A.Words, np.ndarray, np.ndarray]:
     return words, A.span_hashes(words.data, words.start, words.end), words.end - words.start >= SHORTEST
 
 
+def _free(words: A.Words, long: np.ndarray, j: int, spans: list, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of text j, in code points, and which of them are terms outside all spans."""
+    low, high = words.first[j], words.first[j + 1]
+    base = points[words.text_at[j]]
+    start, end = points[words.start[low:high]] - base, points[words.end[low:high]] - base
+    free = long[low:high].copy()
+    for _, s, e in spans:
+        free[np.searchsorted(end, s, "right") : np.searchsorted(start, e)] = False
+    return start, end, free
+
+
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    term = pa.struct([("term", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
-    context = pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("terms", pa.list_(term))])
+    """Base spans, and of each entity of a text the terms around all its occurrences, as one hash."""
+    entity = pa.struct([("entity", pa.int64()), ("context", pa.int64())])
     span = pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
     for batch in A.slices(batches, "text"):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         spans = [base_spans(t) for t in texts]
-        contexts: list[list] = [[] for _ in texts]
+        entities: list[list] = [[] for _ in texts]
         full = [i for i, s in enumerate(spans) if s]
         if full:
             words, hashes, long = _terms(pa.array([texts[i] for i in full]))
@@ -96,39 +112,54 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = pa.array([texts[i][s:e].lower() for i in full for _, s, e in spans[i]])
             data, at = A.text_bytes(names)
             kinds = np.array([k for i in full for k, _, _ in spans[i]], U)
-            entities = iter(A.mix(A.span_hashes(data, at[:-1], at[1:]) + kinds).view(np.int64).tolist())
+            keys = iter(A.mix(A.span_hashes(data, at[:-1], at[1:]) + kinds).view(np.int64).tolist())
             for j, i in enumerate(full):
-                low, high = words.first[j], words.first[j + 1]
-                base = points[words.text_at[j]]
-                start, end = points[words.start[low:high]] - base, points[words.end[low:high]] - base
-                free = long[low:high].copy()
-                for _, s, e in spans[i]:
-                    free[np.searchsorted(end, s, "right") : np.searchsorted(start, e)] = False
+                start, end, free = _free(words, long, j, spans[i], points)
+                context: dict[int, int] = {}
                 for _, s, e in spans[i]:
                     left, right = int(np.searchsorted(end, s, "right")), int(np.searchsorted(start, e))
                     near = np.concatenate([np.arange(max(0, left - WINDOW), left), np.arange(right, min(len(start), right + WINDOW))])
-                    near = near[free[near]]
-                    h = hashes[low + near]
-                    terms = [{"term": int(t), "s": int(a), "e": int(b)} for t, a, b in zip(h.view(np.int64), start[near], end[near])]
+                    h = hashes[words.first[j] + near[free[near]]]
                     with np.errstate(over="ignore"):
-                        where = int(A.mix(h * np.arange(1, len(h) + 1, dtype=U)).sum(dtype=U).view(np.int64)) if len(h) else 0
-                    contexts[i].append({"entity": next(entities), "context": where, "terms": terms})
+                        where = int(A.mix(h * np.arange(1, len(h) + 1, dtype=U)).sum(dtype=U)) if len(h) else 0
+                    key = next(keys)
+                    context[key] = (context.get(key, 0) + where) % (1 << 64)
+                entities[i] = [{"entity": k, "context": x - (x >> 63 << 64)} for k, x in context.items()]
         yield pa.record_batch(
             {
                 "doc_id": batch.column("doc_id").cast(pa.int64()),
                 "row": batch.column("row"),
                 "base": pa.array([[{"k": k, "s": s, "e": e} for k, s, e in x] for x in spans], pa.list_(span)),
-                "contexts": pa.array(contexts, pa.list_(context)),
+                "entities": pa.array(entities, pa.list_(entity)),
             }
         )
 
 
+def _placed(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Terms outside base spans, with their places; of terms in the bit table only, if there is one."""
+    for batch in A.slices(batches, "text"):
+        words, hashes, long = _terms(batch.column("text"))
+        if bits is not None:
+            long &= in_table(hashes, bits)
+        points = A.code_points(words.data)
+        at, starts, ends, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for j in np.unique(words.text[long]):
+            start, end, free = _free(words, long, j, base_spans(batch.column("text")[int(j)].as_py()), points)
+            free = np.flatnonzero(free)
+            at.append(words.first[j] + free)
+            starts.append(start[free])
+            ends.append(end[free])
+            of.append(np.full(len(free), j))
+        rows = batch.select(["doc_id", "row"]).take(pa.array(np.concatenate(of).astype(np.int64)))
+        term = hashes[np.concatenate(at).astype(np.int64)].view(np.int64)
+        yield pa.record_batch([rows.column("doc_id"), rows.column("row"), pa.array(term), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (starts, ends))], ["doc_id", "row", "term", "s", "e"])
+
+
 def _counted(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     """For terms that pass the bit table: in how many texts of a slice they stand."""
     for batch in A.slices(batches, "text"):
         words, hashes, long = _terms(batch.column("text"))
-        place = hashes & U(BITS - 1)
-        there = long & ((bits[place >> U(6)] >> (place & U(63))) & U(1) == 1)
+        there = long & in_table(hashes, bits)
         hashes, text = hashes[there], words.text[there]
         _, first = np.unique(A.keyed(hashes, text), return_index=True)
         terms, n = np.unique(hashes[first], return_counts=True)
@@ -141,38 +172,61 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row", F.xxhash64("doc_id", "text"))
 
 
+_PLACES = "doc_id long, row long, term long, s int, e int"
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """entity, term, disclosure: the terms that give an entity away. found: see find()."""
-    seen = found.where("doc_id is not null and size(contexts) > 0").select("doc_id", "row", F.explode("contexts").alias("c"))
-    seen = seen.select("doc_id", "row", "c.entity", "c.context", "c.terms")
-    of_entity = seen.select("entity", "doc_id", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(f"n_entity >= {SUPPORT}")
-    near = seen.select("doc_id", "row", "entity", "context", F.explode("terms.term").alias("term"))
-    both = near.select("entity", "term", "doc_id", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(f"n_both >= {SUPPORT}")
-    contexts = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_contexts")).where(f"n_contexts >= {SUPPORT}")
-    likely = stored(both.join(contexts, ["entity", "term"]).join(of_entity, "entity"))
-    words = likely.groupBy(F.expr(f"(term & {BITS - 1}) div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast((term & 63) as int))")).alias("bits"))
-    table = np.zeros(BITS // 64, np.int64)  # as many words at most, whatever the corpus
-    for word, bits in words.toLocalIterator():
-        table[word] = bits
-    shared = docs.sparkSession.sparkContext.broadcast(table.view(U))
-    counts = docs.select("text").mapInArrow(lambda it: _counted(it, shared.value), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    total = docs.agg(F.count("*").alias("total"))
-    pmi = F.log(F.col("n_both") * F.col("total") / (F.col("n_entity") * F.greatest("n_term", "n_both")))
-    # One row of totals is the right side here.
-    out = likely.join(counts, "term").crossJoin(F.broadcast(total)).withColumn("disclosure", pmi / F.log(F.col("total") / F.col("n_entity")))
+    nothing = docs.sparkSession.createDataFrame([], "entity long, term long, disclosure double")
+    seen = found.where("doc_id is not null and size(entities) > 0").select("doc_id", "row", F.explode("entities").alias("c")).select("doc_id", "row", "c.*").distinct()
+    # An entity needs as much support as any of its terms.
+    several = seen.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n")).where(f"n >= {SUPPORT}").select("entity")
+    of_entity = seen.groupBy("entity").agg(F.count("*").alias("n_entity")).where(f"n_entity >= {SUPPORT}").join(several, "entity")
+    seen = stored(seen.join(of_entity, "entity"))
+    if seen.isEmpty():
+        return nothing
+    ids = seen.select("doc_id").distinct()
+    texts = maybe_among(docs, ids).withColumn("row", F.xxhash64("doc_id", "text"))
+    places = texts.mapInArrow(lambda it: _placed(it, None), _PLACES)
+    terms = stored(places.select("doc_id", "row", "term").distinct().join(seen.select("doc_id", "row").distinct(), ["doc_id", "row"], "left_semi"))
+    total = docs.count()
+
+    def counted(rows: DataFrame, among: DataFrame) -> DataFrame:
+        """In how many of rows the terms stand, for those among, and a few others."""
+        shared = docs.sparkSession.sparkContext.broadcast(bit_table(among, "term", BITS))  # of one size, whatever the corpus
+        return rows.select("text").mapInArrow(lambda it: _counted(it, shared.value), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+
+    # A part of the documents gives a term's least frequency. What is too frequent for DISCLOSURE by that, even if
+    # it stands in all documents of the entity, needn't be counted in the others.
+    often = stored(terms.groupBy("term").agg(F.count("*").alias("n")).where(f"n >= {SUPPORT}"))
+    part = counted(docs.where(f"pmod(row, {PART}) = 0"), often).withColumnRenamed("n_term", "n_part")
+    least = stored(often.join(part, "term", "left").select("term", F.greatest("n", F.coalesce("n_part", F.lit(0))).alias("n_least")))
+    info = F.log(F.lit(float(total)) / F.col("n_entity"))
+    both = terms.join(least, "term").join(seen, ["doc_id", "row"]).where((info > 0) & (F.log(F.lit(float(total)) / F.col("n_least")) >= DISCLOSURE * info - 1e-9))
+    both = stored(both.select("entity", "term", "doc_id", "row", "context", "n_entity", "n_least"))
+    contexts = both.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_contexts")).where(f"n_contexts >= {SUPPORT}")
+    both = both.groupBy("entity", "term", "n_entity", "n_least").agg(F.count("*").alias("n_both")).where(f"n_both >= {SUPPORT}")
+    told = lambda n: F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.greatest(n, "n_both"))) / info
+    likely = stored(both.join(contexts, ["entity", "term"]).where(told("n_least") >= DISCLOSURE - 1e-9))
+    out = likely.join(counted(docs, likely), "term").withColumn("disclosure", told("n_term"))
     return out.where(f"disclosure >= {DISCLOSURE}").select("entity", "term", "disclosure")
 
 
 def find(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text): doc_id, row, base and all spans (kind number k, s, e), disclosure of the terms."""
     docs = _identified(docs)
-    found = stored(docs.mapInArrow(_found, "doc_id long, row long, base array<struct<k:int,s:int,e:int>>, contexts array<struct<entity:long,context:long,terms:array<struct<term:long,s:int,e:int>>>>"))
-    telling = disclosing_terms(docs, found)
-    near = found.select("doc_id", "row", F.explode("contexts").alias("c")).select("doc_id", "row", "c.entity", F.explode("c.terms").alias("t"))
-    near = near.select("doc_id", "row", "entity", "t.term", "t.s", "t.e").join(telling, ["entity", "term"])
-    near = near.groupBy("doc_id", "row", "s", "e").agg(F.max("disclosure").alias("disclosure"))
-    near = near.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("s", "e", "disclosure"))).alias("terms"))
-    return found.select("doc_id", "row", "base").join(near, ["doc_id", "row"], "left").withColumn("terms", F.coalesce("terms", F.expr("cast(array() as array<struct<s:int,e:int,disclosure:double>>)")))
+    found = stored(docs.mapInArrow(_found, "doc_id long, row long, base array<struct<k:int,s:int,e:int>>, entities array<struct<entity:long,context:long>>"))
+    empty = F.expr("cast(array() as array<struct<s:int,e:int,disclosure:double>>)")
+    telling = stored(disclosing_terms(docs, found).groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+    if telling.isEmpty():
+        return found.select("doc_id", "row", "base", empty.alias("terms"))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(telling, "term", BITS))
+    places = docs.select("doc_id", "row", "text").mapInArrow(lambda it: _placed(it, shared.value), _PLACES).join(telling, "term")
+    places = places.select("doc_id", "row", "s", "e", "disclosure").distinct()
+    terms = places.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("s", "e", "disclosure"))).alias("terms"))
+    terms = terms.select(F.col("doc_id").alias("id"), F.col("row").alias("of"), "terms")
+    both = found.join(terms, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("of")), "left")
+    return both.select("doc_id", "row", "base", F.coalesce("terms", empty).alias("terms"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -206,9 +260,10 @@ def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with every span replaced in text; all columns and rows."""
-    found = find(docs).where("size(base) > 0").dropDuplicates(["doc_id", "row"])
+    found = find(docs).where("size(base) > 0 or size(terms) > 0").dropDuplicates(["doc_id", "row"])
     row = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
     keys = docs.withColumn("__row", row).withColumn("__id", F.col("doc_id").cast("long"))
-    both = keys.join(found.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("base").alias("__base"), F.col("terms").alias("__terms")), ["__id", "__row"], "left")
+    found = found.select(F.col("doc_id").alias("__found"), F.col("row").alias("__of"), F.col("base").alias("__base"), F.col("terms").alias("__terms"))
+    both = keys.join(found, F.col("__id").eqNullSafe(F.col("__found")) & (F.col("__row") == F.col("__of")), "left")
     both = both.select(*docs.columns, "__base", "__terms")
     return both.mapInArrow(_replaced, docs.schema)

@@ -292,6 +292,22 @@ def test_terms_that_stand_only_beside_an_entity_are_spans(spark):
     assert clean[150]["text"] == dict(rows)[150]
 
 
+def test_disclosing_terms_are_marked_wherever_they_stand(spark):
+    rng = random.Random(9)
+    rows = [(i, f"Qwerzon {prose(rng, 30)} write to zorblax {prose(rng, 3)} at boss@corp.example.com {prose(rng, 30)} zorblax again") for i in range(8)]
+    rows += [(50, f"é {prose(rng, 9)} Zorblax, {prose(rng, 3)} qwerzon"), (None, "zorblax alone"), (51, None)]
+    rows += [(60 + i, f"copies say murfle {prose(random.Random(1), 20)} x@copy.example.com then x@copy.example.com") for i in range(5)]
+    rows += [(100 + i, f"write {prose(rng, 40)} again") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for i, r in rows_of(pii_sanitise.report(df)).items():
+        text = next(t for k, t in rows if k == i) or ""
+        found = [text[int(s) : int(e)].lower() for k, s, e in (x.split(":") for x in r["spans"].split(",") if x) if k == "term"]
+        assert found == re.findall("zorblax|qwerzon", text.lower()) and r["n_term"] == len(found)
+    clean = pii_sanitise.sanitise(df).collect()
+    assert len(clean) == len(rows) and not [r for r in clean if r["text"] and re.search("zorblax|qwerzon|@", r["text"], re.I)]
+    assert sum("murfle" in (r["text"] or "") for r in clean) == 5
+
+
 # ---- secrets
 
 
