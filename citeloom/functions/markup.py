@@ -16,8 +16,11 @@ def names(tags: Sequence[str]) -> str:
     return "(?:" + "|".join(tags) + ")"
 
 
-def strip_tags(text: Column, tags: Sequence[str] = TAGS) -> Column:
-    """text without the tags of these elements; content and other tags stay."""
+def strip_tags(text: Column, tags: Sequence[str] = TAGS, prefix_match: bool = False) -> Column:
+    """text without the tags of these elements; content and other tags stay. prefix_match: opening
+    tags of all elements whose names begin so go too, closing ones by exact name."""
+    if prefix_match:
+        return F.regexp_replace(text, rf"<{names(tags)}[^>]*>|</{names(tags)}>", "")
     return F.regexp_replace(text, rf"</?{names(tags)}(?:\s[^>]*)?/?>", "")
 
 

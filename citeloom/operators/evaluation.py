@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from citeloom.functions import labels as L, markup, urn
 from citeloom.operators import labelling
+from citeloom.sources.storage import stored
 
 
 def drop_ignored(both: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def entity_prf(truth: DataFrame, predicted: DataFrame) -> DataFrame:
 
 def classification_report(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """name (a type, or micro, macro, weighted), precision, recall, f1, support."""
-    by = _entities(truth, predicted).groupBy("type").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum(F.col("t") * F.col("p")).alias("h"))
+    by = stored(_entities(truth, predicted).groupBy("type").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum(F.col("t") * F.col("p")).alias("h")))
     score = ["precision", "recall", "f1"]
     types = by.select(F.col("type").alias("name"), *_scores(F.col("h"), F.col("p"), F.col("t")), F.col("t").alias("support"))
     micro = by.agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum("h").alias("h")).select(F.lit("micro").alias("name"), *_scores(F.col("h"), F.col("p"), F.col("t")), F.col("t").alias("support"))

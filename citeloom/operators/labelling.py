@@ -6,7 +6,7 @@ gaps and islands make entities.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -59,23 +59,30 @@ def argmax_labels(scores: DataFrame, column: str = "scores") -> DataFrame:
     return scores.withColumn("label_id", L.argmax(F.col(column)))
 
 
-def label_windows(windows: DataFrame, predictor: Callable[[], Callable[[pd.DataFrame], pd.Series]], size: int = 512) -> DataFrame:
-    """windows (doc_id, window_idx, pos, token, ...) with label, by the user's predictor.
+def label_windows(windows: DataFrame, predictor: Callable[[], Callable[[pd.Series], Iterable[Sequence[str]]]], size: int = 512) -> DataFrame:
+    """windows (see tokens.windows) as a row a token: doc_id, window_idx, n, pos, start, end, token, label.
 
-    predictor() is called once a task and gives a function from rows to labels. A window's rows arrive together
-    only if the caller has grouped them; a predictor that needs whole windows takes them as one row each. More
-    than ``size`` tokens in a window are an error.
+    predictor() is called once a task and gives a function from windows, a Series with the list of tokens of each,
+    to their labels, a sequence for each window: windows are always whole. More than ``size`` tokens in a window are
+    an error, as is another number of labels than tokens.
     """
-    columns = windows.select("doc_id", "window_idx", "pos", "token")
-    over = columns.groupBy("doc_id", "window_idx").agg(F.count("*").alias("n")).where(F.col("n") > size).agg(F.count("*").alias("n"))
-    checked = columns.crossJoin(F.broadcast(over.select(F.assert_true(F.col("n") == 0, f"a window has more than {size} tokens").alias("fine"))))
+    fine = F.assert_true(F.size("tokens") <= size, f"a window has more than {size} tokens")
+    part = lambda name: F.transform("tokens", lambda x: x[name])
+    rows = windows.select("doc_id", "window_idx", "n", "first", part("token").alias("token"), part("start").alias("start"), part("end").alias("end"), fine.alias("fine"))
+    rows = rows.where("fine is null").drop("fine")
+    columns = ", ".join(f"{name} {kind}" for name, kind in rows.withColumnRenamed("end", "`end`").dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = predictor()
         for batch in batches:
-            yield batch.assign(label=predict(batch))
-
-    return checked.where("fine is null").drop("fine").mapInPandas(run, columns.schema.add("label", "string"))
+            labels = [list(x) for x in predict(batch["token"])]
+            if [len(x) for x in labels] != [len(x) for x in batch["token"]]:
+                raise ValueError("a predictor must give each token of a window a label")
+            yield batch.assign(label=labels)
+
+    out = rows.mapInPandas(run, f"{columns}, label array<string>")
+    out = out.select("doc_id", "window_idx", "n", "first", F.posexplode(F.arrays_zip("start", "end", "token", "label")).alias("i", "x"))
+    return out.select("doc_id", "window_idx", "n", (F.col("first") + F.col("i")).alias("pos"), "x.start", "x.end", "x.token", "x.label")
 
 
 def decode_entities(labelled: DataFrame, mode: str = "insert") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from citeloom.functions.arrays import let
 from citeloom.sources.storage import stored
 
 PREVIEW = 200
@@ -21,17 +22,14 @@ def exact_leaks(df: DataFrame) -> DataFrame:
     return pairs.groupBy("split1", "split2").agg(F.sum(F.col("n1") * F.col("n2")).alias("hits"))
 
 
-def shingles(df: DataFrame, width: int = 5) -> DataFrame:
-    """id, split, shingle (hash), n (the set's size): distinct shingles of ``width`` words, lower case."""
+def shingle_sets(df: DataFrame, width: int = 5) -> DataFrame:
+    """id, split, s (array of the hashes of the distinct shingles of ``width`` words, lower case, in order), n (its
+    size): one row a text that has so many words."""
     words = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-
-    def grams(w: Column) -> Column:
-        return F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, width), " "))))
-
-    # The words are bound by an outer transform: named in the inner one, they would be split anew for each shingle.
-    bound = F.get(F.transform(F.array(words), grams), F.lit(0))
-    rows = _texts(df).select("id", "split", F.array_distinct(bound).alias("s")).where("s is not null")
-    return rows.select("id", "split", F.size("s").alias("n"), F.explode("s").alias("shingle"))
+    gram = lambda w: lambda i: F.xxhash64(F.array_join(F.slice(w, i, width), " "))
+    grams = lambda w: F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (width - 1), F.lit(1))), gram(w)))
+    rows = _texts(df).select("id", "split", F.array_sort(F.array_distinct(let(words, grams))).alias("s")).where("s is not null")
+    return rows.select("id", "split", "s", F.size("s").alias("n"))
 
 
 def similarity(both: Column, n_a: Column, n_b: Column) -> Column:
@@ -39,36 +37,46 @@ def similarity(both: Column, n_a: Column, n_b: Column) -> Column:
     return F.coalesce(F.try_divide(both.cast("double"), n_a + n_b - both), F.lit(0.0))
 
 
-def levenshtein_ratio(a: Column, b: Column) -> Column:
-    """1 - distance / longer length; 1 for two empty texts."""
-    longer = F.greatest(F.length(a), F.length(b))
-    return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longer)
+def levenshtein_ratio(a: Column, b: Column, least: float | None = None) -> Column:
+    """1 - distance / longer length; 1 for two empty texts. With least, null where the lengths alone rule it out."""
+    longer, shorter = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
+    out = F.when(longer == 0, 1.0)
+    if least is not None:
+        out = out.when(shorter < least * longer, F.lit(None).cast("double"))
+    return out.otherwise(1 - F.levenshtein(a, b) / longer)
+
+
+def pair_similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (id1, id2, ...) with n1, n2 and similarity, from whole sets (id, s, n) as of shingle_sets."""
+    of = lambda k: sets.select(F.col("id").alias(f"id{k}"), F.col("s").alias(f"s{k}"), F.col("n").alias(f"n{k}"))
+    both = pairs.join(of(1), "id1").join(of(2), "id2")
+    return both.withColumn("similarity", similarity(F.size(F.array_intersect("s1", "s2")), F.col("n1"), F.col("n2"))).drop("s1", "s2")
 
 
 def fuzzy_leaks(df: DataFrame, threshold: float = 0.9, width: int = 5) -> DataFrame:
     """split1, split2, id1, id2, similarity of different texts in two splits with Jaccard >= threshold; exact.
 
     A prefix filter keeps the join small and loses nothing: with shingles ordered from rare to common, two sets
-    that are so similar share one of the first n - ceil(t * n) + 1. Only those are joined, so a shingle that a
-    large group shares is joined only by sets that have hardly anything rarer. Equal sets are joined once.
+    that are so similar share one of the first n - ceil(t * n) + 1. Shingles that one split alone has come first
+    and can't be shared, so they're only counted: what is left of the prefix is all that is joined. Equal sets of
+    a split are joined once.
     """
-    rows = stored(shingles(df, width))
-    sets = rows.groupBy("id", "split", "n").agg(F.sum(F.col("shingle").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("shingle")).alias("xor"))
+    sets = stored(shingle_sets(df, width).withColumns({"x": F.xxhash64("s"), "y": F.xxhash64(F.lit(1), "s")}))
     # Sets that are equal stand for each other: one for each split goes on.
-    alike = ["n", "sum", "xor", "split"]
-    lead = sets.groupBy(*alike).agg(F.min("id").alias("lead"))
-    of_lead = sets.join(lead, alike).select("id", "split", "lead")
-    rows = rows.join(lead.select(F.col("lead").alias("id")), "id", "left_semi")
-    frequency = rows.groupBy("shingle").agg(F.count("*").alias("df"))
-    ranked = rows.join(frequency, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle")))
-    prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.round(F.col("n") * threshold, 6)) + 1).select("shingle", "id", "split", "n")
+    alike = ["n", "x", "y", "split"]
+    lead = stored(sets.groupBy(*alike).agg(F.min("id").alias("lead")))
+    leads = sets.join(lead.select(F.col("lead").alias("id")), "id", "left_semi")
+    rows = leads.select("id", "split", "n", F.explode("s").alias("shingle"))
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("split").alias("low"), F.max("split").alias("high")).where("low <> high").select("shingle", "df")
+    by = Window.partitionBy("id").orderBy("df", "shingle")
+    ranked = rows.join(shared, "shingle").withColumn("rank", F.row_number().over(by)).withColumn("shared", F.count("*").over(Window.partitionBy("id")))
+    last = F.col("n") - F.ceil(F.round(F.col("n") * threshold, 6)) + 1
+    prefix = stored(ranked.where(F.col("n") - F.col("shared") + F.col("rank") <= last).select("shingle", "id", "split", "n"))
     one, two = prefix.toDF("shingle", "id1", "split1", "n1"), prefix.toDF("shingle", "id2", "split2", "n2")
     near = one.join(two, "shingle").where(f"split1 < split2 and least(n1, n2) >= {threshold} * greatest(n1, n2)")
-    pairs = stored(near.select("id1", "split1", "n1", "id2", "split2", "n2").distinct())
-    mine, other = rows.select(F.col("id").alias("id1"), "shingle"), rows.select(F.col("id").alias("id2"), "shingle")
-    both = pairs.join(mine, "id1").join(other, ["id2", "shingle"]).groupBy("id1", "split1", "n1", "id2", "split2", "n2").agg(F.count("*").alias("both"))
-    both = both.withColumn("similarity", similarity(F.col("both"), F.col("n1"), F.col("n2"))).where(F.col("similarity") >= threshold)
-    full = both.select(F.col("id1").alias("lead1"), F.col("id2").alias("lead2"), "similarity")
+    pairs = stored(near.select("id1", "split1", "id2", "split2").distinct())
+    full = pair_similarity(pairs, leads).where(F.col("similarity") >= threshold).select(F.col("id1").alias("lead1"), F.col("id2").alias("lead2"), "similarity")
+    of_lead = sets.join(lead, alike).select("id", "split", "lead")
     full = full.join(of_lead.toDF("id1", "split1", "lead1"), "lead1").join(of_lead.toDF("id2", "split2", "lead2"), "lead2")
     texts = _texts(df).select("id", F.xxhash64("text").alias("hash"))
     full = full.join(texts.toDF("id1", "hash1"), "id1").join(texts.toDF("id2", "hash2"), "id2").where("hash1 <> hash2")

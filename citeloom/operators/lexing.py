@@ -1,7 +1,7 @@
 """Markup as rows: pieces that tile a document, spans of named elements, rebuilt text.
 
-A total pattern cuts a document into pieces; offsets are running sums of lengths within the document, in code
-points. Nothing is parsed or re-serialised, so every operator keeps the source text as it is, and unbalanced
+A total pattern cuts a document into pieces; offsets are running sums of lengths inside the document's row, in
+code points, so nothing is shuffled for them. Nothing is parsed or re-serialised, so every operator keeps the source text as it is, and unbalanced
 markup is no error. Input: (doc_id, text); a null text has no piece.
 """
 
@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from citeloom.functions import markup
+from citeloom.functions.arrays import let, running_ends
+from citeloom.operators.tokens import token_array
 
 #: comment | CDATA | instruction | script | style | tag | text | a lone bracket
 PIECE = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>]*>|[^<]+|<"
@@ -37,58 +39,90 @@ def _kind(piece: Column) -> Column:
     )
 
 
+def pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+
+
+def piece_array(text: Column) -> Column:
+    """array<struct<start, end, piece>> of a text."""
+    placed = lambda piece, end: F.struct((end - F.length(piece)).alias("start"), end.alias("end"), piece.alias("piece"))
+    return let(pieces(text), lambda x: F.zip_with(x, running_ends(F.transform(x, F.length)), placed))
+
+
 def markup_events(docs: DataFrame) -> DataFrame:
     """doc_id, pos, start, end, kind, name ('' but for tags; lower case), piece."""
-    rows = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))).alias("pos", "piece"))
-    end = F.sum(F.length("piece")).over(_doc().rowsBetween(Window.unboundedPreceding, 0)).cast("int")
-    rows = rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("piece")).withColumn("kind", _kind(F.col("piece")))
+    rows = docs.select("doc_id", F.posexplode(piece_array(F.col("text"))).alias("pos", "x")).select("doc_id", "pos", "x.*")
+    rows = rows.withColumn("kind", _kind(F.col("piece")))
     tag = F.col("kind").isin("open", "close", "selfclose")
     name = F.when(tag, F.lower(F.regexp_extract("piece", NAME, 1))).otherwise("")
     return rows.select("doc_id", "pos", "start", "end", "kind", name.alias("name"), "piece")
 
 
-def rebuild(pieces: DataFrame, text: str = "text") -> DataFrame:
-    """Pieces of each document joined in order."""
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "piece")))
-    return pieces.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), "").alias(text))
+def without_tags(docs: DataFrame, names: Sequence[str], local: bool = False) -> DataFrame:
+    """doc_id, text without the tags of these elements; local: a prefix before the name is ignored."""
+    name = lambda x: F.lower(F.regexp_extract(x, NAME, 1))
+    named = (lambda x: F.regexp_replace(name(x), "^.*:", "")) if local else name
+    kept = F.filter("x", lambda x: ~x.startswith("<") | ~named(x).isin(*names) | (_kind(x) == "raw"))
+    return docs.select("doc_id", pieces(F.col("text")).alias("x")).where("size(x) > 0").select("doc_id", F.array_join(kept, "").alias("text"))
 
 
 def strip_elements(docs: DataFrame, names: Sequence[str]) -> DataFrame:
     """doc_id, text without the tags of these elements, by name alone (case and prefix ignored)."""
-    local = F.regexp_replace("name", "^.*:", "")
-    return rebuild(markup_events(docs).where(~local.isin(*names)))
+    return without_tags(docs, names, local=True)
 
 
-def mark(events: DataFrame, types: Mapping[str, str]) -> DataFrame:
-    """events with type (null but for tags of these elements) and at, the offset in the stripped text."""
-    kinds = F.create_map(*(F.lit(x) for pair in types.items() for x in pair))
-    events = events.withColumn("type", F.when(F.col("name").isin(*types), F.element_at(kinds, F.col("name"))))
-    kept = F.when(F.col("type").isNull(), F.length("piece")).otherwise(0)
-    return events.withColumn("at", F.coalesce(F.sum(kept).over(_doc().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+def paired(tags: DataFrame, *keep: str) -> DataFrame:
+    """tags (doc_id, pos, kind, name, ...) with twin, for closing tags the columns keep of the opening tag that they
+    pair with.
+
+    A closing tag pairs with the nearest open one of its name that is unpaired: the two stand next to each other
+    among the tags of one name and depth. Unpaired tags are left out, so are opening ones.
+    """
+    step = F.when(F.col("kind") == "open", 1).otherwise(-1)
+    by_name = Window.partitionBy("doc_id", "name").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    tags = tags.where("kind in ('open', 'close')").withColumn("level", F.sum(step).over(by_name) + F.when(F.col("kind") == "close", 1).otherwise(0))
+    twin = F.lag(F.struct("kind", *keep)).over(Window.partitionBy("doc_id", "name", "level").orderBy("pos"))
+    return tags.withColumn("twin", twin).where("kind = 'close' and twin.kind = 'open'").drop("level")
 
 
 def spans_of(events: DataFrame, types: Mapping[str, str]) -> DataFrame:
-    """doc_id, start, end, type, attrs of these elements, in offsets of the stripped text.
+    """doc_id, start, end, type, attrs of these elements, in offsets of the text without their tags.
 
-    A closing tag pairs with the nearest open one of its name that is unpaired: the two stand next to each other
-    among the tags of one name and depth. Unpaired tags give no span, self-closing ones an empty span.
+    Unpaired tags give no span (see paired), self-closing ones an empty span. Only these tags are shuffled.
     """
-    tags = mark(events, types).where("type is not null")
-    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    by_name = Window.partitionBy("doc_id", "name").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    tags = tags.withColumn("level", F.sum(step).over(by_name) + F.when(F.col("kind") == "close", 1).otherwise(0))
-    pair = Window.partitionBy("doc_id", "name", "level").orderBy("pos")
-    twin = F.lag(F.struct("kind", "at", "piece")).over(pair)
-    paired = tags.where("kind <> 'selfclose'").withColumn("twin", twin).where("kind = 'close' and twin.kind = 'open'")
-    paired = paired.select("doc_id", F.col("twin.at").alias("start"), F.col("at").alias("end"), "type", markup.attributes(F.col("twin.piece")).alias("attrs"))
+    kinds = F.create_map(*(F.lit(x) for pair in types.items() for x in pair))
+    tags = events.where(F.col("name").isin(*types)).withColumn("type", F.element_at(kinds, F.col("name")))
+    gone = F.sum(F.length("piece")).over(_doc().rowsBetween(Window.unboundedPreceding, -1))
+    tags = tags.withColumn("at", (F.col("start") - F.coalesce(gone, F.lit(0))).cast("int"))
+    both = paired(tags, "at", "piece").select("doc_id", F.col("twin.at").alias("start"), F.col("at").alias("end"), "type", markup.attributes(F.col("twin.piece")).alias("attrs"))
     alone = tags.where("kind = 'selfclose'").select("doc_id", F.col("at").alias("start"), F.col("at").alias("end"), "type", markup.attributes(F.col("piece")).alias("attrs"))
-    return paired.union(alone)
+    return both.union(alone)
 
 
 def strip_with_spans(docs: DataFrame, types: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text without these tags) and their spans."""
-    events = markup_events(docs)
-    return rebuild(events.where(~F.col("name").isin(*types))), spans_of(events, types)
+    return without_tags(docs, list(types)), spans_of(markup_events(docs), types)
+
+
+def drop_splitting(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """spans (of the text of docs) without those that hold one tag of an element and not the other.
+
+    The join is by document and block of code points: a span is in all blocks that it covers, a tag in one.
+    """
+    block = 512
+    tags = paired(markup_events(docs), "start").select("doc_id", F.col("twin.start").alias("a"), F.col("start").alias("z"))
+    tags = tags.select("doc_id", F.col("a").alias("at"), F.col("z").alias("other")).union(tags.select("doc_id", "z", "a")).withColumn("block", F.expr(f"at div {block}"))
+    rows = spans.withColumn("sid", F.xxhash64("doc_id", "start", "end", "type"))
+    look = rows.where("start < end").select("doc_id", "sid", "start", "end", F.explode(F.expr(f"sequence(start div {block}, (end - 1) div {block})")).alias("block"))
+    bad = look.join(tags, ["doc_id", "block"]).where("start <= at and at < end and not (start <= other and other < end)").select("doc_id", "sid").distinct()
+    return rows.join(bad, ["doc_id", "sid"], "left_anti").select(*spans.columns)
+
+
+def text_tokens(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, token>> of what stands between markup: no token is, or reaches into, a piece of it."""
+    none = F.expr("cast(array() as array<struct<start: int, end: int, token: string>>)")
+    each = lambda x: F.when(x["piece"].startswith("<"), none).otherwise(token_array(x["piece"], pattern, x["start"]))
+    return F.flatten(F.transform(piece_array(text), each))
 
 
 def snap_spans(spans: DataFrame, docs: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from citeloom.functions import markup
 from citeloom.operators import lexing
+from citeloom.sources.storage import stored
 
 
 def tag_counts(docs: DataFrame, tags: Sequence[str] = markup.TAGS) -> DataFrame:
@@ -49,24 +50,45 @@ def tag_proportions(counts: DataFrame, tags: Sequence[str] = markup.TAGS) -> Dat
     return counts.withColumns({f"p_{t}": F.try_divide(F.col(f"n_{t}").cast("double"), F.col("n_tags")) for t in tags})
 
 
+def medians(rows: DataFrame, columns: Sequence[str], parts: int = 1000) -> DataFrame:
+    """One row: the exact median of each column (null if it has no value), as the mean of the two middle values.
+
+    Different values are counted first, wherever they are. Splitters of each column, from a mergeable sketch, cut its
+    values in about ``parts`` parts of equal counts; only those parts that hold a middle value are ranked.
+    """
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns))).alias("x")
+    counts = stored(rows.select(pairs).select("x.*").where("value is not null").groupBy("name", "value").agg(F.count("*").alias("n")))
+    cuts = counts.groupBy("name").agg(F.percentile_approx("value", [k / parts for k in range(1, parts)], 10 * parts).alias("cuts"), F.sum("n").alias("total"))
+    counts = counts.join(F.broadcast(cuts), "name").withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("value"))))  # a row a column is broadcast
+    parted = counts.groupBy("name", "total", "part").agg(F.sum("n").alias("n"))  # as many rows a column as parts
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    low, high = F.expr("(total + 1) div 2"), F.expr("total div 2 + 1")
+    middle = parted.withColumn("before", before).where((low <= F.col("before") + F.col("n")) & (high > F.col("before"))).select("name", "part", "before")
+    ranked = counts.join(F.broadcast(middle), ["name", "part"])
+    ranked = ranked.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("name", "part").orderBy("value")))
+    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("value")))
+    median = ranked.groupBy("name").agg(((at(low) + at(high)) / 2).alias("median"))
+    return median.agg(*(F.max(F.when(F.col("name") == c, F.col("median"))).alias(f"{c}_median") for c in columns))
+
+
 def corpus_profile(counts: DataFrame, tags: Sequence[str] = markup.TAGS, min_tags: int = 100) -> DataFrame:
     """One row: documents in and out, and statistics of totals, counts and shares over those in.
 
-    Exact medians; the standard deviation is the population's. One aggregation, so partial sums are combined.
+    Medians are exact; the standard deviation is the population's. All else is one aggregation of partial sums.
     """
-    rows = tag_proportions(counts, tags)
+    rows = stored(tag_proportions(counts, tags))
     kept = F.col("n_tags") >= min_tags
+    names = {"n_tags": "tags"} | {f"{p}_{t}": t + "_share" * (p == "p") for t in tags for p in "np"}
 
-    def stats(column: str, name: str, total: bool = True) -> list:
-        x = F.when(kept, F.col(column))
-        out = [F.sum(x).alias(f"{name}_total")] if total else []
-        return out + [F.avg(x).alias(f"{name}_mean"), F.percentile(x, 0.5).alias(f"{name}_median"), F.min(x).alias(f"{name}_min"), F.max(x).alias(f"{name}_max")]
+    def stats(column: str) -> list:
+        x, name = F.when(kept, F.col(column)), names[column]
+        out = [] if column.startswith("p_") else [F.sum(x).alias(f"{name}_total")]
+        return out + [F.avg(x).alias(f"{name}_mean"), F.min(x).alias(f"{name}_min"), F.max(x).alias(f"{name}_max")]
 
-    columns = [F.sum(kept.cast("long")).alias("n_included"), F.sum((~kept).cast("long")).alias("n_excluded"), F.lit(min_tags).alias("min_tags")]
-    columns += [*stats("n_tags", "tags"), F.stddev_pop(F.when(kept, F.col("n_tags"))).alias("tags_stddev")]
-    for t in tags:
-        columns += [*stats(f"n_{t}", t), *stats(f"p_{t}", f"{t}_share", total=False)]
-    return rows.agg(*columns)
+    columns = [F.sum(kept.cast("long")).alias("n_included"), F.sum((~kept).cast("long")).alias("n_excluded"), F.lit(min_tags).alias("min_tags"), F.stddev_pop(F.when(kept, F.col("n_tags"))).alias("tags_stddev")]
+    found = rows.agg(*columns, *(x for c in names for x in stats(c)))
+    middle = medians(rows.where(kept), list(names))
+    return found.crossJoin(F.broadcast(middle.select(*(F.col(f"{c}_median").alias(f"{n}_median") for c, n in names.items()))))  # one row each
 
 
 def char_weighted_proportions(counts: DataFrame, tags: Sequence[str] = markup.TAGS, min_tags: int = 100) -> DataFrame:

@@ -8,8 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from citeloom.functions import urn as U
+from citeloom.sources.storage import stored
 
 SEPARATOR = " [SEP] "
+#: Ranked candidates that are sent to every task at most.
+BROADCAST_ROWS = 100_000
 
 
 def _parsed(citations: DataFrame) -> DataFrame:
@@ -67,6 +70,10 @@ def rank_candidates(queries: DataFrame, p_author: DataFrame, p_work: DataFrame,
     # Ranked once a key, however many queries ask for it.
     best = authors.join(works, ["key", "author"]).withColumn("confidence", F.col("p_author") * F.col("p_work"))
     best = best.withColumn("rank", first(["key"], F.round("confidence", 12), "author", "work")).select("key", "author", "work", "confidence", "rank")
+    best = stored(best)
+    # At most k * k rows a key: few keys go to every task, so a key that many queries ask for isn't one task's.
+    if best.count() <= BROADCAST_ROWS:
+        best = F.broadcast(best)
     out = queries.select("id", "key").join(best, "key", "left")
     return out.select("id", "author", "work", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("rank", F.lit(1)).alias("rank"))
 

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from citeloom.sources.storage import stored
+
 SPLITS = ("train", "val", "test")
 
 
@@ -15,6 +17,11 @@ def check_ratios(ratios: Sequence[float]) -> tuple[float, float, float]:
     return tuple(ratios)
 
 
+def ratios_fit(train: Column, val: Column, test: Column) -> Column:
+    """The same test on columns."""
+    return (F.abs(train + val + test - 1) <= 1e-6) & (F.least(train, val, test) >= 0)
+
+
 def group_sizes(df: DataFrame, key: str = "filename") -> DataFrame:
     """key, n."""
     return df.groupBy(key).agg(F.count("*").alias("n"))
@@ -24,27 +31,48 @@ def _chance(seed: int, *parts: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), *(p.cast("string") for p in parts)))
 
 
-def group_assignment(df: DataFrame, key: str, ratios: Sequence[float] = (0.8, 0.1, 0.1), seed: int = 42, trials: int = 100, tolerance: float = 0.02) -> DataFrame:
+def chance_ranks(groups: DataFrame, key: str, *by: str) -> DataFrame:
+    """groups (key, chance, ...) with rank, from 0 in the order of chance, for each value of by.
+
+    No task ranks all groups: those that share the first digits of their hash are counted, the counts are summed
+    (4096 rows a value of by), and groups are ranked inside those.
+    """
+    groups = groups.withColumn("bucket", F.substring("chance", 1, 3))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = groups.groupBy(*by, "bucket").agg(F.count("*").alias("size")).select(*by, "bucket", before.alias("before"))
+    rank = F.row_number().over(Window.partitionBy(*by, "bucket").orderBy("chance", key)) - 1
+    ranked = groups.withColumn("within", rank).join(sizes, [*by, "bucket"])
+    return ranked.withColumn("rank", F.col("before") + F.col("within")).drop("bucket", "before", "within")
+
+
+def group_assignment(df: DataFrame, key: str, ratios: Sequence[float] = (0.8, 0.1, 0.1), seed: int = 42, trials: int = 100, tolerance: float = 0.02, at_once: int = 10) -> DataFrame:
     """key, split. Each trial orders the groups by chance: the first floor(train * groups) train, the next
     floor(val * groups) validate, the rest test. The first trial whose shares of rows are all within tolerance
     of the ratios is taken, else the one that is nearest.
 
-    Groups, not rows, are multiplied by trials.
+    Groups, not rows, take part in trials, ``at_once`` of which are looked at together; the first that fits is the last.
     """
     train, val, test = check_ratios(ratios)
-    sizes = group_sizes(df, key)
-    rows = sizes.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    rows = rows.withColumn("chance", _chance(seed, F.col("trial"), F.col(key)))
-    by = Window.partitionBy("trial")
-    rows = rows.withColumn("rank", F.row_number().over(by.orderBy("chance", key))).withColumn("groups", F.count("*").over(by))
-    last = F.floor(F.col("groups") * train)
-    split = F.when(F.col("rank") <= last, "train").when(F.col("rank") <= last + F.floor(F.col("groups") * val), "val").otherwise("test")
-    rows = rows.withColumn("split", split)
+    sizes = stored(group_sizes(df, key))
+    n_groups = sizes.count()
+
+    def tried(first: int, last: int) -> DataFrame:
+        rows = sizes.withColumn("trial", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        rows = chance_ranks(rows.withColumn("chance", _chance(seed, F.col("trial"), F.col(key))), key, "trial")
+        end = F.floor(F.lit(n_groups) * F.lit(train))
+        split = F.when(F.col("rank") < end, "train").when(F.col("rank") < end + F.floor(F.lit(n_groups) * F.lit(val)), "val").otherwise("test")
+        return rows.withColumn("split", split)
+
     share = lambda s: F.coalesce(F.sum(F.when(F.col("split") == s, F.col("n"))), F.lit(0)) / F.sum("n")
-    off = rows.groupBy("trial").agg(F.greatest(*(F.abs(share(s) - r) for s, r in zip(SPLITS, (train, val, test)))).alias("off"))
-    first = F.min(F.when(F.col("off") <= tolerance, F.col("trial")))
-    best = off.agg(F.coalesce(first, F.min_by("trial", F.struct(F.round("off", 12), "trial"))).alias("trial"))
-    return rows.join(F.broadcast(best), "trial").select(key, "split")
+    worst = F.round(F.greatest(*(F.abs(share(s) - r) for s, r in zip(SPLITS, (train, val, test)))), 12).alias("off")
+    seen: list[tuple[float, int]] = []
+    for first in range(0, trials, at_once):
+        found = sorted((r["trial"], r["off"]) for r in tried(first, min(first + at_once, trials) - 1).groupBy("trial").agg(worst).collect())  # a row a trial
+        seen += [(off, trial) for trial, off in found]
+        if fits := [trial for trial, off in found if off <= tolerance]:
+            return tried(fits[0], fits[0]).select(key, "split")
+    best = min(seen)[1] if seen else 0
+    return tried(best, best).select(key, "split")
 
 
 def group_split(df: DataFrame, key: str, ratios: Sequence[float] = (0.8, 0.1, 0.1), seed: int = 42, trials: int = 100, tolerance: float = 0.02) -> DataFrame:
@@ -77,13 +105,8 @@ def holdout(df: DataFrame, key: str, fraction: float = 0.1, seed: int = 42) -> D
 def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """df with fold (0..k-1), whole groups in turn in the order of chance.
 
-    The groups are ranked without gathering them in one task: by the first two hex digits of their hash, and
-    within those.
+    See chance_ranks: no task ranks them all.
     """
     groups = df.select(key).distinct().withColumn("chance", _chance(seed, F.col(key)))
-    groups = groups.withColumn("bucket", F.substring("chance", 1, 2))
-    sizes = groups.groupBy("bucket").agg(F.count("*").alias("n"))  # 256 rows
-    before = sizes.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("chance", key)) - 1
-    folds = groups.withColumn("rank", rank).join(F.broadcast(before), "bucket").select(key, ((F.col("rank") + F.col("before")) % k).cast("int").alias("fold"))
+    folds = chance_ranks(groups, key).select(key, (F.col("rank") % k).cast("int").alias("fold"))
     return df.join(folds, key, "left")

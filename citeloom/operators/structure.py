@@ -74,15 +74,18 @@ def post_process(docs: DataFrame, spans: DataFrame) -> DataFrame:
 def tag_corpus(docs: DataFrame, predictor: Callable, types: Mapping[str, str], preserve_existing: bool = True, size: int = 512, stride: int = 256) -> DataFrame:
     """doc_id, text with the tags that the predictor's labels give, in every document.
 
-    Existing tags of these elements are taken out first; with preserve_existing their spans come back and win.
+    Existing tags of these elements are taken out first; with preserve_existing their spans come back and win. The
+    predictor sees what stands between other markup, so declarations, comments and attributes are never tagged, and
+    a new span that would hold one tag of another element without its twin is dropped: no tag stands in a tag,
+    and elements stay as well paired as they were.
     """
     text, existing = map(stored, lexing.strip_with_spans(docs, types))
-    tokens = T.tokenize_with_offsets(text)
-    labelled = labelling.label_windows(T.sliding_windows(tokens, size, stride), predictor, size)
-    merged = T.merge_window_labels(labelled, tokens, size, stride)
+    labelled = labelling.label_windows(T.windows(text, size, stride, lexing.text_tokens(F.col("text"), T.TOKEN)), predictor, size)
+    merged = T.merge_window_labels(labelled, size, stride).select("doc_id", "pos", "start", "end", "label")
     if preserve_existing:
-        merged = labelling.resolve_against_existing(merged.select("doc_id", "pos", "start", "end", "label"), existing)
-    new = labelling.trim_spans(labelling.decode_entities(merged).where("start < end"), text).where("start < end").withColumn("attrs", F.lit(""))
+        merged = labelling.resolve_against_existing(stored(merged), existing)
+    new = labelling.trim_spans(labelling.decode_entities(merged).where("start < end"), text).where("start < end")
+    new = lexing.drop_splitting(new, text).withColumn("attrs", F.lit(""))
     spans = stored(new.unionByName(existing) if preserve_existing else new)
     names = {t: n for n, t in types.items()}
     return labelling.render(text, post_process(text, spans), names | ({} if "CIT" in names else {"CIT": "cit"}))

@@ -1,24 +1,30 @@
-"""Tokens with offsets and overlapping windows over them. Input: (doc_id, text)."""
+"""Tokens with offsets and overlapping windows over them. Input: (doc_id, text).
+
+Offsets are made inside a document's row, so nothing is shuffled to number or place its tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from citeloom.functions.arrays import let, running_ends
+
 TOKEN = r"\s*(?:[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s])|\s+$"
 #: The same, where a boundary marker is one token.
 MARKED = r"\s*(?:\[(?:BIBL|QUOTE|CIT)_(?:START|END)\]|[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s])|\s+$"
 
 
-def _doc():
-    """The rows of a document in order."""
-    return Window.partitionBy("doc_id").orderBy("pos")
+def token_array(text: Column, pattern: str = TOKEN, offset: Column | int = 0) -> Column:
+    """array<struct<start, end, token>>: tokens tile the text, leading blanks belong to the token."""
+    placed = lambda token, end: F.struct((end - F.length(token) + offset).alias("start"), (end + offset).alias("end"), token.alias("token"))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.zip_with(x, running_ends(F.transform(x, F.length)), placed))
 
 
-def tokenize_with_offsets(docs: DataFrame, pattern: str = TOKEN) -> DataFrame:
-    """doc_id, pos, start, end, token: tokens tile the text, leading blanks belong to the token."""
-    rows = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("pos", "token"))
-    end = F.sum(F.length("token")).over(_doc().rowsBetween(Window.unboundedPreceding, 0)).cast("int")
-    return rows.withColumn("end", end).select("doc_id", "pos", (F.col("end") - F.length("token")).alias("start"), "end", "token")
+def tokenize_with_offsets(docs: DataFrame, pattern: str = TOKEN, counted: bool = False) -> DataFrame:
+    """doc_id, pos, start, end, token; counted: and n, how many tokens the document has."""
+    rows = docs.select("doc_id", token_array(F.col("text"), pattern).alias("x"))
+    rows = rows.select("doc_id", *([F.size("x").alias("n")] if counted else []), F.posexplode("x").alias("pos", "x"))
+    return rows.select("doc_id", "pos", "x.start", "x.end", "x.token", *(["n"] if counted else []))
 
 
 def sliding_windows(tokens: DataFrame, size: int = 512, stride: int = 256) -> DataFrame:
@@ -32,15 +38,29 @@ def sliding_windows(tokens: DataFrame, size: int = 512, stride: int = 256) -> Da
     return tokens.withColumn("window_idx", F.explode(F.sequence(first.cast("int"), F.expr(f"cast(pos div {stride} as int)"))))
 
 
-def window_bounds(windows: DataFrame) -> DataFrame:
-    """doc_id, window_idx, window_start, window_end (offsets), n_tokens."""
-    return windows.groupBy("doc_id", "window_idx").agg(F.min("start").alias("window_start"), F.max("end").alias("window_end"), F.count("*").alias("n_tokens"))
+def windows(docs: DataFrame, size: int = 512, stride: int = 256, tokens: Column | None = None) -> DataFrame:
+    """doc_id, window_idx, n, first, tokens: the same windows, one a row with all its tokens as an array.
+
+    n: tokens of the document; first: position of the window's first token.
+    """
+    if not 0 < stride <= size:
+        raise ValueError("0 < stride <= size is needed")
+    rows = docs.select("doc_id", (token_array(F.col("text")) if tokens is None else tokens).alias("x")).where("size(x) > 0")
+    each = lambda i: F.struct((i / stride).cast("int").alias("window_idx"), i.alias("first"), F.slice("x", i + 1, F.lit(size)).alias("tokens"))
+    every = F.transform(F.sequence(F.lit(0), F.size("x") - 1, F.lit(stride)), each)
+    rows = rows.select("doc_id", F.size("x").alias("n"), F.explode(every).alias("w"))
+    return rows.select("doc_id", "w.window_idx", "n", "w.first", "w.tokens")
+
+
+def window_bounds(windows: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, window_idx, window_start, window_end (offsets), n_tokens, and further columns."""
+    start, end = F.element_at("tokens", 1)["start"], F.element_at("tokens", -1)["end"]
+    return windows.select("doc_id", "window_idx", start.alias("window_start"), end.alias("window_end"), F.size("tokens").cast("long").alias("n_tokens"), *more)
 
 
-def window_text(windows: DataFrame, docs: DataFrame) -> DataFrame:
-    """Each window's bounds and its slice of the source text."""
-    text = F.substring(F.col("text"), F.col("window_start") + 1, F.col("window_end") - F.col("window_start"))
-    return window_bounds(windows).join(docs.select("doc_id", "text"), "doc_id").withColumn("window_text", text).drop("text")
+def window_text(windows: DataFrame) -> DataFrame:
+    """Each window's bounds and its slice of the source text, which its tokens tile."""
+    return window_bounds(windows, F.array_join(F.transform("tokens", lambda x: x["token"]), "").alias("window_text"))
 
 
 def owner(pos: Column, n: Column, size: int = 512, stride: int = 256) -> Column:
@@ -57,15 +77,15 @@ def owner(pos: Column, n: Column, size: int = 512, stride: int = 256) -> Column:
 
 
 def reliable_center(tokens: DataFrame, size: int = 512, stride: int = 256) -> DataFrame:
-    """tokens with owner: every token has exactly one."""
-    n = F.count("*").over(Window.partitionBy("doc_id"))
-    return tokens.withColumn("n", n).withColumn("owner", owner(F.col("pos"), F.col("n"), size, stride)).drop("n")
+    """tokens with owner: every token has exactly one. Without a column n the tokens of a document are counted."""
+    if "n" not in tokens.columns:
+        tokens = tokens.withColumn("n", F.count("*").over(Window.partitionBy("doc_id")))
+    return tokens.withColumn("owner", owner(F.col("pos"), F.col("n"), size, stride)).drop("n")
 
 
-def merge_window_labels(labelled: DataFrame, tokens: DataFrame, size: int = 512, stride: int = 256) -> DataFrame:
-    """labelled (doc_id, window_idx, pos, label), each token's label from its owning window."""
-    owners = reliable_center(tokens, size, stride).withColumnRenamed("owner", "window_idx")
-    return owners.join(labelled.select("doc_id", "window_idx", "pos", "label"), ["doc_id", "window_idx", "pos"])
+def merge_window_labels(labelled: DataFrame, size: int = 512, stride: int = 256) -> DataFrame:
+    """labelled (doc_id, window_idx, n, pos, label, ...): each token's row of its owning window."""
+    return labelled.where(F.col("window_idx") == owner(F.col("pos"), F.col("n"), size, stride))
 
 
 def clip_spans_to_windows(spans: DataFrame, size: int = 512, stride: int = 256) -> DataFrame:

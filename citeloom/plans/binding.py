@@ -73,11 +73,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Sentences end here; each two of a text make a citation.
+_ENDS = r"[.!?\n]+"
+_MOST = 10_000_000
+
+
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, bibl, quote, filename, lang, urn; every eighth is unresolved."""
-    urn = F.expr("case when doc_id % 8 = 0 then '' else concat('urn:cts:', lang, 'Lit:', source, '.w', doc_id % 7, '.', lang, '1:', doc_id) end")
-    d = documents(spark, sf_dir)
-    return d.select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("bibl"), F.substring("text", 41, 60).alias("quote"), F.concat("source", F.lit(".xml")).alias("filename"), "lang", urn.alias("urn"))
+    """id, bibl, quote, filename, lang, urn, doc_id: the sentences of every document, two by two; every eighth row is
+    unresolved."""
+    sentences = F.filter(F.split("text", _ENDS, -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    d = documents(spark, sf_dir).select("doc_id", "lang", "source", sentences.alias("s"))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("s") - 1, F.lit(2)), lambda i: F.struct(F.get("s", i).alias("bibl"), F.coalesce(F.get("s", i + 1), F.lit("")).alias("quote")))
+    rows = d.where("size(s) > 0").select("doc_id", "lang", "source", F.posexplode(pairs).alias("i", "x"))
+    urn = F.expr("case when (doc_id + i) % 8 = 0 then '' else concat('urn:cts:', lang, 'Lit:', source, '.w', (doc_id + i) % 7, '.', lang, '1:', doc_id, '.', i) end")
+    return rows.select((F.col("doc_id") * _MOST + F.col("i")).alias("id"), "x.bibl", "x.quote", F.concat("source", F.lit(".xml")).alias("filename"), "lang", urn.alias("urn"), "doc_id")
 
 
 def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,14 +129,19 @@ def span_tables(key: str, types: Mapping[str, str]) -> None:
 
 
 TABLES["t_pages"] = "SELECT page_id AS doc_id, html AS text FROM pages"
-TABLES["t_raw"] = f"SELECT doc_id, unnest(x) AS piece, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, {literal(lexing.PIECE)}) AS x FROM t_pages)"
-TABLES["t_kinds"] = r"""SELECT doc_id, pos, e - length(piece) AS start, e AS "end", piece,
-    CASE WHEN starts_with(piece, '<!--') THEN 'comment' WHEN starts_with(piece, '<![CDATA[') THEN 'cdata' WHEN starts_with(piece, '<?') OR starts_with(piece, '<!') THEN 'instruction'
-    WHEN regexp_matches(piece, '^<(?:script|style)\b') AND length(piece) - length(replace(piece, '<', '')) > 1 THEN 'raw'
-    WHEN regexp_matches(piece, '^</?[A-Za-z_]') AND starts_with(piece, '</') THEN 'close' WHEN regexp_matches(piece, '^</?[A-Za-z_]') AND ends_with(piece, '/>') THEN 'selfclose'
-    WHEN regexp_matches(piece, '^</?[A-Za-z_]') AND ends_with(piece, '>') THEN 'open' ELSE 'text' END AS kind
-    FROM (SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS e FROM t_raw)"""
-TABLES["t_events"] = f"""SELECT doc_id, pos, start, "end", kind, CASE WHEN kind IN ('open', 'close', 'selfclose') THEN lower(regexp_extract(piece, {literal(lexing.NAME)}, 1)) ELSE '' END AS name, piece FROM t_kinds"""
+def events_sql(source: str) -> str:
+    """The pieces of a table's texts, with offset, kind and name."""
+    return rf"""SELECT doc_id, pos, start, "end", kind, CASE WHEN kind IN ('open', 'close', 'selfclose') THEN lower(regexp_extract(piece, {literal(lexing.NAME)}, 1)) ELSE '' END AS name, piece FROM
+    (SELECT doc_id, pos, e - length(piece) AS start, e AS "end", piece,
+      CASE WHEN starts_with(piece, '<!--') THEN 'comment' WHEN starts_with(piece, '<![CDATA[') THEN 'cdata' WHEN starts_with(piece, '<?') OR starts_with(piece, '<!') THEN 'instruction'
+      WHEN regexp_matches(piece, '^<(?:script|style)\b') AND length(piece) - length(replace(piece, '<', '')) > 1 THEN 'raw'
+      WHEN regexp_matches(piece, '^</?[A-Za-z_]') AND starts_with(piece, '</') THEN 'close' WHEN regexp_matches(piece, '^</?[A-Za-z_]') AND ends_with(piece, '/>') THEN 'selfclose'
+      WHEN regexp_matches(piece, '^</?[A-Za-z_]') AND ends_with(piece, '>') THEN 'open' ELSE 'text' END AS kind FROM
+      (SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS e FROM
+        (SELECT doc_id, unnest(x) AS piece, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, {literal(lexing.PIECE)}) AS x FROM {source}))))"""
+
+
+TABLES["t_events"] = events_sql("t_pages")
 span_tables("n", NESTED)
 span_tables("a", ADJACENT)
 span_tables("p", PAIRED)
@@ -138,8 +152,10 @@ TABLES["t_bounds"] = """SELECT doc_id, window_idx, min(start) AS window_start, m
 _H = (SIZE - STRIDE) // 2
 TABLES["t_owned"] = f"""SELECT *, CAST(CASE WHEN ks = 0 THEN 0 WHEN pos >= {STRIDE} * ks + {_H} THEN ks ELSE greatest(0, floor((pos - {_H}) / {STRIDE})) END AS BIGINT) AS owner
     FROM (SELECT *, CASE WHEN n < {SIZE} THEN 0 ELSE floor((n - {SIZE}) / {STRIDE}) + 1 END AS ks FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM t_tokens))"""
-TABLES["t_cites"] = """SELECT doc_id AS id, substring(text, 1, 40) AS bibl, substring(text, 41, 60) AS quote, concat(source, '.xml') AS filename, lang,
-    CASE WHEN doc_id % 8 = 0 THEN '' ELSE concat('urn:cts:', lang, 'Lit:', source, '.w', doc_id % 7, '.', lang, '1:', doc_id) END AS urn FROM documents"""
+TABLES["t_sentences"] = rf"""SELECT doc_id, lang, source, x AS s FROM (SELECT *, list_filter(regexp_split_to_array(text, '{_ENDS}'), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS x FROM documents) WHERE len(x) > 0"""
+TABLES["t_cites"] = f"""SELECT doc_id * {_MOST} + i AS id, s[2 * i + 1] AS bibl, coalesce(s[2 * i + 2], '') AS quote, concat(source, '.xml') AS filename, lang,
+    CASE WHEN (doc_id + i) % 8 = 0 THEN '' ELSE concat('urn:cts:', lang, 'Lit:', source, '.w', (doc_id + i) % 7, '.', lang, '1:', doc_id, '.', i) END AS urn, doc_id
+    FROM t_sentences, LATERAL (SELECT unnest(generate_series(0, (len(s) - 1) // 2)) AS i)"""
 
 
 def parse_sql(urn: str, prefix: str = "") -> str:

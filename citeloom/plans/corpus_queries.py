@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citeloom.functions import urn as U
+from citeloom.functions.arrays import let
 from citeloom.operators import evaluation, leakage as K, profiling, resolution as R, splitting as S, structure, tokens as T
 from citeloom.plans import binding as B, label_queries, markup_queries
 from citeloom.plans.binding import query
@@ -31,15 +32,19 @@ def read_examples(spark, sf):
     return readers.read_examples(spark, path)[0].select("context", "filename")
 
 
-@query("a3_read_contexts_numbered", "SELECT count(*) AS n, count(DISTINCT CASE WHEN doc_id % 10 <> 0 THEN source END) AS contexts, CAST(sum(CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS bad FROM documents")
+@query(
+    "a3_read_contexts_numbered",
+    "SELECT part, row_number() OVER (PARTITION BY part ORDER BY doc_id) AS line, CASE WHEN doc_id % 10 <> 0 THEN md5(text) END AS context FROM (SELECT *, doc_id // 500 AS part FROM documents)",
+)
 def read_contexts_numbered(spark, sf):
     path = storage.new_path(spark, "lines")
-    d = B.documents(spark, sf)
-    line = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit('{"xml_context": "'), "source")).otherwise(F.to_json(F.struct(F.col("source").alias("xml_context"))))
-    d.select(line.alias("value")).write.text(path)
+    line = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit('{"xml_context": "'), "source")).otherwise(F.to_json(F.struct(F.col("text").alias("xml_context"))))
+    rows = B.documents(spark, sf).select(F.expr("doc_id div 500").alias("part"), "doc_id", line.alias("value"))
+    # A file for each 500 ids, its lines in their order.
+    rows.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(path)
     good, bad = readers.read_contexts_numbered(spark, path)
-    both = good.select("file", "line", "context").union(bad.select("file", "line", F.lit(None).cast("string")))
-    return both.agg(F.countDistinct("file", "line").alias("n"), F.countDistinct("context").alias("contexts"), F.sum(F.col("context").isNull().cast("int")).alias("bad"))
+    both = good.select("file", "line", F.md5("context").alias("context")).union(bad.select("file", "line", F.lit(None).cast("string")))
+    return both.select(F.regexp_extract("file", "part=([0-9]+)", 1).cast("long").alias("part"), "line", "context")
 
 
 @query("a4_read_resolution", "SELECT bibl, lower(bibl) AS ref, urn, coalesce(CASE WHEN id % 2 = 0 THEN quote END, '') AS quote FROM t_cites WHERE urn <> ''")
@@ -49,15 +54,23 @@ def read_resolution(spark, sf):
     return readers.read_resolution(spark, path)[0].select("bibl", "ref", "urn", "quote")
 
 
-@query("a5_read_xml_corpus", "SELECT count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT source, string_agg(text || chr(10), '') AS text FROM documents GROUP BY source)")
+_DECLARED = '<?xml version="1.0" encoding="UTF-8"?>'
+
+
+@query(
+    "a5_read_xml_corpus",
+    f"""SELECT source, part, 'UTF-8' AS charset, length(text) AS chars, md5(text) AS digest FROM
+    (SELECT source, doc_id // 64 AS part, '{_DECLARED}<corpus>' || string_agg('<text>' || text || '</text>', chr(10) ORDER BY doc_id) || '</corpus>' || chr(10) AS text FROM documents GROUP BY ALL)""",
+)
 def read_xml_corpus(spark, sf):
     path = storage.new_path(spark, "xml")
-    d = B.documents(spark, sf).select("source", "text")
-    # A file a source: Spark's text writer makes them, whatever names it gives them.
-    d.repartition("source").write.partitionBy("source").text(path)
-    files = readers.read_xml_corpus(spark, f"{path}/*", "*.txt")
-    by = files.groupBy(F.regexp_extract("filename", "source=([^/]+)", 1).alias("source")).agg(F.sum(F.length("text")).alias("chars"))
-    return by.agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    d = B.documents(spark, sf).select("source", F.expr("doc_id div 64").alias("part"), "doc_id", F.concat(F.lit("<text>"), "text", F.lit("</text>")).alias("text"))
+    # A file for each 64 ids of a source: a bounded number of texts, in their order.
+    each = d.groupBy("source", "part").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    each.select("source", "part", F.concat(F.lit(f"{_DECLARED}<corpus>"), "text", F.lit("</corpus>")).alias("value")).write.partitionBy("source", "part").text(path)
+    files = readers.read_xml_corpus(spark, f"{path}/*/*", "*.txt")
+    key = lambda name: F.regexp_extract("filename", f"{name}=([^/]+)", 1)
+    return files.select(key("source").alias("source"), key("part").cast("long").alias("part"), "charset", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
 @query("a6_write_splits", "SELECT split, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM t_split GROUP BY split")
@@ -88,7 +101,7 @@ def write_tagged(spark, sf):
 def write_windows(spark, sf):
     path = storage.new_path(spark, "windows")
     docs = B.documents(spark, sf)
-    windows = T.window_text(T.sliding_windows(T.tokenize_with_offsets(docs.select("doc_id", "text")), B.SIZE, B.STRIDE), docs)
+    windows = T.window_text(T.windows(docs, B.SIZE, B.STRIDE))
     writers.write_windows(windows.join(docs.select("doc_id", F.col("source").alias("filename")), "doc_id"), path)
     return writers.read_back(spark, path, "window_text string, filename string")
 
@@ -134,10 +147,17 @@ def _hosts(spark, sf):
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.regexp_extract("url", "^https?://([^/:]+)", 1).alias("host"))
 
 
-@query("g1_check_ratios", "SELECT count(*) AS n, true AS fine FROM documents")
+_SHARE = "sum(CASE WHEN split = '{}' THEN 1 ELSE 0 END) / count(*)"
+B.TABLES["t_shares"] = f"""SELECT source, {', '.join(f"{_SHARE.format(s)} AS {s}" for s in S.SPLITS)} FROM t_split JOIN (SELECT doc_id AS id, source FROM documents) USING (id) GROUP BY source"""
+
+
+@query("g1_check_ratios", "SELECT source, round(train, 6) AS train, abs(train + val + test - 1) <= 1e-6 AS whole, abs(train + val - 1) <= 1e-6 AS without_test, abs(2 * train + val + test - train - 1) <= 1e-6 AND -test >= 0 AS negative FROM t_shares")
 def check_ratios(spark, sf):
     S.check_ratios(_RATIOS)
-    return B.documents(spark, sf).agg(F.count("*").alias("n")).withColumn("fine", F.lit(True))
+    rows = B.split_documents(spark, sf).join(B.documents(spark, sf).select(F.col("doc_id").alias("id"), "source"), "id")
+    shares = rows.groupBy("source").agg(*(F.avg((F.col("split") == s).cast("int")).alias(s) for s in S.SPLITS))
+    train, val, test = (F.col(s) for s in S.SPLITS)
+    return shares.select("source", "train", S.ratios_fit(train, val, test).alias("whole"), S.ratios_fit(train, val, F.lit(0.0)).alias("without_test"), S.ratios_fit(train + 2 * test, val, -test).alias("negative"))
 
 
 @query("g2_group_sizes", "SELECT host, count(*) AS n FROM t_hosts GROUP BY host")
@@ -200,12 +220,23 @@ def fuzzy_leaks(spark, sf):
     return K.fuzzy_leaks(B.split_documents(spark, sf), 0.8)
 
 
-@query("h3_similarity", "SELECT id1, id2, round(both_ / (x.n + y.n - both_), 6) AS jaccard FROM t_shared s JOIN t_sizes x ON s.id1 = x.id JOIN t_sizes y ON s.id2 = y.id WHERE s.split1 = 'test' AND s.split2 = 'val'")
+B.TABLES["t_least"] = "SELECT id2, id1 FROM (SELECT id AS id2, min(id) OVER (PARTITION BY least_) AS id1 FROM (SELECT id, min(md5(shingle)) AS least_ FROM t_shingles GROUP BY id)) WHERE id1 <> id2"
+
+
+@query(
+    "h3_similarity",
+    """SELECT p.id1, p.id2, round(coalesce(both_, 0) / (x.n + y.n - coalesce(both_, 0)), 6) AS jaccard FROM t_least p JOIN t_sizes x ON p.id1 = x.id JOIN t_sizes y ON p.id2 = y.id
+    LEFT JOIN (SELECT id1, id2, count(*) AS both_ FROM t_least JOIN t_shingles a ON a.id = id1 JOIN t_shingles b ON b.id = id2 AND a.shingle = b.shingle GROUP BY ALL) s ON s.id1 = p.id1 AND s.id2 = p.id2""",
+)
 def similarity(spark, sf):
-    rows = K.shingles(B.split_documents(spark, sf).where("split <> 'train'"))
-    one, two = rows.toDF("id1", "split1", "n1", "shingle"), rows.toDF("id2", "split2", "n2", "shingle")
-    pairs = one.join(two, "shingle").where("split1 < split2").groupBy("id1", "id2", "n1", "n2").agg(F.count("*").alias("both"))
-    return pairs.select("id1", "id2", K.similarity(F.col("both"), F.col("n1"), F.col("n2")).alias("jaccard"))
+    """Of all splits, each text that shares its least shingle (by md5) with an earlier one, and the first of those."""
+    docs = B.split_documents(spark, sf)
+    words = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    grams = lambda w: F.array_min(F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.md5(F.array_join(F.slice(w, i, 5), " "))))
+    least = docs.select("id", let(words, lambda w: F.when(F.size(w) >= 5, grams(w))).alias("least")).where("least is not null")
+    first = least.groupBy("least").agg(F.min("id").alias("id1"))
+    pairs = least.join(first, "least").where("id <> id1").select("id1", F.col("id").alias("id2"))
+    return K.pair_similarity(pairs, K.shingle_sets(docs)).select("id1", "id2", F.col("similarity").alias("jaccard"))
 
 
 @query(
@@ -312,19 +343,21 @@ def resolution_coverage(spark, sf):
     return R.resolution_coverage(B.citations(spark, sf), "filename").withColumn("filename", F.coalesce("filename", F.lit("all")))
 
 
-B.TABLES["t_grams"] = "SELECT DISTINCT text, substring(text, k, 3) AS gram FROM (SELECT DISTINCT lower(substring(bibl, 1, 24)) AS text FROM t_cites), LATERAL (SELECT unnest(generate_series(1, greatest(length(text) - 2, 1))) AS k) WHERE text <> ''"
+B.TABLES["t_titles"] = "SELECT id, lower(bibl) AS text, urn FROM (SELECT *, min(id) OVER (PARTITION BY doc_id) AS first FROM t_cites) WHERE id = first"
+B.TABLES["t_grams"] = "SELECT DISTINCT text, substring(text, k, 3) AS gram FROM (SELECT DISTINCT text FROM t_titles), LATERAL (SELECT unnest(generate_series(1, greatest(length(text) - 2, 1))) AS k) WHERE text <> ''"
 B.TABLES["t_gram_sizes"] = "SELECT text, count(*) AS n FROM t_grams GROUP BY text"
 
 
 @query(
     "j10_retrieve_similar",
-    """SELECT c.id AS query, urn, round(similarity, 6) AS similarity, rank FROM (SELECT id, lower(substring(bibl, 1, 24)) AS q FROM t_cites WHERE urn = '') c JOIN
+    """SELECT c.id AS query, urn, round(similarity, 6) AS similarity, rank FROM (SELECT id, text AS q FROM t_titles WHERE urn = '') c JOIN
     (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(similarity, 9) DESC, urn) AS rank FROM (SELECT q, urn, max(similarity) AS similarity FROM
       (SELECT a.text AS q, b.text AS t, count(*) / (x.n + y.n - count(*)) AS similarity FROM t_grams a JOIN t_grams b USING (gram) JOIN t_gram_sizes x ON x.text = a.text JOIN t_gram_sizes y ON y.text = b.text
-       WHERE a.text IN (SELECT lower(substring(bibl, 1, 24)) FROM t_cites WHERE urn = '') GROUP BY a.text, b.text, x.n, y.n) JOIN (SELECT DISTINCT lower(substring(bibl, 1, 24)) AS t, urn FROM t_cites WHERE urn <> '') USING (t) WHERE similarity >= 0.3 GROUP BY q, urn)) r USING (q) WHERE rank <= 5""",
+       WHERE a.text IN (SELECT text FROM t_titles WHERE urn = '') GROUP BY a.text, b.text, x.n, y.n) JOIN (SELECT DISTINCT text AS t, urn FROM t_titles WHERE urn <> '') USING (t) WHERE similarity >= 0.3 GROUP BY q, urn)) r USING (q) WHERE rank <= 5""",
 )
 def retrieve_similar(spark, sf):
-    cites = B.citations(spark, sf).select("id", F.substring("bibl", 1, 24).alias("text"), "urn")
+    """Whole first sentences, the titles of the documents."""
+    cites = B.citations(spark, sf).where(f"id % {B._MOST} = 0").select("id", F.col("bibl").alias("text"), "urn")
     return R.retrieve_similar(cites.where("urn = ''"), cites.where("urn <> ''"))
 
 
@@ -367,15 +400,18 @@ def co_citations(spark, sf):
 
 @query(
     "i8_urn_metrics",
-    """SELECT count(*) AS n, round(avg(exact), 6) AS exact, round(avg(a), 6) AS author_accuracy, round(avg(w), 6) AS work_accuracy, 0.0 AS passage_accuracy, round(avg(covered), 6) AS coverage, round(avg(top), 6) AS precision_at_k FROM
-    (SELECT id, max(CASE WHEN rank = 1 AND truth = candidate THEN 1 ELSE 0 END) AS exact, max(CASE WHEN rank = 1 AND ta = author THEN 1 ELSE 0 END) AS a, max(CASE WHEN rank = 1 AND tw = work THEN 1 ELSE 0 END) AS w, max(CASE WHEN rank = 1 AND candidate IS NOT NULL THEN 1 ELSE 0 END) AS covered,
-     max(CASE WHEN rank <= 3 AND truth = candidate THEN 1 ELSE 0 END) AS top FROM (SELECT p.id, p.author AS ta, p.work AS tw, 'urn:cts:' || p.namespace || ':' || p.work AS truth, 'urn:cts:' || p.namespace || ':' || k.work AS candidate, k.author, k.work, k.rank FROM t_parsed p JOIN t_candidates k USING (id)) GROUP BY id)""",
+    """SELECT count(*) AS n, round(avg(exact), 6) AS exact, round(avg(a), 6) AS author_accuracy, round(avg(w), 6) AS work_accuracy, round(avg(p), 6) AS passage_accuracy, round(avg(covered), 6) AS coverage, round(avg(top), 6) AS precision_at_k FROM
+    (SELECT id, max(CASE WHEN rank = 1 AND truth = candidate THEN 1 ELSE 0 END) AS exact, max(CASE WHEN rank = 1 AND ta = author THEN 1 ELSE 0 END) AS a, max(CASE WHEN rank = 1 AND tw = work THEN 1 ELSE 0 END) AS w, max(CASE WHEN rank = 1 AND tp = cp AND work IS NOT NULL THEN 1 ELSE 0 END) AS p, max(CASE WHEN rank = 1 AND candidate IS NOT NULL THEN 1 ELSE 0 END) AS covered,
+     max(CASE WHEN rank <= 3 AND truth = candidate THEN 1 ELSE 0 END) AS top FROM
+     (SELECT *, 'urn:cts:' || namespace || ':' || tw || ':' || tp AS truth, 'urn:cts:' || namespace || ':' || work || ':' || cp AS candidate FROM
+      (SELECT p.id, p.namespace, p.author AS ta, p.work AS tw, p.passage AS tp, CASE WHEN p.id % 3 = 0 THEN 'x' ELSE p.passage END AS cp, k.author, k.work, k.rank FROM t_parsed p JOIN t_candidates k USING (id))) GROUP BY id)""",
 )
 def urn_metrics(spark, sf):
     truth = B.citations(spark, sf).select("id", U.parse(F.col("urn")).alias("p")).where("p is not null")
     rows = truth.join(_candidates(spark, sf), "id")
-    whole = lambda w: F.concat(F.lit("urn:cts:"), "p.namespace", F.lit(":"), w)
-    return evaluation.urn_metrics(rows.select("id", whole("p.work").alias("truth"), whole("work").alias("candidate"), "rank"))
+    whole = lambda work, passage: F.concat(F.lit("urn:cts:"), "p.namespace", F.lit(":"), work, F.lit(":"), passage)
+    passage = F.when(F.col("id") % 3 == 0, "x").otherwise(F.col("p.passage"))  # of every third the wrong one
+    return evaluation.urn_metrics(rows.select("id", whole("p.work", F.col("p.passage")).alias("truth"), whole("work", passage).alias("candidate"), "rank"))
 
 
 @query("i9_threshold_sweep", "SELECT t AS threshold, round(avg(CASE WHEN confidence >= t THEN 1 ELSE 0 END), 6) AS coverage, round(coalesce(sum(CASE WHEN confidence >= t AND id % 3 = 0 THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN confidence >= t THEN 1 ELSE 0 END), 0), 0), 6) AS precision FROM t_candidates, (VALUES (0.0), (0.005), (0.01), (0.02)) v(t) GROUP BY t")

@@ -76,15 +76,19 @@ def argmax_labels(spark, sf):
 
 def _capitals():
     """A predictor for the queries: a token with a capital begins a citation."""
-    import numpy as np
+    import re
 
-    return lambda batch: np.where(batch["token"].str.match(r"\s*[A-Z]"), "B-BIBL", "O")
+    capital = re.compile(r"\s*[A-Z]")
+    return lambda windows: [["B-BIBL" if capital.match(t) else "O" for t in window] for window in windows]
 
 
-@query("d5_label_windows", r"SELECT doc_id, window_idx, pos, token, CASE WHEN regexp_matches(token, '^\s*[A-Z]') THEN 'B-BIBL' ELSE 'O' END AS label FROM t_windows")
+_CAPITAL = r"CASE WHEN regexp_matches(token, '^\s*[A-Z]') THEN 'B-BIBL' ELSE 'O' END"
+
+
+@query("d5_label_windows", f"SELECT doc_id, window_idx, pos, token, {_CAPITAL} AS label FROM t_windows")
 def label_windows(spark, sf):
-    windows = T.sliding_windows(T.tokenize_with_offsets(B.documents(spark, sf).select("doc_id", "text")), B.SIZE, B.STRIDE)
-    return labelling.label_windows(windows, _capitals, B.SIZE)
+    windows = T.windows(B.documents(spark, sf), B.SIZE, B.STRIDE)
+    return labelling.label_windows(windows, _capitals, B.SIZE).select("doc_id", "window_idx", "pos", "token", "label")
 
 
 B.TABLES["t_page_labels"] = f'SELECT doc_id, pos, start, "end", {B.chance_label_sql("doc_id", "pos")} AS label FROM t_page_tokens'
@@ -107,12 +111,13 @@ def decode_chunks(spark, sf):
     return labelling.decode_entities(_page_labels(spark, sf)[0], "chunk")
 
 
-@query(
-    "d7_resolve_against_existing",
-    """SELECT doc_id, pos, start, "end", CASE WHEN hit = 1 OR (skip = 1 AND starts_with(label, 'I')) THEN 'O' ELSE label END AS label FROM
+def resolved_sql(labels: str, spans: str) -> str:
+    return f"""SELECT doc_id, pos, start, "end", CASE WHEN hit = 1 OR (skip = 1 AND starts_with(label, 'I')) THEN 'O' ELSE label END AS label FROM
     (SELECT *, coalesce(last_value(CASE WHEN starts_with(label, 'B') AND hit = 1 THEN 1 WHEN NOT starts_with(label, 'I') THEN 0 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING), 0) AS skip FROM
-      (SELECT l.doc_id, l.pos, l.start, l."end", l.label, CASE WHEN l.label <> 'O' AND EXISTS (SELECT 1 FROM t_spans_n s WHERE s.doc_id = l.doc_id AND ((s.start < l."end" AND l.start < s."end") OR (s."end" = l.start AND s.type = substring(l.label, 3)))) THEN 1 ELSE 0 END AS hit FROM t_page_labels l))""",
-)
+      (SELECT l.doc_id, l.pos, l.start, l."end", l.label, CASE WHEN l.label <> 'O' AND EXISTS (SELECT 1 FROM {spans} s WHERE s.doc_id = l.doc_id AND ((s.start < l."end" AND l.start < s."end") OR (s."end" = l.start AND s.type = substring(l.label, 3)))) THEN 1 ELSE 0 END AS hit FROM {labels} l))"""
+
+
+@query("d7_resolve_against_existing", resolved_sql("t_page_labels", "t_spans_n"))
 def resolve_against_existing(spark, sf):
     labels, _, spans = _page_labels(spark, sf)
     return labelling.resolve_against_existing(labels, spans)
@@ -207,7 +212,27 @@ def post_process(spark, sf):
     return structure.post_process(text, spans)
 
 
-@query("e5_tag_corpus")
+# Tagging of whole pages: what stands between the markup of the stripped text is cut into tokens.
+B.TABLES["t_left"] = B.events_sql("t_text_a")
+B.TABLES["t_left_tokens"] = f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY base, i) - 1 AS pos, base + e - length(token) AS start, base + e AS "end", token FROM
+    (SELECT *, CAST(sum(length(token)) OVER (PARTITION BY doc_id, base ORDER BY i) AS BIGINT) AS e FROM
+      (SELECT doc_id, base, unnest(x) AS token, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, start AS base, regexp_extract_all(piece, {B.literal(T.TOKEN)}) AS x FROM t_left WHERE NOT starts_with(piece, '<'))))"""
+B.TABLES["t_left_labels"] = f'SELECT doc_id, pos, start, "end", {_CAPITAL} AS label FROM t_left_tokens'
+B.TABLES["t_left_resolved"] = resolved_sql("t_left_labels", "t_spans_a")
+B.TABLES["t_left_entities"] = entities_table("t_left_resolved", "insert")
+B.TABLES["t_left_trimmed"] = r"""SELECT doc_id, start + length(x) - length(regexp_replace(x, '^[\x20\x09-\x0D]+', '')) AS start, CASE WHEN y = '' THEN "end" ELSE start + length(y) END AS "end", type FROM
+    (SELECT *, regexp_replace(x, '[\x20\x09-\x0D]+$', '') AS y FROM (SELECT s.*, substring(t.text, start + 1, "end" - start) AS x FROM t_left_entities s JOIN t_text_a t USING (doc_id)))"""
+B.TABLES["t_left_level"] = """SELECT *, sum(CASE kind WHEN 'open' THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id, name ORDER BY pos) + CASE kind WHEN 'close' THEN 1 ELSE 0 END AS level FROM t_left WHERE kind IN ('open', 'close')"""
+B.TABLES["t_left_pairs"] = """SELECT doc_id, twin AS a, start AS z FROM (SELECT *, lag(kind) OVER w AS before_, lag(start) OVER w AS twin FROM t_left_level WINDOW w AS (PARTITION BY doc_id, name, level ORDER BY pos)) WHERE kind = 'close' AND before_ = 'open'"""
+B.TABLES["t_left_new"] = """SELECT * FROM t_left_trimmed s WHERE start < "end" AND NOT EXISTS (SELECT 1 FROM t_left_pairs p WHERE p.doc_id = s.doc_id AND (s.start <= a AND a < s."end") <> (s.start <= z AND z < s."end"))"""
+B.TABLES["t_left_spans"] = """SELECT doc_id, start, "end", type, '' AS attrs FROM t_left_new UNION ALL SELECT * FROM t_spans_a"""
+B.TABLES["t_left_uncrossed"] = uncrossed_table("t_left_spans")
+B.TABLES["t_left_merged"] = merged_table("t_left_uncrossed", "t_text_a")
+B.TABLES["t_left_wrapped"] = wrapped_table("t_left_merged", "t_text_a")
+B.TABLES["t_left_named"] = """SELECT doc_id, start, "end", CASE type WHEN 'BIBL' THEN 'h1' WHEN 'QUOTE' THEN 'p' ELSE 'cit' END AS name, attrs FROM (SELECT * FROM t_left_merged UNION ALL SELECT * FROM t_left_wrapped)"""
+
+
+@query("e5_tag_corpus", rendered_sql("t_text_a", "t_left_named"))
 def tag_corpus(spark, sf):
     return structure.tag_corpus(B.pages(spark, sf), _capitals, B.ADJACENT, True, B.SIZE, B.STRIDE)
 
@@ -279,7 +304,7 @@ _ASCII = "regexp_replace({}, '[^\\x00-\\x7F]', '?', 'g') AS text"
 B.TABLES["t_ascii"] = f"SELECT doc_id, {_ASCII.format('text')} FROM t_pages"
 B.TABLES["t_ascii_untagged"] = f"SELECT doc_id, {_ASCII.format('text')} FROM t_untagged"
 B.TABLES["t_bare"] = r"SELECT doc_id, regexp_replace(text, '</?(?:a|li)(?:\s[^>]*)?/?>', '', 'g') AS text FROM t_ascii"
-_CHUNK = 250
+_CHUNK = 10_000
 B.TABLES["t_after"] = distance_sql("t_ascii", "t_ascii_untagged", _CHUNK)
 B.TABLES["t_before"] = distance_sql("t_ascii", "t_bare", _CHUNK)
 

@@ -94,7 +94,7 @@ def snap_span(spark, sf):
 @query("b12_span_text", """SELECT b.doc_id, b.window_idx, md5(substring(d.text, window_start + 1, window_end - window_start)) AS digest FROM t_bounds b JOIN documents d USING (doc_id)""")
 def span_text(spark, sf):
     docs = B.documents(spark, sf).select("doc_id", "text")
-    bounds = T.window_bounds(T.sliding_windows(T.tokenize_with_offsets(docs), B.SIZE, B.STRIDE)).join(docs, "doc_id")
+    bounds = T.window_bounds(T.windows(docs, B.SIZE, B.STRIDE)).join(docs, "doc_id")
     return bounds.select("doc_id", "window_idx", F.md5(markup.slice_text(F.col("text"), F.col("window_start"), F.col("window_end"))).alias("digest"))
 
 
@@ -137,27 +137,25 @@ def fit_length(spark, sf):
 
 @query("c3_sliding_windows", "SELECT * FROM t_bounds")
 def sliding_windows(spark, sf):
-    return T.window_bounds(T.sliding_windows(T.tokenize_with_offsets(B.documents(spark, sf)), B.SIZE, B.STRIDE))
+    return T.window_bounds(T.windows(B.documents(spark, sf), B.SIZE, B.STRIDE))
 
 
 @query("c4_window_text", "SELECT b.*, substring(d.text, window_start + 1, window_end - window_start) AS window_text FROM t_bounds b JOIN documents d USING (doc_id)")
 def window_text(spark, sf):
-    docs = B.documents(spark, sf).select("doc_id", "text")
-    return T.window_text(T.sliding_windows(T.tokenize_with_offsets(docs), B.SIZE, B.STRIDE), docs)
+    return T.window_text(T.windows(B.documents(spark, sf), B.SIZE, B.STRIDE))
 
 
 @query("c5_reliable_center", "SELECT doc_id, owner, count(*) AS n, min(pos) AS first, max(pos) AS last FROM t_owned GROUP BY ALL")
 def reliable_center(spark, sf):
-    owned = T.reliable_center(T.tokenize_with_offsets(B.documents(spark, sf)), B.SIZE, B.STRIDE)
+    owned = T.reliable_center(T.tokenize_with_offsets(B.documents(spark, sf), counted=True), B.SIZE, B.STRIDE)
     return owned.groupBy("doc_id", "owner").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
 
 
 @query("c6_merge_window_labels", f"SELECT doc_id, pos, {B.chance_label_sql('doc_id', 'owner', 'pos')} AS label FROM t_owned")
 def merge_window_labels(spark, sf):
-    tokens = T.tokenize_with_offsets(B.documents(spark, sf))
-    windows = T.sliding_windows(tokens, B.SIZE, B.STRIDE)
-    labelled = windows.select("doc_id", "window_idx", "pos", B.chance_label("doc_id", "window_idx", "pos").alias("label"))
-    return T.merge_window_labels(labelled, tokens, B.SIZE, B.STRIDE).select("doc_id", "pos", "label")
+    windows = T.sliding_windows(T.tokenize_with_offsets(B.documents(spark, sf), counted=True), B.SIZE, B.STRIDE)
+    labelled = windows.select("doc_id", "window_idx", "n", "pos", B.chance_label("doc_id", "window_idx", "pos").alias("label"))
+    return T.merge_window_labels(labelled, B.SIZE, B.STRIDE).select("doc_id", "pos", "label")
 
 
 @query(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 #: The fields of a citation record, all strings.
 CITATION = "bibl string, quote string, xml_context string, filename string, urn string, ref string, n_attrib string, doc_cit_urn string"
@@ -49,11 +50,37 @@ def read_resolution(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return rows.where(fine), rows.where(~fine)
 
 
+#: Character sets that the decoder of column functions knows, by the names that declarations use.
+NATIVE = {"UTF-8": "UTF-8", "UTF8": "UTF-8", "US-ASCII": "US-ASCII", "ASCII": "US-ASCII", "ISO-8859-1": "ISO-8859-1", "LATIN1": "ISO-8859-1", "UTF-16": "UTF-16", "UTF-16LE": "UTF-16", "UTF-16BE": "UTF-16", "UTF-32": "UTF-32"}
+
+
+@F.pandas_udf(T.StringType())
+def _decoded(content: pd.Series, charset: pd.Series) -> pd.Series:
+    """Other character sets; null for one that is unknown."""
+
+    def one(data: bytes | None, name: str) -> str | None:
+        try:
+            return None if data is None else data.decode(name, "replace")
+        except LookupError:
+            return None
+
+    return pd.Series([one(*x) for x in zip(content, charset)], dtype=object)
+
+
 def read_xml_corpus(spark: SparkSession, path: str | list[str], glob: str = "*.xml") -> DataFrame:
-    """filename, text of every file: decoded by the charset that its XML declaration names, else as UTF-8."""
+    """filename, text, charset of every file: decoded by the charset that its XML declaration names, else as UTF-8.
+
+    A file that begins with a byte order mark is UTF-16 or UTF-8 by that. Of an unknown charset text is null.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    head = F.decode(F.substring("content", 1, 200), "ISO-8859-1")
-    name = F.upper(F.regexp_extract(head, r"""^\s*<\?xml[^>]*encoding=["']([A-Za-z0-9._-]+)["']""", 1))
-    text = F.when(name.isin("ISO-8859-1", "LATIN1"), F.decode("content", "ISO-8859-1")).when(name == "US-ASCII", F.decode("content", "US-ASCII"))
-    text = text.when(name.isin("UTF-16", "UTF-16LE", "UTF-16BE"), F.decode("content", "UTF-16")).otherwise(F.decode("content", "UTF-8"))
-    return files.select(F.col("path").alias("filename"), text.alias("text"))
+    mark = F.hex(F.substring("content", 1, 4))
+    head = F.replace(F.decode(F.substring("content", 1, 400), "ISO-8859-1"), F.lit("\x00"), F.lit(""))
+    name = F.upper(F.regexp_extract(head, r"""^[^<]{0,4}\s*<\?xml[^>]*encoding=["']([A-Za-z0-9._-]+)["']""", 1))
+    name = F.when(mark.rlike("^(0000FEFF|FFFE0000)"), "UTF-32").when(mark.rlike("^(FEFF|FFFE)"), "UTF-16").when(mark.startswith("EFBBBF") | (name == ""), "UTF-8").otherwise(name)
+    rows = files.select(F.col("path").alias("filename"), "content", name.alias("charset"))
+    native = F.element_at(F.create_map(*(F.lit(x) for pair in NATIVE.items() for x in pair)), F.col("charset"))
+    text = F.lit(None).cast("string")
+    for known in sorted(set(NATIVE.values())):
+        text = F.when(native == known, F.decode("content", known)).otherwise(text)
+    other = _decoded(F.when(native.isNull(), F.col("content")), F.col("charset"))
+    return rows.select("filename", F.regexp_replace(F.coalesce(text, other), "^\ufeff", "").alias("text"), "charset")

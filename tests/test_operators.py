@@ -1,9 +1,12 @@
 """Golden cases of the annotation operators."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from citeloom.functions import labels as L, markup, urn
+from citeloom.sources import readers
 from citeloom.operators import evaluation, labelling, leakage, lexing, profiling, resolution, splitting, structure, tokens as T
 
 TYPES = {"bibl": "BIBL", "quote": "QUOTE", "cit": "CIT"}
@@ -92,17 +95,79 @@ def test_trim(spark):
     assert [(r.s, r.e) for r in got] == [(2, 5), (3, 3), (0, 2)]
 
 
+def predictors():
+    """One that begins a citation at each capital, and one whose entities run over whatever stands between."""
+    import re
+
+    capitals = lambda: lambda windows: [["B-BIBL" if re.match(r"\s*[A-Z]", t) else "O" for t in w] for w in windows]
+    whole = lambda: lambda windows: [["B-BIBL"] + ["I-BIBL"] * (len(w) - 1) for w in windows]
+    return capitals, whole
+
+
+capitals, whole = predictors()
+
+
+def test_tag_corpus_stays_out_of_markup(spark):
+    from citeloom.plans import binding
+
+    declared = '<?xml version="1.0" encoding="UTF-8"?><!-- A Comment --><p class="Foo">Bar baz</p>'
+    df = texts(spark, declared, "<p>Foo <i>Bar</i> one</p><p>two <b>Il.</p> three</b>", "<i>a</i> b <i>c</i>")
+    got = {r.doc_id: r.text for r in structure.tag_corpus(df, capitals, TYPES, True, 8, 4).collect()}
+    assert got[0] == declared.replace(">Bar baz", "><bibl>Bar</bibl> baz")
+    assert got[1] == "<p><bibl>Foo</bibl> <i><bibl>Bar</bibl></i> one</p><p>two <b><bibl>Il</bibl>.</p> three</b>"
+    got = {r.doc_id: r.text for r in structure.tag_corpus(df, whole, TYPES, True, 64, 64).collect()}
+    assert got[1] == df.where("doc_id = 1").first().text and got[2] == "<i>a</i> b <i>c</i>"
+    got = {r.doc_id: r.text for r in structure.tag_corpus(texts(spark, "x <i>c</i> d"), whole, TYPES, True, 64, 64).collect()}
+    assert got[0] == "<bibl>x <i>c</i> d</bibl>"
+    if os.path.isdir("/root/testdata/sf0.001"):
+        pages = binding.pages(spark, "/root/testdata/sf0.001")
+        tagged = structure.tag_corpus(pages, capitals, binding.ADJACENT, True, 128, 64)
+        nested = "<[^<>]*<[A-Za-z/]"
+        count = lambda d: d.select(F.sum(F.regexp_count("text", F.lit(nested)))).first()[0]
+        assert tagged.count() == pages.count() and count(tagged) <= count(pages)
+        one, two = ({r.doc_id: r.balanced for r in profiling.parse_status(d).collect()} for d in (pages, tagged))
+        assert one == two
+
+
+def test_predictors_get_whole_windows(spark):
+    seen = lambda: lambda ws: [[str(len(w))] * len(w) for w in ws]
+    df = texts(spark, " ".join(f"t{i}" for i in range(2500)), "a b", "")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = labelling.label_windows(T.windows(df, 16, 8), seen, 16).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.doc_id, r.window_idx, r.label) for r in rows} == {(0, i, str(min(16, 2500 - 8 * i))) for i in range(313)} | {(1, 0, "2")}
+    with pytest.raises(Exception, match="each token"):
+        labelling.label_windows(T.windows(df, 16, 8), lambda: lambda ws: [["O"] for w in ws], 16).collect()
+
+
+def test_no_shuffle_before_tokens_and_events(spark):
+    df = texts(spark, "a <b>c</b>")
+    windows = T.sliding_windows(T.tokenize_with_offsets(df, counted=True), 8, 4).withColumn("label", F.lit("O"))
+    for plan in (T.tokenize_with_offsets(df), lexing.markup_events(df), lexing.without_tags(df, ["b"]), T.window_text(T.windows(df, 8, 4)), T.merge_window_labels(windows, 8, 4)):
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_offsets_of_long_texts(spark):
+    words = ["x" * (i % 7 + 1) for i in range(40_000)]
+    got = T.tokenize_with_offsets(texts(spark, " ".join(words))).orderBy("pos").select("start", "end").collect()
+    at = 0
+    for word, row in zip(words, got):
+        assert (row.start, row.end) == (at, at + len(word) + (at > 0))
+        at = row.end
+
+
 def test_tag_corpus_keeps_text(spark):
     df = texts(spark, "<p>Hom said <quote>x y</quote> at Hdt</p>", "", "plain Text")
-    predictor = lambda: lambda b: b["token"].str.match(r"\s*[A-Z]").map({True: "B-BIBL", False: "O"})
+    predictor = capitals
     got = {r.doc_id: r.text for r in structure.tag_corpus(df, predictor, TYPES, True, 8, 4).collect()}
     assert got[0] == "<p><bibl>Hom</bibl> said <quote>x y</quote> at <bibl>Hdt</bibl></p>" and got[2] == "plain <bibl>Text</bibl>"
 
 
 def test_over_long_windows_are_an_error(spark):
-    tokens = T.tokenize_with_offsets(texts(spark, "a b c d e")).withColumn("window_idx", F.lit(0))
     with pytest.raises(Exception, match="more than 3 tokens"):
-        labelling.label_windows(tokens, lambda: lambda b: b["token"], 3).collect()
+        labelling.label_windows(T.windows(texts(spark, "a b c d e"), 5, 5), capitals, 3).collect()
 
 
 def test_profile(spark):
@@ -134,6 +199,61 @@ def test_leaks(spark):
     assert leakage.leak_verdict(leakage.exact_leaks(df)).first().leak
 
 
+def test_leaks_match_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(40)}" for _ in range(rng.randint(3, 40))]
+        for k in range(rng.randint(1, 3)):
+            changed = list(words)
+            for j in rng.sample(range(len(words)), rng.randint(0, 2)):
+                changed[j] = "x"
+            rows.append((len(rows), " ".join(changed), rng.choice(["train", "val", "test"])))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t, _ in rows}
+    for threshold in (0.25, 0.6):
+        want = {(a, b) for a, x, s in rows for b, y, z in rows if s < z and x != y and sets[a] and sets[b] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+        df = spark.createDataFrame(rows, "id long, text string, split string")
+        assert {(r.id1, r.id2) for r in leakage.fuzzy_leaks(df, threshold).collect()} == want and len(want) >= 5
+
+
+def test_medians(spark):
+    import random
+    import statistics
+
+    rng = random.Random(4)
+    for n in (1, 2, 3, 500, 501):
+        rows = [(rng.randrange(5), rng.random(), None if rng.random() < 0.3 else rng.gauss(0, 1), None) for _ in range(n)]
+        got = profiling.medians(spark.createDataFrame(rows, "a int, b double, c double, d double"), ["a", "b", "c", "d"], 20).first()
+        middle = lambda k: statistics.median(x) if (x := [r[k] for r in rows if r[k] is not None]) else None
+        assert [got[f"{c}_median"] for c in "abcd"] == [middle(k) for k in range(4)]
+
+
+def test_declared_charsets(spark, tmp_path):
+    texts = {"UTF-8": "é日", "ISO-8859-1": "é", "windows-1252": "“€”", "ISO-8859-15": "€", "ISO-8859-7": "λόγος", "UTF-16": "日本", "UTF-32": "λ😀", "koi8-r": "слово"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.xml").write_bytes(f'<?xml version="1.0" encoding="{name}"?><p>{text}</p>'.encode(name))
+    (tmp_path / "none.xml").write_bytes("<p>é</p>".encode())
+    (tmp_path / "mark.xml").write_bytes("\ufeff<p>é</p>".encode())
+    (tmp_path / "what.xml").write_bytes(b'<?xml version="1.0" encoding="no-such-set"?><p/>')
+    got = {os.path.basename(r.filename)[:-4]: r.text for r in readers.read_xml_corpus(spark, str(tmp_path)).collect()}
+    assert {k: v and v.split("?>")[-1] for k, v in got.items()} == {k: f"<p>{t}</p>" for k, t in texts.items()} | {"none": "<p>é</p>", "mark": "<p>é</p>", "what": None}
+
+
+def test_flags(spark):
+    df = spark.createDataFrame([("<cit><citation>x</citation></cit>", "abcd", "ab")], "t string, a string, b string")
+    row = df.select(markup.strip_tags(F.col("t"), prefix_match=True).alias("t"), leakage.levenshtein_ratio(F.col("a"), F.col("b")).alias("r"), leakage.levenshtein_ratio(F.col("a"), F.col("b"), 0.6).alias("none")).first()
+    assert tuple(row) == ("x</citation>", 0.5, None)
+
+
+def test_group_split_takes_the_first_trial_that_fits(spark):
+    df = spark.createDataFrame([(f"g{i}",) for i in range(40) for _ in range(1 + i % 5 * 20)], "g string")
+    one, ten = (sorted(map(tuple, splitting.group_assignment(df, "g", (0.6, 0.2, 0.2), at_once=n).collect())) for n in (3, 100))
+    assert one == ten and len(one) == 40
+    assert splitting.group_assignment(df.limit(0), "g").count() == 0
+
+
 def test_entity_scores(spark):
     truth, predicted = labelled(spark, "B-BIBL", "I-BIBL", "O", "B-QUOTE"), labelled(spark, "B-BIBL", "O", "O", "B-QUOTE")
     row = evaluation.entity_prf(truth, predicted).first()
