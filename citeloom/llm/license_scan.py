@@ -1,25 +1,34 @@
 """Licences by canonical digest: whole texts, and lines, looked up among digests of known texts.
 
 A text is brought to one spelling (lower case; copyright lines out; British and joined spellings to one
-form; all punctuation to single spaces) and hashed; equal digests are the same licence. Whole texts and
-single lines are looked up by a hash join with a table of known digests, whose size is fixed by this module.
-DataFrame functions alone. Null texts are empty and have no licence; a line counts as often as it stands.
+form; all punctuation to single spaces) and hashed; equal digests are the same licence. Whole texts are looked up by
+a hash join with a table of known digests: those of KNOWN, whose number this module fixes, and texts that the caller
+gives. Lines are looked up among the former inside their row, so nothing is shuffled. A line is a copyright line only
+if a year, (c), © or a placeholder follows the word: text that is wrapped before "copyright holders" stays.
+DataFrame functions alone.
+
+Null and empty texts have no licence; a line counts as often as it stands. Rows are judged alone: repeated rows, rows
+without a doc_id and very long texts are no special case. Where one text is given for several licences, the first
+license_id in order is taken. Other columns are left alone; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: (pattern, replacement) in this order, on lower-case text: the same in Java's and RE2's syntax.
 SPELLINGS = [
-    (r"(?:^|\n)[ \t]*(?:copyright|\(c\)|©)[^\n]*", "\n"),
+    (r"(?:^|\n)[ \t]*(?:copyright[ \t:]*(?:\(c\)|©|[0-9]{4}|[<\[{])|\(c\)[ \t]|©)[^\n]*", "\n"),
+    (r"all rights reserved", ""),
     (r"licence", "license"),
     (r"licencing", "licensing"),
-    (r"sub[ -]licens", "sublicens"),
+    (r"sub[ \n-]+licens", "sublicens"),
     (r"organis", "organiz"),
     (r"authoris", "authoriz"),
     (r"favour", "favor"),
-    (r"non[ -]commercial", "noncommercial"),
+    (r"non[ \n-]+commercial", "noncommercial"),
     (r"&", " and "),
     (r"https://", "http://"),
     (r"[^a-z0-9]+", " "),
@@ -47,6 +56,11 @@ NAMES = {
 NOTICES = ["Released under the {}.", "Released under {}.", "Licensed under the {}.", "Licensed under {}.", "This work is licensed under the {}.", "This work is licensed under {}.", "This work is licensed under a {}.", "License: {}", "SPDX-License-Identifier: {}", "{}"]
 
 _AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS"'
+_FORMS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_CLAUSES = """1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_DISCLAIMED = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 #: Whole licence texts without their copyright lines, as published.
 TEXTS = {
     "MIT": f"""MIT License
@@ -73,9 +87,55 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
+    "BSD-2-Clause": f"""BSD 2-Clause License
+
+{_FORMS}
+
+{_CLAUSES}
+
+{_DISCLAIMED}""",
+    "BSD-3-Clause": f"""BSD 3-Clause License
+
+{_FORMS}
+
+{_CLAUSES}
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+{_DISCLAIMED}""",
+    "Unlicense": f"""The Unlicense
+
+This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+{_AS_IS}, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <http://unlicense.org/>""",
 }
-#: Also without their title line.
-KNOWN = [*((k, t) for k, text in TEXTS.items() for t in {text, text.split("\n\n", 1)[1]}), *((k, n.format(name)) for k, names in NAMES.items() for name in names for n in NOTICES)]
+#: Titles that stand before these texts, besides their first lines.
+TITLES = {"MIT": ["The MIT License", "The MIT License (MIT)"], "ISC": ["The ISC License"], "0BSD": ["Zero-Clause BSD"], "Zlib": ["zlib License", "The zlib/libpng License"], "BSD-2-Clause": ["Simplified BSD License", "The BSD 2-Clause License"], "BSD-3-Clause": ["New BSD License", "Modified BSD License", "The BSD 3-Clause License"], "Unlicense": []}
+#: Licences whose first line is a title, not text.
+TITLED = [k for k in TEXTS if k != "Zlib"]
+
+
+def _variants(license_id: str, text: str) -> list[str]:
+    """The text with and without title, numbers of its clauses, and Unlicense's last line."""
+    title, body = text.split("\n\n", 1) if license_id in TITLED else ("", text)
+    bodies = [body, re.sub(r"(?m)^[0-9]\. ", "", body)]
+    if license_id == "Unlicense":
+        bodies.append(body.rsplit("\n\n", 1)[0])
+    return [f"{t}\n\n{b}" for t in ("", title, *TITLES[license_id]) for b in bodies]
+
+
+_WHOLE = sorted({(k, t) for k, text in TEXTS.items() for t in _variants(k, text)})
+_LINES = [(k, n.format(name)) for k, names in NAMES.items() for name in names for n in NOTICES]
+KNOWN = [*_WHOLE, *_LINES]
+#: Most letters, digits and blanks of a line that is a notice, and what a longer line must hold to be a whole text
+#: in any of its spellings.
+NOTICE, HINT = 2 * max(len(t) for _, t in _LINES), "(?i)permission|redistribution|unencumbered"
 
 
 def canonical(text: Column) -> Column:
@@ -85,30 +145,30 @@ def canonical(text: Column) -> Column:
     return F.trim(out)
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """digest, license_id: one row a digest, about as many as KNOWN."""
+def known_digests(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
+    """digest, license_id: one row a digest, about as many as KNOWN, and those of more (license_id, text)."""
     known = spark.createDataFrame(KNOWN, "license_id string, text string")
+    if more is not None:
+        known = known.union(more.select(F.col("license_id").cast("string"), F.col("text").cast("string")).where("license_id is not null and trim(text) <> ''"))
     return known.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def license_scan(docs: DataFrame) -> DataFrame:
+def license_scan(docs: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """docs (doc_id, text): doc_id, text_digest, license_id of the whole text or null, n_license_lines,
-    line_licenses (sorted, comma-joined, '' if none); one row a row of docs."""
+    line_licenses (sorted, comma-joined, '' if none); one row a row of docs.
+
+    more (license_id, text): further whole texts; they are joined, however many there are.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = F.broadcast(known_digests(docs.sparkSession))  # fixed size
-    longest = max(len(t) for _, t in KNOWN if "\n" not in t) * 2
-    whole = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.sha2(canonical(F.col("text")), 256).alias("text_digest"))
-    whole = whole.join(known.withColumnRenamed("digest", "text_digest"), "text_digest", "left")
-    # A line far longer than any known one can't have its digest: canonical text is at most a few times shorter.
-    lines = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.where(F.length(F.trim(F.regexp_replace("line", "[^A-Za-z0-9]+", " "))).between(2, longest))
-    found = lines.select("doc_id", "row", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(known, "digest")
-    found = found.groupBy("doc_id", "row", "license_id").agg(F.count("*").alias("n"))
-    found = found.groupBy("doc_id", "row").agg(F.sum("n").alias("n"), F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("line_licenses"))
-    copies = whole.groupBy("doc_id", "row").agg(F.count("*").alias("copies")).where("copies > 1")
-    out = whole.join(found, ["doc_id", "row"], "left").join(copies, ["doc_id", "row"], "left")
-    n = F.coalesce(F.expr("n div coalesce(copies, 1)"), F.lit(0)).alias("n_license_lines")
-    return out.select("doc_id", "text_digest", "license_id", n, F.coalesce("line_licenses", F.lit("")).alias("line_licenses"))
+    known = known_digests(docs.sparkSession)  # fixed size
+    by_digest = F.create_map(*(F.lit(x) for r in known.collect() for x in (r["digest"], r["license_id"])))
+    whole = F.broadcast(known) if more is None else known_digests(docs.sparkSession, more)
+    length = lambda x: F.length(F.trim(F.regexp_replace(x, "[^A-Za-z0-9]+", " ")))
+    maybe = F.filter(F.split("text", "\n", -1), lambda x: (F.length(x) >= 2) & (x.rlike(HINT) | length(x).between(2, NOTICE)))
+    found = F.filter(F.transform(maybe, lambda x: F.try_element_at(by_digest, F.sha2(canonical(x), 256))), lambda x: x.isNotNull())
+    rows = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("text_digest"), found.alias("found"))
+    out = rows.join(whole.withColumnRenamed("digest", "text_digest"), "text_digest", "left")
+    return out.select("doc_id", "text_digest", "license_id", F.size("found").cast("long").alias("n_license_lines"), F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("line_licenses"))
 
 
 def oracle_sql() -> str:
