@@ -70,20 +70,19 @@ def secrets() -> str:
 strong AS ({strong}), loose AS ({weak}),
 weak AS (SELECT * FROM loose w WHERE NOT EXISTS (SELECT 1 FROM strong b WHERE b.doc_id = w.doc_id AND b.s < w.e AND w.s < b.e)),
 parts AS (SELECT *, {role} AS role FROM (SELECT * FROM strong UNION ALL SELECT * FROM weak)),
-linked AS (SELECT doc_id, kind, k, s, e FROM parts w WHERE kind IN ('ident', 'opaque', 'endpoint') AND EXISTS (SELECT 1 FROM parts q WHERE q.doc_id = w.doc_id AND abs(q.s - w.s) <= {secret_scan.SCOPE} AND q.role <> w.role AND (q.role = 'secret' OR w.role = 'secret'))),
+linked AS (SELECT doc_id, kind, k, s, e FROM parts w WHERE kind IN ('ident', 'opaque', 'endpoint') AND EXISTS (SELECT 1 FROM parts q WHERE q.doc_id = w.doc_id AND q.s - w.e <= {secret_scan.SCOPE} AND w.s - q.e <= {secret_scan.SCOPE} AND q.role <> w.role AND (q.role = 'secret' OR w.role = 'secret'))),
 base AS (SELECT doc_id, {text} AS x FROM strong GROUP BY doc_id),
 every AS (SELECT doc_id, {text} AS x FROM (SELECT * FROM strong UNION ALL SELECT * FROM linked) GROUP BY doc_id)
 SELECT t.doc_id, {counts}, sha256(coalesce(b.x, '')) AS base_sha256, coalesce(a.x, '') AS spans, (SELECT count(*) FROM linked x WHERE x.doc_id = t.doc_id) AS n_linked FROM texts t LEFT JOIN base b USING (doc_id) LEFT JOIN every a USING (doc_id)"""
 
 
 def decontamination() -> str:
-    window, token = seed_decontamination.WINDOW, r"[^\x20\x09-\x0D!-/:-@\[-`{-~]+"
-    need = -(-seed_decontamination.AGREE * window // 100)
+    window, agree, token = seed_decontamination.WINDOW, seed_decontamination.AGREE, r"[^\x20\x09-\x0D!-/:-@\[-`{-~]+"
     listed = lambda table, key: f"SELECT {key}, unnest(x) AS token, generate_subscripts(x, 1) AS pos, len(x) AS n FROM (SELECT {key}, regexp_extract_all({LOWERED}, '{token}') AS x FROM {table})"
     return f"""WITH d AS ({listed("documents", "doc_id")}), b AS ({listed("benchmark", "item_id")}),
-same AS (SELECT doc_id, item_id, d.pos - b.pos AS shift, b.pos AS q, least(b.n, d.n - d.pos + b.pos) - greatest(1, b.pos - d.pos + 1) + 1 AS span FROM d JOIN b USING (token) WHERE b.n >= {window}),
-windows AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY q RANGE BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS m FROM same WHERE span >= {window}),
-shifts AS (SELECT doc_id, item_id, shift, max(m) AS m, count(*) AS agree FROM windows GROUP BY ALL HAVING max(m) >= {need}),
+same AS (SELECT doc_id, item_id, b.n, d.pos - b.pos AS shift, b.pos AS q, least(b.n, d.n - d.pos + b.pos) - greatest(1, b.pos - d.pos + 1) + 1 AS span FROM d JOIN b USING (token)),
+windows AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY q RANGE BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS m FROM same WHERE span >= least({window}, n)),
+shifts AS (SELECT doc_id, item_id, shift, max(m) AS m, count(*) AS agree FROM windows GROUP BY ALL HAVING 100 * max(m) >= {agree} * least({window}, max(n))),
 best AS (SELECT doc_id, item_id, arg_max(agree, m * 1000000 + agree) AS matched FROM shifts GROUP BY ALL),
 found AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids, max(matched) AS matched FROM best GROUP BY doc_id)
 SELECT doc_id, coalesce(n_items, 0) AS n_items, coalesce(item_ids, '') AS item_ids, coalesce(matched, 0) AS matched, n_items IS NULL AS kept FROM documents LEFT JOIN found USING (doc_id)"""

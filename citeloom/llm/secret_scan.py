@@ -3,13 +3,14 @@
 Strong kinds: ``assign`` (a password-like name given a value), ``access`` (access key identifiers) and ``hex``
 (long lower-case hex strings). Weak kinds are too common to report alone: ``ident`` (a user or client name
 given a value), ``opaque`` (a long mixed string) and ``endpoint`` (a URL). A weak part is reported when, by an
-interval join over the starts of spans of one text, a complementary part lies within SCOPE code points:
-a secret beside an identifier or endpoint. The join is by (row, block of SCOPE code points), so its output is
-bounded by how many spans fit in a block, not by the length of a text.
+interval join over the spans of one text, at most SCOPE code points lie between it and a complementary part:
+a secret beside an identifier or endpoint, however long the parts are. The join is by (row, block of SCOPE code
+points): each span is in the blocks that it touches, and meets the spans of those and of their neighbours only.
 
 Offsets are code points, end exclusive. Matches are leftmost and do not overlap within a kind; a match that
 fails its kind's test is dropped without a retry. Null texts are empty. Rows with equal doc_id and text give
-equal results each.
+equal results each, rows without a doc_id are rows like others. Columns but doc_id and text are left alone; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ PATTERNS = {
 }
 #: A cheaper test that every match of the pattern meets.
 HINTS = {"assign": rf"(?i:word|passwd|secret|token|key){VALUE}[A-Za-z0-9+/_.=-]", "ident": rf"(?i:user|name|login|account|id){VALUE}[A-Za-z0-9_.@-]{{3}}"}
-BLOCK = 64
+BLOCK = 128
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -50,14 +51,19 @@ def _sum(a: Column) -> Column:
 def spans(text: Column, pattern: str, hint: str | None = None) -> Column:
     """array<struct<s, e, hit>> of the pattern's matches, leftmost first; null if there is none.
 
-    What lies between matches comes from ``split``, so a start is a sum of lengths; sums over whole blocks are
-    kept, which makes long lists of matches cheap.
+    What lies between matches comes from ``split``, so a start is a sum of lengths; sums of BLOCK matches and of
+    BLOCK such sums are kept, so a start adds few numbers in long lists of matches too.
     """
 
-    def placed(hits: Column, gap: Column, hit: Column, both: Column, blocks: Column) -> Column:
+    def sums(a: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), ((F.size(a) - 1) / BLOCK).cast("int")), lambda b: _sum(F.slice(a, b * BLOCK + 1, F.lit(BLOCK))))
+
+    def placed(hits: Column, gap: Column, hit: Column, both: Column, blocks: Column, above: Column) -> Column:
         def at(i: Column) -> Column:
             block = (i / BLOCK).cast("int")
-            start = F.get(blocks, block) + _sum(F.slice(both, block * BLOCK + 1, i - block * BLOCK)) + F.get(gap, i)
+            top = (block / BLOCK).cast("int")
+            before = _sum(F.slice(above, F.lit(1), top)) + _sum(F.slice(blocks, top * BLOCK + 1, block - top * BLOCK))
+            start = before + _sum(F.slice(both, block * BLOCK + 1, i - block * BLOCK)) + F.get(gap, i)
             return let(start, lambda s: F.struct(s.alias("s"), (s + F.get(hit, i)).alias("e"), F.get(hits, i).alias("hit")))
 
         return F.transform(F.sequence(F.lit(0), F.size(hits) - 1), at)
@@ -69,10 +75,7 @@ def spans(text: Column, pattern: str, hint: str | None = None) -> Column:
                 F.transform(hits, F.length),
                 lambda hit: let(
                     F.zip_with(F.slice(gap, F.lit(1), F.size(hit)), hit, lambda a, b: a + b),
-                    lambda both: let(
-                        F.transform(F.sequence(F.lit(0), (F.size(both) / BLOCK).cast("int")), lambda b: _sum(F.slice(both, F.lit(1), b * BLOCK))),
-                        lambda blocks: placed(hits, gap, hit, both, blocks),
-                    ),
+                    lambda both: let(sums(both), lambda blocks: let(sums(blocks), lambda above: placed(hits, gap, hit, both, blocks, above))),
                 ),
             ),
         )
@@ -107,22 +110,24 @@ def _listed(found: Column) -> Column:
 
 
 def link_parts(parts: DataFrame) -> DataFrame:
-    """Weak parts with a complementary part in scope: doc_id, row, linked (array of tagged spans)."""
+    """Weak parts with a complementary part in scope: id (doc_id, 0 for none), row, linked (array of tagged spans)."""
     free = lambda kind: F.filter(F.col(kind), lambda w: ~F.exists(F.concat(*STRONG), lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"])))
-    parts = parts.where(" or ".join(f"size({k}) > 0" for k in WEAK)).select("doc_id", "row", *STRONG, *(free(k).alias(k) for k in WEAK))
-    every = parts.select("doc_id", "row", F.explode(F.concat(*(_tagged(k) for k in PATTERNS))).alias("p")).distinct()
+    parts = parts.where(" or ".join(f"size({k}) > 0" for k in WEAK)).select(F.coalesce("doc_id", F.lit(0)).alias("id"), "row", *STRONG, *(free(k).alias(k) for k in WEAK))
+    every = parts.select("id", "row", F.explode(F.concat(*(_tagged(k) for k in PATTERNS))).alias("p")).distinct()
     role = F.when(F.col("p.kind").isin("access", "ident"), "identifier").when(F.col("p.kind") == "endpoint", "endpoint").otherwise("secret")
-    every = every.withColumn("role", role).withColumn("block", F.expr(f"p.s div {SCOPE}"))
-    weak = every.where(F.col("p.kind").isin(*WEAK)).select("doc_id", "row", "p", "role", F.explode(F.expr("sequence(block - 1, block + 1)")).alias("block"))
-    other = every.select("doc_id", "row", "block", F.col("p").alias("q"), F.col("role").alias("q_role"))
-    pairs = weak.join(other, ["doc_id", "row", "block"]).where(f"abs(p.s - q.s) <= {SCOPE} and role <> q_role and (role = 'secret' or q_role = 'secret')")
-    return pairs.groupBy("doc_id", "row").agg(F.collect_set("p").alias("linked"))
+    every = every.withColumn("role", role)
+    near = F.expr(f"sequence(greatest(p.s - {SCOPE}, 0) div {SCOPE}, (p.e + {SCOPE}) div {SCOPE})")
+    weak = every.where(F.col("p.kind").isin(*WEAK)).select("id", "row", "p", "role", F.explode(near).alias("block"))
+    touched = F.expr(f"sequence(p.s div {SCOPE}, (p.e - 1) div {SCOPE})")
+    other = every.select("id", "row", F.col("p").alias("q"), F.col("role").alias("q_role"), F.explode(touched).alias("block"))
+    pairs = weak.join(other, ["id", "row", "block"]).where(f"q.s - p.e <= {SCOPE} and p.s - q.e <= {SCOPE} and role <> q_role and (role = 'secret' or q_role = 'secret')")
+    return pairs.groupBy("id", "row").agg(F.collect_set("p").alias("linked"))
 
 
 def secrets(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text): doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked; a row each."""
-    parts = stored(find_parts(docs))
-    both = parts.join(link_parts(parts), ["doc_id", "row"], "left")
+    parts = stored(find_parts(docs)).withColumn("id", F.coalesce("doc_id", F.lit(0)))
+    both = parts.join(link_parts(parts.drop("id")), ["id", "row"], "left")
     base = F.concat(*(_tagged(k) for k in STRONG))
     every = F.concat(base, F.coalesce("linked", F.expr("cast(array() as array<struct<s: int, k: int, e: int, kind: string>>)")))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in STRONG]
