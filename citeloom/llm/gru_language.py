@@ -5,26 +5,52 @@ the languages; a text's distribution is the mean over its positions that hold a
 by back-propagation through time, on windows that are cut inside Spark tasks from at most SAMPLE labelled
 texts of each language, chosen by a hash; every text is then labelled whole, window after window.
 
-Texts that are null or have no letter get UNKNOWN with score 0. If there is no labelled text to learn from,
-all do. A language is known only if it's a label of the training rows.
+Texts that are null or have no letter (Unicode category L) get UNKNOWN with score 0. If there is no labelled text
+to learn from, all do. Every label of the training rows is learned; on ties the first label in order is taken.
+Rows are judged alone: repeated rows, rows without a doc_id and very long texts are no special case, and columns
+other than doc_id, text and lang are left alone. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from citeloom.llm import arrays as A
+from citeloom.llm.shared import bound_batches
 
 UNKNOWN = "und"
-#: Texts of a language and windows of a text that are learned from at most, and languages at most.
-SAMPLE, PER_TEXT, LANGUAGES = 400, 4, 64
+#: Texts of a language and windows of a text that are learned from at most.
+SAMPLE, PER_TEXT = 400, 4
+#: HIDDEN units in a direction, more for many languages.
 SPAN, HIDDEN, BATCH, STEPS, RATE = 64, 8, 256, 500, 0.02
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+_LETTER = np.fromiter((unicodedata.category(chr(i))[0] == "L" for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+#: Bytes of the character that a byte begins, 0 for one inside a character, and what of it belongs to the code point.
+_BYTES = np.repeat(np.array([1, 0, 2, 3, 4], np.int8), [0x80, 0x40, 0x20, 0x10, 0x10])
+_OWN = np.array([0, 0x7F, 0x1F, 0x0F, 0x07])
+
+
+def letters_of(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 data are of letters."""
+    size = _BYTES[data]
+    out = np.zeros(len(data) + 4, bool)
+    padded = np.append(data, np.zeros(4, np.uint8)).astype(np.int64)
+    for n in (1, 2, 3, 4):
+        at = np.flatnonzero(size == n)
+        if len(at):
+            points = padded[at] & _OWN[n]
+            for k in range(1, n):
+                points = points << 6 | padded[at + k] & 0x3F
+            at = at[_LETTER[np.minimum(points, sys.maxunicode)]]
+            for k in range(n):
+                out[at + k] = True
+    return out[: len(data)]
 
 
 class Network:
@@ -34,7 +60,8 @@ class Network:
     """
 
     def __init__(self, languages: list[str], seed: int = 1):
-        rng, n, h = np.random.default_rng(seed), len(languages), HIDDEN
+        rng, n = np.random.default_rng(seed), len(languages)
+        h = self.hidden = max(HIDDEN, 2 * ceil(log2(n + 1)))
         draw = lambda *s: (rng.standard_normal(s) * (0.5 / np.sqrt(s[0] if s[0] != 256 else 4))).astype(np.float32)
         self.languages = languages
         self.w: dict[str, np.ndarray] = {"out": draw(2 * h, n), "bias": np.zeros(n, np.float32)}
@@ -42,8 +69,8 @@ class Network:
             self.w |= {f"zr{d}": draw(256, 2 * h), f"n{d}": draw(256, h), f"uzr{d}": draw(h, 2 * h), f"un{d}": draw(h, h)}
 
     def _run(self, data: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        """Hidden states (SPAN, windows, HIDDEN) of one direction; data is (SPAN, windows)."""
-        w, h = self.w, HIDDEN
+        """Hidden states (SPAN, windows, hidden) of one direction; data is (SPAN, windows)."""
+        w, h = self.w, self.hidden
         wzr, wn, uzr, un = w[f"zr{d}"], w[f"n{d}"], w[f"uzr{d}"], w[f"un{d}"]
         steps, b = data.shape
         states, kept = np.empty((steps, b, h), np.float32), []
@@ -68,7 +95,7 @@ class Network:
     def probabilities(self, data: np.ndarray, keep: bool = False) -> tuple:
         forward, kf = self._run(data, "f", keep)
         backward, kb = self._run(data, "b", keep)
-        h = HIDDEN
+        h = self.hidden
         logits = forward @ self.w["out"][:h]
         logits += backward @ self.w["out"][h:]
         logits += self.w["bias"]
@@ -80,7 +107,7 @@ class Network:
     def gradients(self, data: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over the weighted positions and its gradients. target: (windows,), weight: (SPAN, windows)."""
         p, forward, backward, kf, kb = self.probabilities(data, keep=True)
-        h, total = HIDDEN, max(weight.sum(), 1.0)
+        h, total = self.hidden, max(weight.sum(), 1.0)
         right = p[:, np.arange(len(target)), target]
         loss = float(-(np.log(right + 1e-9) * weight).sum() / total)
         delta = p
@@ -109,12 +136,13 @@ class Network:
 
     def train(self, windows: np.ndarray, target: np.ndarray, steps: int = STEPS, seed: int = 2) -> None:
         """windows (n, SPAN) bytes, target (n,): Adam on batches that hold all languages alike."""
+        letters = letters_of(windows.reshape(-1)).reshape(windows.shape)
         rng, groups = np.random.default_rng(seed), [np.flatnonzero(target == k) for k in range(len(self.languages))]
         first, second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
         for step in range(1, steps + 1):
             at = np.concatenate([rng.choice(x, max(1, BATCH // len(groups))) for x in groups])
             data = np.ascontiguousarray(windows[at].T)
-            _, g = self.gradients(data, target[at], _LETTER[data].astype(np.float32))
+            _, g = self.gradients(data, target[at], np.ascontiguousarray(letters[at].T).astype(np.float32))
             rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
             for k, d in g.items():
                 first[k] = 0.9 * first[k] + 0.1 * d
@@ -129,7 +157,7 @@ class Network:
         text = np.repeat(np.arange(n), many)
         start = at[:-1][text] + SPAN * (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many))
         length = np.minimum(at[1:][text] - start, SPAN)
-        padded = np.append(data, np.zeros(SPAN, np.uint8))
+        padded, of_letters = (np.append(x, np.zeros(SPAN, x.dtype)) for x in (data, letters_of(data)))
         sums, letters = np.zeros((n, len(self.languages))), np.zeros(n)
         within = np.arange(SPAN)[:, None]
         for low in range(0, len(start), group):
@@ -137,7 +165,7 @@ class Network:
             there = within < length[low : low + group]
             window = np.where(there, padded[within + s], 0x20)
             p = self.probabilities(window)[0]
-            weight = (_LETTER[window] & there).astype(np.float32)
+            weight = (of_letters[within + s] & there).astype(np.float32)
             by_window = np.einsum("tbk,tb->bk", p, weight)
             for k in range(by_window.shape[1]):
                 sums[:, k] += np.bincount(of, by_window[:, k], n)
@@ -160,7 +188,7 @@ def learn(labelled: DataFrame) -> Network | None:
     """A network trained on labelled (doc_id, text, lang); None if it has no usable row."""
     rows = labelled.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where("lang is not null and trim(text) <> ''")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()  # a row a language
     if not counts:
         return None
     # By a hash threshold, about SAMPLE texts of each language: no sort of a large group.
@@ -196,6 +224,7 @@ def held_out(doc_id: Column) -> Column:
 
 def label(docs: DataFrame, network: Network | None) -> DataFrame:
     """docs (doc_id, text): doc_id, held_out, lang_pred, score, one row a row of docs."""
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(lambda it: _labelled(it, network), "doc_id long, held_out boolean, lang_pred string, score double")
 
@@ -211,6 +240,7 @@ def _fitting(batches: Iterator[pa.RecordBatch], network: Network | None, least:
 def keep_known(docs: DataFrame, network: Network | None, least: float) -> DataFrame:
     """The rows of docs, with all columns, whose text gets a language with a score of least or more. Without a
     network no row can be judged, and all stay."""
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(lambda it: _fitting(it, network, least), docs.schema)
 
 
