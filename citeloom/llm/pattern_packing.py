@@ -7,7 +7,9 @@ left of the histogram is packed best fit, longest first. The plan says for the r
 which sequence and where it goes; ranks come from counts of (length, salt) groups, so a length that a large
 share of the pieces has is numbered by many tasks.
 
-Null texts are empty: one piece that holds the end token alone. Repeated rows are packed one by one.
+Null texts are empty: one piece that holds the end token alone. Repeated rows are packed one by one, rows without a
+doc_id too. Runs of white space of any length are encoded as the library does. Columns but doc_id and text are left
+alone; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import accumulate
 
 import numpy as np
@@ -37,9 +40,13 @@ class Encoder:
     """Token ids of a byte-level BPE ``tokenizers`` file with the usual split pattern, encoded by tiktoken.
 
     Same vocabulary, same merges and same pattern give the same ids several times faster. Strings of special
-    tokens inside texts become those tokens, as in ``tokenizers``.
+    tokens inside texts become those tokens, as in ``tokenizers``. The pattern tracks back over a run of white space
+    character by character, which long runs exhaust: they are cut out and encoded as the one part that they are, all
+    but their last character, which may belong to the word behind.
     """
 
+    RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+    #: Fixed value: the split pattern of byte-level files that ask for the usual one.
     SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str):
@@ -47,6 +54,9 @@ class Encoder:
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        before = spec["pre_tokenizer"]
+        if spec["model"]["type"] != "BPE" or spec["normalizer"] or before["type"] != "ByteLevel" or before["add_prefix_space"] or not before.get("use_regex", True) or any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec.get("added_tokens", [])):
+            raise ValueError(f"{path} is no plain byte-level BPE file")
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in plain]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
@@ -54,8 +64,25 @@ class Encoder:
         ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.encoding = tiktoken.Encoding("file", pat_str=self.SPLIT, mergeable_ranks=ranks, special_tokens=special)
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
+        self.ranks = ranks
+
+    @cached_property
+    def part(self):
+        """Encodes a text as one part."""
+        import tiktoken
+
+        return tiktoken.Encoding("part", pat_str="(?s:.+)", mergeable_ranks=self.ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
+        out, at = [], 0
+        for run in self.RUN.finditer(text):
+            last = run.end() == len(text) or self.special.match(text, run.end())
+            to = run.end() if last else run.end() - 1
+            out += [self._encoded(text[at : run.start()]), np.asarray(self.part.encode_to_numpy(text[run.start() : to]), np.uint32)]
+            at = to
+        return np.concatenate([*out, self._encoded(text[at:])]) if out else self._encoded(text)
+
+    def _encoded(self, text: str) -> np.ndarray:
         allowed = "all" if self.special.search(text) else set()
         return np.asarray(self.encoding.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()), np.uint32)
 
