@@ -5,7 +5,9 @@ its hash occurs twice in its text. Coverage is the share of the code points in w
 n-grams (the union, so overlapping ones count once), or in lines equal to an earlier line. A text fails when
 a coverage exceeds its limit, or by the base rules (too few words, too many words in repeated 5-word windows).
 
-Null and blank texts have no words and fail as too short. All columns but doc_id and text are ignored.
+Null and blank texts have no words and fail as too short. Rows are judged alone: repeated rows, rows without a
+doc_id and very long texts are no special case. All columns but doc_id and text are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from citeloom.llm import arrays as A
+from citeloom.llm.shared import bound_batches
 
 #: n-gram length: largest share, in percent, of word characters inside duplicated n-grams. Beyond the first,
 #: ascending, so that a longer duplicate is looked for only where a shorter one is.
@@ -112,6 +115,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repetition(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text): the figures of SCHEMA, base_failed and kept, one row a row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bound_batches(docs.sparkSession)
     out = docs.mapInArrow(_measured, SCHEMA)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > BASE_PERCENT * F.col("n_words"))
     fine = 100 * F.col("dup_line_chars") <= LINE_LIMIT * F.col("word_chars")

@@ -7,7 +7,8 @@ character without a piece stands for its UTF-8 bytes. Where no piece of the mode
 another character after it, merges never reach over the end of a run of letters: texts are then counted run
 by run, and the counts of recent runs are kept in a bounded table.
 
-Null texts count as empty; an empty text has no token.
+Null texts count as empty; an empty text has no token. Rows are counted alone: repeated rows and rows without a
+doc_id are no special case. Other columns are left alone; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,10 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from citeloom.llm import arrays as A
+from citeloom.llm.shared import bound_batches
 
 SPACE = "▁"
 #: Words kept at most, and their longest length.
 KEPT, LONGEST = 1_000_000, 48
+#: Runs of more characters are cut further, so that a merge holds no whole long text.
+CUT = 4096
 #: After a run of these a text is cut, if the model's pieces allow it (Latin letters).
 LETTER = "A-Za-zÀ-ɏ"
 
@@ -41,6 +45,7 @@ class MergeCounter(dict):
             raise ValueError("a character of a piece is no piece")
         # A text may be cut between two characters that are nowhere adjacent in a piece.
         inside = {piece[i : i + 2] for piece in pieces for i in range(len(piece) - 1)}
+        self.inside = inside
         if any(re.match(f"[{LETTER}][^{LETTER}]", pair) for pair in inside):
             self.words = re.compile("(?s).+")
         else:
@@ -51,6 +56,9 @@ class MergeCounter(dict):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        probe = " ﬁ Å\u0301  ①\u3000y\t\n\x00 "
+        if model.normalize(probe) != SPACE + probe.replace(" ", SPACE):
+            raise ValueError(f"{path} normalises texts by more than a sign for blanks")
         ids = (i for i in range(model.get_piece_size()) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i)))
         return cls([model.id_to_piece(i) for i in sorted(ids, key=lambda i: -model.get_score(i))])
 
@@ -94,7 +102,19 @@ class MergeCounter(dict):
     def count(self, text: str) -> int:
         if not text:
             return 0
-        return sum(map(self.__getitem__, self.words.findall(SPACE + text.replace(" ", SPACE))))
+        words = self.words.findall(SPACE + text.replace(" ", SPACE))
+        if len(text) > CUT:
+            words = (part for word in words for part in (self.parts(word) if len(word) > CUT else (word,)))
+        return sum(map(self.__getitem__, words))
+
+    def parts(self, word: str) -> Iterator[str]:
+        """A long run, cut wherever no piece has the two characters side by side: no merge reaches over such a place."""
+        last = 0
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in self.inside:
+                yield word[last:i]
+                last = i
+        yield word[last:]
 
 
 _counters: dict[str, MergeCounter] = {}
@@ -116,5 +136,6 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     model: path of a sentencepiece BPE model that every executor has.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bound_batches(docs.sparkSession)
     out = docs.mapInArrow(lambda it: _counted(it, model), "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
