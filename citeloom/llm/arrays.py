@@ -56,10 +56,10 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """The rows of batches again, in slices of at most limit bytes of the column, or of one longer row."""
+def slices(batches: Iterator[pa.RecordBatch], *columns: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """The rows of batches again, in slices of at most limit bytes of the columns together, or of one longer row."""
     for batch in batches:
-        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+        sizes = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0)).astype(np.int64) for c in columns)
         total, at = np.cumsum(sizes), 0
         while at < batch.num_rows:
             before = total[at - 1] if at else 0

@@ -3,63 +3,86 @@
 A seed mask fixes some token positions of a span and ignores the others; two texts that agree on the fixed
 ones share a hash. Hashes of the benchmark under each mask are joined with those of the documents. The
 documents' hashes first pass a bit table of fixed size made from the benchmark's, so nearly all that can't
-join is never shuffled; what passes is joined exactly. Around each hit the aligned tokens of the two texts
-are compared: a document is contaminated when some window of WINDOW aligned tokens (or the whole item, if it
-is shorter) agrees in at least AGREE percent of them.
+join is never shuffled; what passes is joined exactly. A hit brings its neighbourhood along, so the windows
+around it are compared at once, and only what agrees there is looked up in the whole texts: a document is
+contaminated when some window of WINDOW aligned tokens (or the whole item, if it is shorter) agrees in at least
+AGREE percent of them. The masks of long items meet every such window. An item of fewer than WINDOW tokens is cut
+into one piece more than it may have substitutions, so one piece stays whole, and those pieces are its seeds.
 
 Tokens are runs of characters other than white space and ASCII punctuation, A-Z lower-cased. Null or empty
-texts and items have no token and match nothing.
+texts and items have no token and match nothing; items without an item_id are left out, items of fewer than
+``least`` tokens too (1: none). Rows are judged, not ids: rows without a doc_id as others, rows of one doc_id
+each by its text; equal rows and repeated items give the same result again. Other columns are left alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from citeloom.llm import arrays as A
-from citeloom.llm.shared import stored
+from citeloom.llm.shared import bit_table, in_table, maybe_among, stored
 
 #: Kept token positions are 1. Any 13 tokens with two substitutions hit at least one of these.
 MASKS = ("1111011", "1101111", "11100111", "11111")
 WINDOW, AGREE, BITS = 13, 80, 1 << 25
+#: Tokens before and after a seed's first that a hit brings along, and shifts that are looked up together.
+BEFORE, AFTER, SHIFTS = WINDOW - 1, WINDOW, 256
 U = np.uint64
 
 
-def seeds_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """hash, text and token position of every seed of every mask."""
-    words = A.words_of(texts, A.PLAIN)
-    tokens = A.span_hashes(words.data, words.start, words.end)
+def pieces_of(n: int) -> list[tuple[int, int]]:
+    """Offset and length of the seeds of an item of n tokens, n < WINDOW."""
+    edges = np.linspace(0, n, n * (100 - AGREE) // 100 + 2).astype(int).tolist()
+    return list(zip(edges, (b - a for a, b in zip(edges, edges[1:]))))
+
+
+def seeds_of(tokens: np.ndarray, words: A.Words, masks: Sequence[str]) -> tuple[np.ndarray, ...]:
+    """hash, text, token position and mask of every seed of the masks."""
     out = []
-    for m, mask in enumerate(MASKS):
+    for number, mask in enumerate(masks):
         at, text = A.starts_of_grams(words.count, words.first, len(mask))
-        seed = np.full(len(at), m + 1, U)
+        seed = np.full(len(at), int(mask, 2), U)
         with np.errstate(over="ignore"):
             for offset, keep in enumerate(mask):
                 if keep == "1":
                     seed = seed * U(0x9E3779B97F4A7C15) + tokens[at + offset]
-        out.append((A.mix(seed), text, at - words.first[text]))
+        out.append((A.mix(seed), text, at - words.first[text], np.full(len(at), number)))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def _seeds(batches: Iterator[pa.RecordBatch], key: str, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    for batch in A.slices(batches, "text"):
-        seed, text, at = seeds_of(batch.column("text"))
-        if bits is not None:
-            place = seed & U(BITS - 1)
-            there = (bits[place >> U(6)] >> (place & U(63))) & U(1) == 1
-            seed, text, at = seed[there], text[there], at[there]
-        yield pa.record_batch({"seed": pa.array(seed.view(np.int64)), key: batch.column(key).cast(pa.int64()).take(pa.array(text)), "at": pa.array(at.astype(np.int64))})
+def _around(tokens: np.ndarray, words: A.Words, text: np.ndarray, at: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """The tokens from BEFORE before to AFTER after each seed (0 outside of its text), as bytes, and how many of
+    its text there are before and after it."""
+    places = at[:, None] + np.arange(-BEFORE, AFTER)
+    size = words.count[text]
+    inside = (places >= 0) & (places < size[:, None])
+    flat = np.where(inside, words.first[text][:, None] + places, 0)
+    near = np.where(inside, tokens[flat] if len(tokens) else U(0), U(0))
+    return pa.array([x.tobytes() for x in near], pa.binary()), pa.array(at.astype(np.int64)), pa.array(size.astype(np.int64))
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _seeds(batches: Iterator[pa.RecordBatch], key: str, masks: Sequence[str], bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Seeds of documents (those in the bit table) or, without one, of items: long ones by MASKS, others by pieces."""
     for batch in A.slices(batches, "text"):
         words = A.words_of(batch.column("text"), A.PLAIN)
         tokens = A.span_hashes(words.data, words.start, words.end)
-        lists = pa.ListArray.from_arrays(pa.array(words.first.astype(np.int32)), pa.array(tokens.view(np.int64)))
-        yield pa.record_batch([batch.column(0), lists], [batch.schema.names[0], "tokens"])
+        seed, text, at, number = seeds_of(tokens, words, masks)
+        if bits is not None:
+            keep = in_table(seed, bits)
+        else:
+            size = words.count[text]
+            keep = (size >= WINDOW) & (number < len(MASKS))
+            length = np.array([len(mask) for mask in masks])[number]
+            for n in range(1, WINDOW):
+                for offset, m in pieces_of(n):
+                    keep |= (size == n) & (at == offset) & (length == m) & (number >= len(MASKS))
+        seed, text, at = seed[keep], text[keep], at[keep]
+        near, place, size = _around(tokens, words, text, at)
+        yield pa.record_batch({"seed": pa.array(seed.view(np.int64)), key: batch.column(key).take(pa.array(text)), "at": place, "size": size, "near": near})
 
 
 def best_window(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int]:
@@ -72,52 +95,79 @@ def best_window(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int
     return int(100 * (sums[window:] - sums[:-window]).max() // window), int(sums[-1])
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hits around which some window agrees."""
+    for batch in batches:
+        n = batch.num_rows
+        doc, item = (np.frombuffer(b"".join(batch.column(c).to_pylist()), U).reshape(n, BEFORE + AFTER) for c in ("near", "item_near"))
+        at, size, item_at, item_size = (np.asarray(batch.column(c))[:, None] for c in ("at", "size", "item_at", "item_size"))
+        place = np.arange(-BEFORE, AFTER)
+        inside = (at + place >= 0) & (at + place < size) & (item_at + place >= 0) & (item_at + place < item_size)
+        zero = np.zeros((n, 1), np.int64)
+        same, both = (np.hstack([zero, np.cumsum(x, 1)]) for x in (inside & (doc == item), inside))
+        full = both[:, WINDOW:] - both[:, :-WINDOW] == WINDOW
+        fine = (full & (100 * (same[:, WINDOW:] - same[:, :-WINDOW]) >= AGREE * WINDOW)).any(1)
+        whole = (item_size < WINDOW) & (both[:, -1:] == item_size) & (100 * same[:, -1:] >= AGREE * item_size)
+        yield batch.select(["row", "item_id", "shift"]).filter(pa.array(fine | whole[:, 0]))
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in A.slices(batches, "text"):
+        words = A.words_of(batch.column("text"), A.PLAIN)
+        tokens = A.span_hashes(words.data, words.start, words.end)
+        lists = pa.ListArray.from_arrays(pa.array(words.first.astype(np.int32)), pa.array(tokens.view(np.int64)))
+        yield pa.record_batch([batch.column("item_id"), lists, pa.array(words.count.astype(np.int32))], ["item_id", "tokens", "n"])
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in A.slices(batches, "text", 1 << 22):
+    for batch in A.slices(batches, "text"):
         words = A.words_of(batch.column("text"), A.PLAIN)
         tokens = A.span_hashes(words.data, words.start, words.end).view(np.int64)
         items = [np.asarray(x.values) for x in batch.column("tokens")]
-        kept, matched = [], []
-        for row, shifts in enumerate(batch.column("shifts").to_pylist()):
-            doc = tokens[words.first[row] : words.first[row + 1]]
-            share, agree = max(best_window(doc, items[row], shift) for shift in shifts)
-            if share >= AGREE:
-                kept.append(row)
-                matched.append(agree)
-        rows = pa.array(kept, pa.int64())
-        yield pa.record_batch([batch.column("doc_id").take(rows), batch.column("item_id").take(rows), pa.array(matched, pa.int64())], ["doc_id", "item_id", "matched"])
-
-
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs (doc_id, text), benchmark (item_id, text): doc_id, item_id, matched tokens of each overlap."""
+        found = [max(best_window(tokens[words.first[i] : words.first[i + 1]], items[i], shift) for shift in shifts) for i, shifts in enumerate(batch.column("shifts").to_pylist())]
+        share, agree = (pa.array([x[k] for x in found], pa.int64()) for k in (0, 1))
+        yield pa.record_batch([batch.column("row"), batch.column("item_id"), share, agree], ["row", "item_id", "share", "agree"])
+
+
+def _identified(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
-    item_seeds = stored(benchmark.mapInArrow(lambda it: _seeds(it, "item_id", None), "seed long, item_id long, at long"))
-    place = F.expr(f"seed & {BITS - 1}")
-    set_bits = item_seeds.groupBy(F.expr(f"(seed & {BITS - 1}) div 64").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((seed & 63) as int))")).alias("bits"))
-    table = np.zeros(BITS // 64, np.int64)  # however large the benchmark, as many words at most
-    for word, bits in set_bits.toLocalIterator():
-        table[word] = bits
-    shared = docs.sparkSession.sparkContext.broadcast(table.view(U))
-    hits = docs.mapInArrow(lambda it: _seeds(it, "doc_id", shared.value), "seed long, doc_id long, at long").where("doc_id is not null")
-    pairs = hits.join(item_seeds.withColumnRenamed("at", "item_at"), "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    found = stored(pairs.groupBy("doc_id", "item_id").agg(F.collect_set("shift").alias("shifts")))
-    items = benchmark.mapInArrow(_tokens, "item_id long, tokens array<long>")
-    texts = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
-    both = found.join(items, "item_id").join(texts, "doc_id").select("doc_id", "item_id", "shifts", "tokens", "text")
-    return both.mapInArrow(_verified, "doc_id long, item_id long, matched long")
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    return docs.withColumn("row", F.xxhash64("doc_id", "text"))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 1) -> DataFrame:
+    """docs (doc_id, text), benchmark (item_id, text): row (xxhash64 of doc_id and text), item_id, matched tokens of
+    each overlap."""
+    docs = _identified(docs)
+    benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").distinct()
+    items = stored(benchmark.mapInArrow(_tokens, "item_id long, tokens array<long>, n int").where(f"n >= {max(1, least)}"))
+    short = [r["n"] for r in items.where(f"n < {WINDOW}").select("n").distinct().collect()]  # fewer than WINDOW rows
+    masks = MASKS + tuple("1" * m for m in sorted({m for n in short for _, m in pieces_of(n)}))
+    schema = "seed long, {} long, at long, size long, near binary"
+    item_seeds = benchmark.mapInArrow(lambda it: _seeds(it, "item_id", masks, None), schema.format("item_id")).where(f"size >= {max(1, least)}")
+    item_seeds = stored(item_seeds.toDF("seed", "item_id", "item_at", "item_size", "item_near"))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(item_seeds, "seed", BITS))  # however large the benchmark
+    hits = docs.select("row", "text").mapInArrow(lambda it: _seeds(it, "row", masks, shared.value), schema.format("row"))
+    hits = hits.join(item_seeds.hint("merge"), "seed").withColumn("shift", F.col("at") - F.col("item_at"))
+    found = hits.mapInArrow(_near, "row long, item_id long, shift long").distinct()
+    found = stored(found.groupBy("row", "item_id", F.floor(F.col("shift") / SHIFTS).alias("part")).agg(F.collect_set("shift").alias("shifts")))
+    rows = found.select("row").distinct()
+    texts = maybe_among(docs.select("row", "text"), rows, "row").join(rows.hint("merge"), "row", "left_semi").dropDuplicates(["row"])
+    both = found.join(items, "item_id").join(texts, "row").select("row", "item_id", "shifts", "tokens", "text")
+    best = both.mapInArrow(_verified, "row long, item_id long, share long, agree long").where(f"share >= {AGREE}")
+    return best.groupBy("row", "item_id").agg(F.max(F.struct("share", "agree"))["agree"].alias("matched"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 1) -> DataFrame:
     """doc_id, n_items, item_ids (sorted, comma-joined), matched (most tokens), kept; one row a row of docs."""
-    found = overlaps(docs, benchmark).groupBy("doc_id").agg(
+    found = overlaps(docs, benchmark, least).groupBy("row").agg(
         F.countDistinct("item_id").alias("n_items"), F.array_join(F.sort_array(F.collect_set("item_id")).cast("array<string>"), ",").alias("item_ids"), F.max("matched").alias("matched")
     )
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, "doc_id", "left")
+    out = _identified(docs).select("doc_id", "row").join(found, "row", "left")
     none = F.col("n_items").isNull()
     return out.select("doc_id", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("item_ids", F.lit("")).alias("item_ids"), F.coalesce("matched", F.lit(0)).alias("matched"), none.alias("kept"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that overlap an item; all columns."""
-    return docs.join(overlaps(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 1) -> DataFrame:
+    """docs without the rows that overlap an item; all columns."""
+    rows = overlaps(docs, benchmark, least).select(F.col("row").alias("__row")).distinct()
+    return docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(rows, "__row", "left_anti").select(*docs.columns)

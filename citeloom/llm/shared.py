@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,20 +13,28 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 DOCUMENT = ("doc_id", "text")
 
 
+#: Bytes of an Arrow batch that goes to a Python worker at most (or one longer row): rows alone don't bound it.
+BATCH_BYTES, _BATCH = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES in this session."""
+    if spark.conf.get(_BATCH) != str(BATCH_BYTES):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of its own, only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """The folder in spark.checkpoint.dir, which driver and executors share; an error where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return folder
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends here, and a lost executor
-    costs no earlier work."""
+    costs no earlier work. The tables stay until the folder is cleared, as a result is still read from them."""
+    bound_batches(df.sparkSession)
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -48,19 +55,19 @@ def in_table(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     return (table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
-def maybe_among(docs: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
-    """doc_id, text of the rows of docs whose doc_id is among ids (doc_id), and of a few others: what is to be
-    joined with ids, before it's shuffled. Null doc_ids never pass."""
-    place = F.xxhash64("doc_id")
-    table = docs.sparkSession.sparkContext.broadcast(bit_table(ids.select(place.alias("place")), "place", bits))
+def maybe_among(rows: DataFrame, keys: DataFrame, key: str = "doc_id", bits: int = 1 << 23) -> DataFrame:
+    """The rows whose long column key is among keys, and a few others: what is to be joined with keys, before
+    it's shuffled. Null keys never pass."""
+    place = F.xxhash64(key)
+    bound_batches(rows.sparkSession)
+    table = rows.sparkSession.sparkContext.broadcast(bit_table(keys.select(place.alias("place")), "place", bits))
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            there = in_table(np.asarray(batch.column("place")).view(np.uint64), table.value)
-            yield batch.filter(pa.array(there)).select(["doc_id", "text"])
+            there = in_table(np.asarray(batch.column("__place")).view(np.uint64), table.value)
+            yield batch.filter(pa.array(there)).drop_columns(["__place"])
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("place"))
-    return rows.mapInArrow(passing, "doc_id long, text string")
+    return rows.where(F.col(key).isNotNull()).withColumn("__place", place).mapInArrow(passing, rows.schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
