@@ -6,16 +6,18 @@ share of the entity's information content, log(p(e,t) / (p(e) p(t))) / -log p(e)
 documents: 1 when t stands nowhere but in documents of e. A term counts as together with every entity of its
 document. Those that reach DISCLOSURE, in at least SUPPORT documents and SUPPORT different contexts (the terms
 within WINDOW words of the entity, so that copies of one document prove nothing), become spans of kind ``term``
-wherever they stand, in documents without the entity as well; in a sanitised text they are generalised, or
-removed at REMOVAL and above. What is left of such a term: other spellings of it, and the term as a part of a
-longer word. Words of fewer than SHORTEST bytes are never terms.
-
-The corpus frequency of a candidate term is counted over every document; a bit table of fixed size made from
-the candidates keeps other terms out of the shuffle, and the counts that pass it are joined exactly. Terms too
-frequent to reach DISCLOSURE leave before they are paired with the entities of their documents.
-
-Offsets are code points, end exclusive. Null texts are empty. Rows with equal doc_id and text count as one
-document in the estimates and give equal results each. A null doc_id is no document for the estimates.
+wherever they stand, in documents without the entity as well; in a sanitised text they are generalised to their
+shape, or removed at REMOVAL and above. What is left of such a term: other spellings of it, and the term as a
+part of a longer word. Words of fewer than SHORTEST bytes are never terms.
+
+The frequency of every term is counted over every document first. With n documents, an entity in n_e of them
+can't be disclosed by a term in more than n**(1 - DISCLOSURE) * n_e**DISCLOSURE: only terms that are rare enough
+for some entity are looked for in the documents of entities, by a bit table of fixed size whose hits are then
+joined exactly, and each is paired only with the entities that it's rare enough for.
+
+Offsets are code points, end exclusive. Null texts are empty. Every row is a document of the estimates, so are
+repeated rows and rows without a doc_id; equal rows give equal results each. Columns but doc_id and text are left
+alone. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,11 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from citeloom.llm import arrays as A
-from citeloom.llm.shared import bit_table, in_table, maybe_among, stored
+from citeloom.llm.shared import bit_table, in_table, stored
 
 WINDOW, SUPPORT, DISCLOSURE, REMOVAL, SHORTEST, BITS = 6, 3, 0.8, 0.97, 4, 1 << 23
-#: One in so many documents is counted first, for a bound.
-PART = 32
 KINDS = ("email", "ip", "card", "phone", "term")
 U = np.uint64
 
@@ -155,17 +155,27 @@ def _placed(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None) -> Itera
         yield pa.record_batch([rows.column("doc_id"), rows.column("row"), pa.array(term), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (starts, ends))], ["doc_id", "row", "term", "s", "e"])
 
 
-def _counted(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """For terms that pass the bit table: in how many texts of a slice they stand."""
-    for batch in A.slices(batches, "text"):
-        words, hashes, long = _terms(batch.column("text"))
-        there = long & in_table(hashes, bits)
-        hashes, text = hashes[there], words.text[there]
-        _, first = np.unique(A.keyed(hashes, text), return_index=True)
-        terms, n = np.unique(hashes[first], return_counts=True)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each term: in how many texts of a batch it stands."""
+    for batch in batches:
+        each = [np.zeros(0, U)]
+        for part in A.slices(iter([batch]), "text"):
+            words, hashes, long = _terms(part.column("text"))
+            hashes, text = hashes[long], words.text[long]
+            _, first = np.unique(A.keyed(hashes, text), return_index=True)
+            each.append(hashes[first])
+        terms, n = np.unique(np.concatenate(each), return_counts=True)
         yield pa.record_batch({"term": pa.array(terms.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
 
+def _standing(batches: Iterator[pa.RecordBatch], bits: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The different terms of each text, outside base spans, that have a bit in the table, of rows that have one."""
+    there = lambda batch: batch.filter(pa.array(in_table(np.asarray(batch.column("place")).view(U), rows)))
+    for batch in _placed(map(there, batches), bits):
+        places = pa.table([batch.column("row"), batch.column("term")], ["row", "term"])
+        yield from places.group_by(["row", "term"]).aggregate([]).to_batches()
+
+
 def _identified(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
@@ -176,40 +186,32 @@ _PLACES = "doc_id long, row long, term long, s int, e int"
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """entity, term, disclosure: the terms that give an entity away. found: see find()."""
-    nothing = docs.sparkSession.createDataFrame([], "entity long, term long, disclosure double")
-    seen = found.where("doc_id is not null and size(entities) > 0").select("doc_id", "row", F.explode("entities").alias("c")).select("doc_id", "row", "c.*").distinct()
+    """entity, term, n_entity, n_term, n_both, disclosure: the terms that give an entity away. found: see find()."""
+    spark = docs.sparkSession
+    seen = found.where("size(entities) > 0").select("row", F.explode("entities").alias("c")).select("row", "c.*")
+    seen = seen.groupBy("row", "entity", "context").agg(F.count("*").alias("copies"))
     # An entity needs as much support as any of its terms.
     several = seen.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n")).where(f"n >= {SUPPORT}").select("entity")
-    of_entity = seen.groupBy("entity").agg(F.count("*").alias("n_entity")).where(f"n_entity >= {SUPPORT}").join(several, "entity")
+    of_entity = seen.groupBy("entity").agg(F.sum("copies").alias("n_entity")).where(f"n_entity >= {SUPPORT}").join(several, "entity")
     seen = stored(seen.join(of_entity, "entity"))
-    if seen.isEmpty():
-        return nothing
-    ids = seen.select("doc_id").distinct()
-    texts = maybe_among(docs, ids).withColumn("row", F.xxhash64("doc_id", "text"))
-    places = texts.mapInArrow(lambda it: _placed(it, None), _PLACES)
-    terms = stored(places.select("doc_id", "row", "term").distinct().join(seen.select("doc_id", "row").distinct(), ["doc_id", "row"], "left_semi"))
-    total = docs.count()
-
-    def counted(rows: DataFrame, among: DataFrame) -> DataFrame:
-        """In how many of rows the terms stand, for those among, and a few others."""
-        shared = docs.sparkSession.sparkContext.broadcast(bit_table(among, "term", BITS))  # of one size, whatever the corpus
-        return rows.select("text").mapInArrow(lambda it: _counted(it, shared.value), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-
-    # A part of the documents gives a term's least frequency. What is too frequent for DISCLOSURE by that, even if
-    # it stands in all documents of the entity, needn't be counted in the others.
-    often = stored(terms.groupBy("term").agg(F.count("*").alias("n")).where(f"n >= {SUPPORT}"))
-    part = counted(docs.where(f"pmod(row, {PART}) = 0"), often).withColumnRenamed("n_term", "n_part")
-    least = stored(often.join(part, "term", "left").select("term", F.greatest("n", F.coalesce("n_part", F.lit(0))).alias("n_least")))
+    most, total = seen.agg(F.max("n_entity")).first()[0], docs.count()
+    if not most:
+        return spark.createDataFrame([], "entity long, term long, n_entity long, n_term long, n_both long, disclosure double")
+    rarity = lambda n: F.pow(F.lit(float(total)), F.lit(1 - DISCLOSURE)) * F.pow(n, F.lit(DISCLOSURE)) * (1 + 1e-9)
+    counts = docs.select("text").mapInArrow(_counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    rare = stored(counts.where(F.col("n_term").between(F.lit(SUPPORT), rarity(F.lit(float(most))))))
+    bits = spark.sparkContext.broadcast(bit_table(rare, "term", BITS))  # of one size, whatever the corpus
+    rows = spark.sparkContext.broadcast(bit_table(seen.select(F.xxhash64("row").alias("place")), "place", BITS))
+    texts = docs.select("doc_id", "row", "text", F.xxhash64("row").alias("place"))
+    terms = texts.mapInArrow(lambda it: _standing(it, bits.value, rows.value), "row long, term long").distinct().join(rare.hint("merge"), "term")
+    both = terms.join(seen.hint("merge"), "row").where(F.col("n_term") <= rarity(F.col("n_entity")))
+    both = stored(both.select("entity", "term", "context", "copies", "n_entity", "n_term"))
+    both = both.groupBy("entity", "term", "context", "n_entity", "n_term").agg(F.sum("copies").alias("n"))
+    both = both.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts")).where(f"n_both >= {SUPPORT} and contexts >= {SUPPORT}")
     info = F.log(F.lit(float(total)) / F.col("n_entity"))
-    both = terms.join(least, "term").join(seen, ["doc_id", "row"]).where((info > 0) & (F.log(F.lit(float(total)) / F.col("n_least")) >= DISCLOSURE * info - 1e-9))
-    both = stored(both.select("entity", "term", "doc_id", "row", "context", "n_entity", "n_least"))
-    contexts = both.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_contexts")).where(f"n_contexts >= {SUPPORT}")
-    both = both.groupBy("entity", "term", "n_entity", "n_least").agg(F.count("*").alias("n_both")).where(f"n_both >= {SUPPORT}")
-    told = lambda n: F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.greatest(n, "n_both"))) / info
-    likely = stored(both.join(contexts, ["entity", "term"]).where(told("n_least") >= DISCLOSURE - 1e-9))
-    out = likely.join(counted(docs, likely), "term").withColumn("disclosure", told("n_term"))
-    return out.where(f"disclosure >= {DISCLOSURE}").select("entity", "term", "disclosure")
+    told = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term"))) / info
+    out = both.where(F.col("n_entity") < total).withColumn("disclosure", told).where(F.col("disclosure") >= DISCLOSURE - 1e-9)
+    return out.select("entity", "term", "n_entity", "n_term", "n_both", "disclosure")
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -239,10 +241,21 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.size("terms").cast("long").alias("n_term"), F.sha2(text(F.sort_array("base")), 256).alias("base_sha256"), text(F.concat(F.sort_array("base"), terms)).alias("spans"))
 
 
+def shape(term: str) -> str:
+    """The class that stands for a generalised term: its kind, and for numbers how many digits."""
+    if term.isdigit():
+        return f"[NUMBER {len(term)}]"
+    if any(c.isdigit() for c in term):
+        return "[CODE]"
+    if term.isupper() and len(term) > 1:
+        return "[ACRONYM]"
+    return "[NAME]" if term[:1].isupper() else "[WORD]"
+
+
 def replaced(text: str, base: list, terms: list) -> str:
-    """text with a mark for each span: its kind, the class of a generalised term, nothing for a removed one."""
+    """text with a mark for each span: its kind, the shape of a generalised term, nothing for a removed one."""
     marks = [(x["s"], x["e"], f"[{KINDS[x['k']].upper()}]") for x in base]
-    marks += [(x["s"], x["e"], "[]" if x["disclosure"] >= REMOVAL else "[NUMBER]" if text[x["s"] : x["e"]].isdigit() else "[WORD]") for x in terms]
+    marks += [(x["s"], x["e"], "[]" if x["disclosure"] >= REMOVAL else shape(text[x["s"] : x["e"]])) for x in terms]
     out, at = [], 0
     for s, e, mark in sorted(marks):
         if s >= at:
