@@ -68,16 +68,22 @@ def prediction_records(docs: DataFrame, predicted: DataFrame, tags: Sequence[str
     return both.select("doc_id", "original", markup.strip_tags(F.col("original"), tags).alias("stripped"), "predicted", found("original").alias("original_citations"), found("predicted").alias("predicted_citations"))
 
 
+def edits(a: Column, b: Column, bands: Sequence[int] = (128, 1024)) -> Column:
+    """The edit distance: only a band around the diagonal is computed, as long as one that narrow can hold it."""
+    return F.coalesce(*(F.nullif(F.levenshtein(a, b, band), F.lit(-1)) for band in bands), F.levenshtein(a, b))
+
+
 def edit_distance_norm(pairs: DataFrame, chunk: int | None = 10_000) -> DataFrame:
     """pairs (doc_id, a, b): doc_id, distance: edits of aligned chunks over the longer lengths; 0 if both are empty."""
     longest = F.greatest(F.length("a"), F.length("b"))
     if chunk is None:
-        return pairs.select("doc_id", F.coalesce(F.try_divide(F.levenshtein("a", "b").cast("double"), longest), F.lit(0.0)).alias("distance"))
+        return pairs.select("doc_id", F.coalesce(F.try_divide(edits(F.col("a"), F.col("b")).cast("double"), longest), F.lit(0.0)).alias("distance"))
     rows = pairs.select("doc_id", "a", "b", F.explode(F.sequence(F.lit(0), F.greatest(longest - 1, F.lit(0)), F.lit(chunk))).alias("at"))
     rows = rows.select("doc_id", F.substring(F.col("a"), F.col("at") + 1, F.lit(chunk)).alias("a"), F.substring(F.col("b"), F.col("at") + 1, F.lit(chunk)).alias("b"))
-    # One task would otherwise do all the chunks of its documents; they are dealt out evenly.
-    rows = rows.repartition("doc_id", F.md5("a"))
-    sums = rows.groupBy("doc_id").agg(F.sum(F.levenshtein("a", "b")).alias("edits"), F.sum(F.greatest(F.length("a"), F.length("b"))).alias("length"))
+    # One task would otherwise do all the chunks of its documents; they are dealt out evenly. The number is given,
+    # because few bytes would be joined to one task, however long they take.
+    rows = rows.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", F.md5("a"))
+    sums = rows.groupBy("doc_id").agg(F.sum(edits(F.col("a"), F.col("b"))).alias("edits"), F.sum(F.greatest(F.length("a"), F.length("b"))).alias("length"))
     return sums.select("doc_id", _ratio(F.col("edits"), F.col("length")).alias("distance"))
 
 
