@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns the rows that go on, with the columns of ``documents``; the
 last returns packed pieces. ``run`` writes each stage's result to the shared folder and rereads it, so a stage
 works on all that its predecessor kept and a lost executor costs at most one stage.
+
+Null, empty and letterless texts go in the first stage, so an empty table and one of such texts give an empty
+result. Rows without a doc_id stay, unless a text like theirs has one; repeated rows stay together. Columns that
+``documents`` doesn't have are dropped.
 """
 
 from __future__ import annotations
@@ -51,7 +55,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: The stages learn a network and tokenise: SQL can't express them. tests/llm has brute-force versions.
+#: The stages learn a network and tokenise: SQL can't express them. tests/llm/test_pipeline.py states what each must keep.
 ORACLE_SQL = None
 
 
