@@ -80,7 +80,7 @@ QUERIES = {
         pipeline,
     )
 }
-#: The others tokenise, learn, pack or estimate: tests/llm has their brute-force versions.
+#: The others tokenise, learn, pack or estimate: tests/llm holds them against brute force, libraries or held-out rows.
 ORACLES: dict[str, str] = {
     "op1_minhash_dedup": oracles.near_duplicates(),
     "op3_repetition_rules": oracles.repetition(),
