@@ -252,6 +252,17 @@ def test_token_counts_match_the_library(docs):
         assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len((t or "").encode()), n > 100)
 
 
+def test_repetition_and_token_counts_of_odd_rows(spark):
+    rows = [(1, "a b", 9), (1, "a b", 9), (None, "word " * 200_000, 9), (2, "é" * 100_000, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words long")
+    got = repetition_rules.repetition(df).collect()
+    assert sorted((r.n_words, r.n_repeat_words) for r in got) == [(1, 0), (2, 0), (2, 0), (200_000, 200_000)] and not any(r.kept for r in got)
+    model = tokenizer("piece_bpe_32k.model")
+    counts = [(r.n_bytes, r.over_limit) for r in token_counts.token_counts(df, model).collect()]
+    assert sorted(counts) == [(3, False), (3, False), (200_000, True), (1_000_000, True)]
+    assert repetition_rules.repetition(df.limit(0)).count() == 0 == token_counts.token_counts(df.limit(0), model).count()
+
+
 # ---- language
 
 
