@@ -32,7 +32,7 @@ BITS, ORDER = 7, 5
 SYMBOLS_N, DENSE = 1 << BITS, 1 << 3 * BITS
 #: Codes of 5-grams carry this bit, so that they and 4-grams can share a table.
 TOP = 1 << 40
-QUANTILE, SLACK, BLOCK_BYTES, CALIBRATE = 0.995, 1.1, 8 << 20, 5
+QUANTILE, SLACK, BLOCK_BYTES, CALIBRATE = 0.995, 1.1, 64 << 20, 5
 #: Languages whose limits are sent to every task at most.
 BROADCAST_ROWS = 100_000
 
