@@ -13,6 +13,15 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def crc32(text: str) -> str:
+    """SQL of the unsigned CRC-32 of an SQL text expression's UTF-8 bytes, bit by bit (polynomial 0xEDB88320);
+    of characters up to U+07FF."""
+    code = "unicode(c)"
+    octets = f"list_transform(string_split({text}, ''), lambda c: CASE WHEN c = '' THEN [] WHEN {code} < 128 THEN [CAST({code} AS BIGINT)] ELSE [192 + CAST({code} AS BIGINT) // 64, 128 + CAST({code} AS BIGINT) % 64] END)"
+    steps = f"flatten(list_transform(flatten({octets}), lambda b: [b, 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce(list_prepend(4294967295, {steps}), lambda c, x: xor(xor(c, x) // 2, 3988292384 * (xor(c, x) % 2))), 4294967295)"
+
+
 def near_duplicates(width: int = 2, percent: int = 80) -> str:
     return f"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({LOWERED}, '{WORD}') AS w FROM documents),
 sets AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + {width - 1}], ' ') AS g FROM words, LATERAL (SELECT unnest(generate_series(1, greatest(len(w) - {width - 1}, 1))) AS k) WHERE len(w) > 0),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import gru_language, kneser_ney_quality, license_scan, minhash_dedup, oracles, pattern_packing, pii_sanitise, repetition_rules, secret_scan, seed_decontamination, token_counts
+from citeloom.llm import gru_language, kneser_ney_quality, license_scan, minhash_dedup, oracles, pattern_packing, pii_sanitise, repetition_rules, secret_scan, seed_decontamination, spelling_variants, token_counts, top_k_search
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,6 +58,14 @@ def op10_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seed_decontamination.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(_read(spark, sf_dir, "documents"))
+
+
+def op12_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k_search.top_k(_read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,6 +85,8 @@ QUERIES = {
         op8_pii_sanitise,
         op9_secret_scan,
         op10_seed_decontamination,
+        op11_spelling_variants,
+        op12_top_k_search,
         pipeline,
     )
 }
@@ -87,4 +97,6 @@ ORACLES: dict[str, str] = {
     "op6_license_scan": license_scan.oracle_sql(),
     "op9_secret_scan": oracles.secrets(),
     "op10_seed_decontamination": oracles.decontamination(),
+    "op11_spelling_variants": spelling_variants.oracle_sql(oracles.crc32),
+    "op12_top_k_search": top_k_search.oracle_sql(),
 }
