@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import gru_language, kneser_ney_quality, license_scan, minhash_dedup, oracles, pattern_packing, pii_sanitise, repetition_rules, secret_scan, seed_decontamination, spelling_variants, token_counts, top_k_search
+from citeloom.llm import conversation_repair, gru_language, kneser_ney_quality, license_scan, minhash_dedup, oracles, pattern_packing, pii_sanitise, repetition_rules, secret_scan, seed_decontamination, spelling_variants, token_counts, top_k_search
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op12_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_search.top_k(_read(spark, sf_dir, "embeddings"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(_read(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,6 +91,7 @@ QUERIES = {
         op10_seed_decontamination,
         op11_spelling_variants,
         op12_top_k_search,
+        op13_conversation_repair,
         pipeline,
     )
 }
@@ -99,4 +104,5 @@ ORACLES: dict[str, str] = {
     "op10_seed_decontamination": oracles.decontamination(),
     "op11_spelling_variants": spelling_variants.oracle_sql(oracles.crc32),
     "op12_top_k_search": top_k_search.oracle_sql(),
+    "op13_conversation_repair": conversation_repair.oracle_sql(oracles.crc32),
 }
