@@ -44,7 +44,7 @@ def variants_by_hand(rows):
     return sorted(((w, form[w], root(w), n, len(of[w]), words[form[w]] if form[w] else None) for w, n in words.items()), key=str)
 
 
-def random_texts(seed, texts, letters="abcé", least=4, most=7, words=60):
+def random_texts(seed, texts, letters="abé", least=4, most=6, words=80):
     rng = random.Random(seed)
     pool = ["".join(rng.choices(letters, k=rng.randint(least, most))) for _ in range(words)]
     return [" ".join(rng.choice((str, str.upper, str.title))(rng.choice(pool)) for _ in range(80)) for _ in range(texts)]
