@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-#: Sums that one step of running_ends copies at most.
-BLOCK = 128
+#: Sums that one step of running_ends copies at most, and how often sums are taken of blocks of blocks.
+BLOCK, LEVELS = 16, 4
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -15,22 +15,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _grown(lengths: Column, first: Column) -> Column:
-    """first, and the sums of it and each further length."""
-    return F.aggregate(lengths, F.array(first), lambda out, x: F.array_append(out, F.element_at(out, -1) + x))
-
-
 def running_ends(lengths: Column) -> Column:
     """Sums of the first 1, 2, 3, ... of an array of integers; empty for an empty one.
 
-    Sums of whole blocks come first, so a step copies a block, not all that came before it.
+    Sums of blocks come first, those of blocks of blocks before them, so a step copies a block at most: the cost is
+    linear up to BLOCK ** (LEVELS + 1) elements, and a BLOCK ** LEVELS-th of quadratic beyond.
     """
 
-    def sums(every: Column) -> Column:
-        blocks = F.sequence(F.lit(0), ((F.size(every) - 1) / BLOCK).cast("int"))
+    def after(cut: Column, before: Column) -> Column:
+        sums = F.aggregate(cut, F.array(before), lambda out, x: F.array_append(out, F.element_at(out, -1) + x))
+        return F.slice(sums, F.lit(2), F.size(cut))
+
+    def ends(every: Column, level: int) -> Column:
+        if not level:
+            return after(every, F.lit(0))
         cut = lambda b: F.slice(every, b * BLOCK + 1, F.lit(BLOCK))
+        blocks = F.sequence(F.lit(0), ((F.size(every) - 1) / BLOCK).cast("int"))
         totals = F.transform(blocks, lambda b: F.aggregate(cut(b), F.lit(0), lambda a, x: a + x))
-        ends = let(_grown(totals, F.lit(0)), lambda before: F.flatten(F.transform(blocks, lambda b: F.slice(_grown(cut(b), F.get(before, b)), 2, BLOCK))))
-        return F.when(F.size(every) > 0, ends).otherwise(F.expr("cast(array() as array<int>)"))
+        before = let(totals, lambda t: ends(t, level - 1))
+        whole = let(before, lambda upto: F.flatten(F.transform(blocks, lambda b: after(cut(b), F.when(b == 0, 0).otherwise(F.get(upto, b - 1))))))
+        return F.when(F.size(every) <= BLOCK, after(every, F.lit(0))).otherwise(whole)
 
-    return let(lengths, sums)
+    return let(lengths, lambda every: F.when(F.size(every) > 0, ends(every, LEVELS)).otherwise(F.expr("cast(array() as array<int>)")))

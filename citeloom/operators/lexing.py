@@ -51,7 +51,8 @@ def piece_array(text: Column) -> Column:
 
 def markup_events(docs: DataFrame) -> DataFrame:
     """doc_id, pos, start, end, kind, name ('' but for tags; lower case), piece."""
-    rows = docs.select("doc_id", F.posexplode(piece_array(F.col("text"))).alias("pos", "x")).select("doc_id", "pos", "x.*")
+    placed = lambda x, pos: F.struct(pos.alias("pos"), *(x[c].alias(c) for c in ("start", "end", "piece")))
+    rows = docs.select("doc_id", F.inline(F.transform(piece_array(F.col("text")), placed)))
     rows = rows.withColumn("kind", _kind(F.col("piece")))
     tag = F.col("kind").isin("open", "close", "selfclose")
     name = F.when(tag, F.lower(F.regexp_extract("piece", NAME, 1))).otherwise("")

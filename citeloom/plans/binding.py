@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from citeloom.functions import markup
 from citeloom.operators import lexing, tokens as T
+from citeloom.sources.storage import table
 
 #: Element -> span type. NESTED has attributes and nesting, ADJACENT neighbours and unbalanced tags, PAIRED neighbours of two types.
 NESTED = {"a": "BIBL", "li": "CIT"}
@@ -66,11 +67,11 @@ def literal(s: str) -> str:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 #: Sentences end here; each two of a text make a citation.

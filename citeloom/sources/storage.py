@@ -24,3 +24,14 @@ def stored(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df as it is, or, where its files give fewer partitions than there are cores, dealt out to all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of a folder of Parquet tables, in at least as many partitions as there are cores."""
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
