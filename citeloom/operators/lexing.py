@@ -25,7 +25,8 @@ def _doc():
     return Window.partitionBy("doc_id").orderBy("pos")
 
 
-def _kind(piece: Column) -> Column:
+def kind_of(piece: Column) -> Column:
+    """comment, cdata, instruction, raw (script, style), open, close, selfclose or text."""
     tag = piece.rlike(r"^</?[A-Za-z_]")
     return (
         F.when(piece.startswith("<!--"), "comment")
@@ -53,25 +54,19 @@ def markup_events(docs: DataFrame) -> DataFrame:
     """doc_id, pos, start, end, kind, name ('' but for tags; lower case), piece."""
     placed = lambda x, pos: F.struct(pos.alias("pos"), *(x[c].alias(c) for c in ("start", "end", "piece")))
     rows = docs.select("doc_id", F.inline(F.transform(piece_array(F.col("text")), placed)))
-    rows = rows.withColumn("kind", _kind(F.col("piece")))
+    rows = rows.withColumn("kind", kind_of(F.col("piece")))
     tag = F.col("kind").isin("open", "close", "selfclose")
     name = F.when(tag, F.lower(F.regexp_extract("piece", NAME, 1))).otherwise("")
     return rows.select("doc_id", "pos", "start", "end", "kind", name.alias("name"), "piece")
 
 
-def without_tags(docs: DataFrame, names: Sequence[str], local: bool = False) -> DataFrame:
-    """doc_id, text without the tags of these elements; local: a prefix before the name is ignored."""
+def without_tags(docs: DataFrame, names: Sequence[str]) -> DataFrame:
+    """doc_id, text without the tags of these elements."""
     name = lambda x: F.lower(F.regexp_extract(x, NAME, 1))
-    named = (lambda x: F.regexp_replace(name(x), "^.*:", "")) if local else name
-    kept = F.filter("x", lambda x: ~x.startswith("<") | ~named(x).isin(*names) | (_kind(x) == "raw"))
+    kept = F.filter("x", lambda x: ~x.startswith("<") | ~name(x).isin(*names) | (kind_of(x) == "raw"))
     return docs.select("doc_id", pieces(F.col("text")).alias("x")).where("size(x) > 0").select("doc_id", F.array_join(kept, "").alias("text"))
 
 
-def strip_elements(docs: DataFrame, names: Sequence[str]) -> DataFrame:
-    """doc_id, text without the tags of these elements, by name alone (case and prefix ignored)."""
-    return without_tags(docs, names, local=True)
-
-
 def paired(tags: DataFrame, *keep: str) -> DataFrame:
     """tags (doc_id, pos, kind, name, ...) with twin, for closing tags the columns keep of the opening tag that they
     pair with.

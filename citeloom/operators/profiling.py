@@ -7,15 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from citeloom.functions import markup
-from citeloom.operators import lexing
+from citeloom.operators import chardata, lexing
 from citeloom.sources.storage import stored
 
 
 def tag_counts(docs: DataFrame, tags: Sequence[str] = markup.TAGS) -> DataFrame:
-    """doc_id, n_<tag> opening tags of each element, n_tags, n_chars outside tags."""
-    counts = [F.regexp_count("text", F.lit(rf"<{t}(?:\s[^>]*)?>")).cast("long").alias(f"n_{t}") for t in tags]
-    chars = F.length(F.regexp_replace("text", r"(?s)<!--.*?-->|<[^>]*>", "")).cast("long").alias("n_chars")
-    out = docs.select("doc_id", *counts, chars)
+    """doc_id, n_<tag> opening and empty tags of each element, n_tags, n_chars of character data.
+
+    Counted on the pieces of a document, so what stands in comments, CDATA or scripts is no tag. Character data is
+    decoded: a reference is one character, so is a line's end; CDATA counts without its brackets; blanks before the first
+    tag and after the last stand outside of every element and don't count.
+    """
+    size = lambda f: F.size(f).cast("long")
+    names = F.transform(F.filter("x", lambda p: p.rlike("^<[A-Za-z_]") & lexing.kind_of(p).isin("open", "selfclose")), lambda p: F.lower(F.regexp_extract(p, lexing.NAME, 1)))
+    counted = docs.select("doc_id", lexing.pieces(F.col("text")).alias("x"))
+    counted = counted.select("doc_id", names.alias("names"), chardata.inner_length(F.col("x")).alias("n_chars"))
+    named = lambda t: F.filter("names", lambda n: n == t)
+    counts = [size(named(t)).alias(f"n_{t}") for t in tags]
+    out = counted.select("doc_id", *counts, F.col("n_chars").cast("long").alias("n_chars")).where("n_chars is not null")
     return out.withColumn("n_tags", sum((F.col(f"n_{t}") for t in tags[1:]), F.col(f"n_{tags[0]}")))
 
 
@@ -29,22 +38,6 @@ def select_documents(counts: DataFrame, min_tags: int = 100) -> DataFrame:
     return counts.where(F.col("n_tags") >= min_tags)
 
 
-def parse_status(docs: DataFrame, void: Sequence[str] = ("br", "meta", "img", "hr", "link", "input")) -> DataFrame:
-    """doc_id, n_open, n_close, balanced: whether every element's tags pair, never an error.
-
-    An element is out of balance when its closing tags ever outnumber its opening ones, or at the end do not
-    match them.
-    """
-    tags = lexing.markup_events(docs).where(F.col("kind").isin("open", "close") & ~F.col("name").isin(*void))
-    step = F.when(F.col("kind") == "open", 1).otherwise(-1)
-    tags = tags.withColumn("step", step).withColumn("depth", F.expr("sum(step) over (partition by doc_id, name order by pos)"))
-    by_name = tags.groupBy("doc_id", "name").agg(F.sum("step").alias("left"), F.min("depth").alias("low"), F.sum((F.col("step") > 0).cast("long")).alias("n_open"), F.sum((F.col("step") < 0).cast("long")).alias("n_close"))
-    out = by_name.groupBy("doc_id").agg(F.sum("n_open").alias("n_open"), F.sum("n_close").alias("n_close"), F.max(((F.col("left") != 0) | (F.col("low") < 0)).cast("int")).alias("bad"))
-    out = docs.select("doc_id").join(out, "doc_id", "left")
-    zero = F.lit(0).cast("long")
-    return out.select("doc_id", F.coalesce("n_open", zero).alias("n_open"), F.coalesce("n_close", zero).alias("n_close"), (F.coalesce("bad", F.lit(0)) == 0).alias("balanced"))
-
-
 def tag_proportions(counts: DataFrame, tags: Sequence[str] = markup.TAGS) -> DataFrame:
     """counts with p_<tag>, the share of each element among the counted; null without any."""
     return counts.withColumns({f"p_{t}": F.try_divide(F.col(f"n_{t}").cast("double"), F.col("n_tags")) for t in tags})

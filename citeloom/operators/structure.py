@@ -49,25 +49,61 @@ def wrap_pairs(spans: DataFrame, docs: DataFrame, pair: tuple[str, str] = ("BIBL
     return out.select("doc_id", "start", "end", F.lit(outer).alias("type"), F.lit("").alias("attrs"))
 
 
-def drop_crossing(spans: DataFrame) -> DataFrame:
-    """spans without those that cross an earlier one (start, then the longer, then type): s1 < s2 < e1 < e2.
+def _nested(spans: DataFrame) -> DataFrame:
+    """spans without those that cross a kept one before them, in order of start, then the longer, then type.
 
-    A span that crosses is dropped even if the one it crosses is dropped as well, so the result never crosses
-    and each span is judged by its overlaps alone. The test needs no pairs: the farthest end of earlier
-    starts that lies inside the span is looked up among ends near it, block by block.
+    Spans that overlap, directly or over others, form clusters, between which nothing can cross; each is decided
+    by itself. Kept spans are nested, so of those that are open at a start the last ends first: if it ends inside the
+    span, the span crosses.
     """
+    order = [F.col("start"), F.col("end").desc(), F.col("type")]
+    by = Window.partitionBy("doc_id").orderBy(*order)
+    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    rows = spans.withColumn("fresh", F.coalesce(F.col("start") >= reach, F.lit(True)))
+    rows = rows.withColumn("cluster", F.sum(F.col("fresh").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    names = [c for c in spans.columns if c != "doc_id"]
+    # An array of (start, how much to the left of the far end, ...) sorts as the order above.
+    key = F.struct(F.col("start").alias("k1"), (-F.col("end")).alias("k2"), F.col("type").alias("k3"), F.struct(*names).alias("span"))
+    clusters = rows.groupBy("doc_id", "cluster").agg(F.sort_array(F.collect_list(key)).alias("x"))
+    ends = F.expr("cast(array() as array<int>)")
+    flags = F.expr("cast(array() as array<boolean>)")
+
+    def step(state: Column, x: Column) -> Column:
+        start, end = x["span"]["start"], x["span"]["end"]
+        still = F.filter(state["ends"], lambda e: e > start)
+        keep = (F.size(still) == 0) | (F.element_at(still, -1) >= end)
+        return F.struct(F.when(keep, F.array_append(still, end)).otherwise(still).alias("ends"), F.array_append(state["keep"], keep).alias("keep"))
+
+    single = F.size("x") == 1
+    keep = F.when(single, F.array(F.lit(True))).otherwise(F.aggregate("x", F.struct(ends.alias("ends"), flags.alias("keep")), step, lambda state: state["keep"]))
+    kept = F.filter(F.zip_with("x", keep, lambda x, k: F.when(k, x["span"])), lambda span: span.isNotNull())
+    return clusters.select("doc_id", F.inline(kept)).select(*spans.columns)
+
+
+def drop_crossing(spans: DataFrame, first: str | None = None) -> DataFrame:
+    """spans without those that cross (s1 < s2 < e1 < e2) one that is kept and comes before them.
+
+    They're decided in order: those that have ``first`` (a column of booleans), then by start, then the longer, then
+    type. A span that was dropped drops no other.
+    """
+    spans = spans.withColumns({c: F.col(c).cast("int") for c in ("start", "end")})
+    if first is None:
+        return _nested(spans)
+    before = stored(_nested(spans.where(F.col(first))))
+    # A span crosses another if just one end of either lies inside the other; ends are looked up by blocks.
     block = 512
-    rows = spans.withColumn("sid", F.xxhash64("doc_id", "start", "end", "type"))
-    reach = rows.where("start < end").select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"))
-    reach = reach.withColumn("block", F.expr(f"(e - 1) div {block}"))
-    look = rows.where("start < end").select("doc_id", "sid", "start", "end").withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (end - 1) div {block})")))
-    bad = look.join(reach, ["doc_id", "block"]).where("s < start and start < e and e < end").select("doc_id", "sid").distinct()
-    return rows.join(bad, ["doc_id", "sid"], "left_anti").select(*spans.columns)
-
-
-def post_process(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Crossing spans out, neighbours merged, pairs wrapped: all spans of the result."""
-    merged = stored(merge_adjacent(drop_crossing(spans), docs))
+    rows = spans.where(~F.coalesce(F.col(first), F.lit(False))).withColumn("sid", F.xxhash64("doc_id", "start", "end", "type"))
+    ends = before.where("start < end").select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"))
+    ends = ends.select("doc_id", "s", "e", F.explode(F.array("s", "e")).alias("at")).withColumn("block", F.expr(f"at div {block}"))
+    look = rows.where("start < end").select("doc_id", "sid", "start", "end").withColumn("block", F.explode(F.expr(f"sequence(start div {block}, end div {block})")))
+    crosses = "s < start and start < e and e < end or start < s and s < end and end < e"
+    bad = look.join(ends, ["doc_id", "block"]).where(crosses).select("doc_id", "sid").distinct()
+    return before.unionByName(_nested(rows.join(bad, ["doc_id", "sid"], "left_anti").select(*spans.columns)))
+
+
+def post_process(docs: DataFrame, spans: DataFrame, first: str | None = None) -> DataFrame:
+    """Crossing spans out (see drop_crossing), neighbours merged, pairs wrapped: all spans of the result."""
+    merged = stored(merge_adjacent(drop_crossing(spans, first), docs))
     return merged.unionByName(wrap_pairs(merged, docs))
 
 
@@ -86,9 +122,9 @@ def tag_corpus(docs: DataFrame, predictor: Callable, types: Mapping[str, str], p
         merged = labelling.resolve_against_existing(stored(merged), existing)
     new = labelling.trim_spans(labelling.decode_entities(merged).where("start < end"), text).where("start < end")
     new = lexing.drop_splitting(new, text).withColumn("attrs", F.lit(""))
-    spans = stored(new.unionByName(existing) if preserve_existing else new)
+    spans = stored(new.withColumn("existing", F.lit(False)).unionByName(existing.withColumn("existing", F.lit(True))) if preserve_existing else new)
     names = {t: n for n, t in types.items()}
-    return labelling.render(text, post_process(text, spans), names | ({} if "CIT" in names else {"CIT": "cit"}))
+    return labelling.render(text, post_process(text, spans, "existing" if preserve_existing else None), names | ({} if "CIT" in names else {"CIT": "cit"}))
 
 
 def roundtrip_corpus(docs: DataFrame, tags=markup.TAGS) -> DataFrame:

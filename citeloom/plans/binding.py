@@ -173,9 +173,17 @@ TABLES["t_parsed"] = f"SELECT * FROM (SELECT *, {parse_sql('urn')} FROM t_cites)
 TABLES["t_split"] = """SELECT doc_id AS id, text, CASE WHEN substring(md5(CAST(doc_id AS VARCHAR)), 1, 1) IN ('0', '1') THEN 'test' WHEN substring(md5(CAST(doc_id AS VARCHAR)), 1, 1) IN ('2', '3') THEN 'val' ELSE 'train' END AS split FROM documents"""
 
 
+#: Length of a piece of character data once it is decoded.
+_DECODED = r"""CASE WHEN kind = 'cdata' THEN length(regexp_replace(substring(piece, 10, length(piece) - 12), '\r\n?', 'x', 'g')) ELSE length(regexp_replace(piece, '&(?:amp|lt|gt|quot|apos|#[0-9]{1,7}|#x[0-9A-Fa-f]{1,6});|\r\n?', 'x', 'g')) END"""
+TABLES["t_outer"] = """SELECT doc_id, min(pos) AS first_tag, max(pos) AS last_tag FROM t_events WHERE kind IN ('open', 'close', 'selfclose', 'raw') GROUP BY doc_id"""
+TABLES["t_data"] = rf"""SELECT e.doc_id, pos, start, "end", piece, {_DECODED} AS n_out, coalesce(pos BETWEEN first_tag AND last_tag OR regexp_matches(piece, '[^\x20\x09-\x0D]'), true) AS inner_
+    FROM t_events e LEFT JOIN t_outer o ON o.doc_id = e.doc_id WHERE kind IN ('text', 'cdata')"""
+
+
 def counts_sql(tags) -> str:
-    cols = ", ".join(rf"len(regexp_extract_all(text, '<{t}(?:\s[^>]*)?>')) AS n_{t}" for t in tags)
-    return rf"SELECT doc_id, {cols}, length(regexp_replace(text, '(?s)<!--.*?-->|<[^>]*>', '', 'g')) AS n_chars FROM t_pages"
+    cols = ", ".join(f"count(*) FILTER (e.kind IN ('open', 'selfclose') AND e.name = '{t}') AS n_{t}" for t in tags)
+    return f"""SELECT p.doc_id, {cols}, CAST((SELECT coalesce(sum(n_out), 0) FROM t_data d WHERE d.doc_id = p.doc_id AND inner_) AS BIGINT) AS n_chars
+    FROM t_pages p LEFT JOIN t_events e ON e.doc_id = p.doc_id WHERE text IS NOT NULL GROUP BY p.doc_id"""
 
 
 PROFILE_TAGS = ("a", "li", "p")

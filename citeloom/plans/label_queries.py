@@ -165,8 +165,15 @@ def wrapped_table(spans: str, text: str) -> str:
     GROUP BY doc_id, run, turn HAVING count(*) = 2"""
 
 
-def uncrossed_table(spans: str) -> str:
-    return f"""SELECT * FROM {spans} x WHERE NOT EXISTS (SELECT 1 FROM {spans} y WHERE y.doc_id = x.doc_id AND y.start < y."end" AND x.start < x."end" AND y.start < x.start AND x.start < y."end" AND y."end" < x."end")"""
+def uncrossed_table(spans: str, rank: str = "0") -> str:
+    """Spans one after the other, those of a lower rank first: each stays, unless it crosses one that has stayed."""
+    crosses = """lambda k: (k.s < o.start AND o.start < k.e AND k.e < o."end") OR (o.start < k.s AND k.s < o."end" AND o."end" < k.e)"""
+    return f"""SELECT doc_id, k.s AS start, k.e AS "end", k.t AS type, k.a AS attrs FROM (SELECT doc_id, unnest(kept) AS k FROM (WITH RECURSIVE ordered AS
+      (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {rank}, start, "end" DESC, type) AS i FROM {spans}),
+      walk AS (SELECT doc_id, 0 AS i, CAST([] AS STRUCT(s BIGINT, e BIGINT, t VARCHAR, a VARCHAR)[]) AS kept FROM (SELECT DISTINCT doc_id FROM {spans}) UNION ALL
+        SELECT w.doc_id, w.i + 1, CASE WHEN len(list_filter(w.kept, {crosses})) = 0 THEN list_append(w.kept, CAST({{'s': o.start, 'e': o."end", 't': o.type, 'a': o.attrs}} AS STRUCT(s BIGINT, e BIGINT, t VARCHAR, a VARCHAR))) ELSE w.kept END
+        FROM walk w JOIN ordered o ON o.doc_id = w.doc_id AND o.i = w.i + 1)
+      SELECT doc_id, arg_max(kept, i) AS kept FROM walk GROUP BY doc_id))"""
 
 
 B.TABLES["t_merged"] = merged_table("t_spans_a", "t_text_a")
@@ -225,8 +232,8 @@ B.TABLES["t_left_trimmed"] = r"""SELECT doc_id, start + length(x) - length(regex
 B.TABLES["t_left_level"] = """SELECT *, sum(CASE kind WHEN 'open' THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id, name ORDER BY pos) + CASE kind WHEN 'close' THEN 1 ELSE 0 END AS level FROM t_left WHERE kind IN ('open', 'close')"""
 B.TABLES["t_left_pairs"] = """SELECT doc_id, twin AS a, start AS z FROM (SELECT *, lag(kind) OVER w AS before_, lag(start) OVER w AS twin FROM t_left_level WINDOW w AS (PARTITION BY doc_id, name, level ORDER BY pos)) WHERE kind = 'close' AND before_ = 'open'"""
 B.TABLES["t_left_new"] = """SELECT * FROM t_left_trimmed s WHERE start < "end" AND NOT EXISTS (SELECT 1 FROM t_left_pairs p WHERE p.doc_id = s.doc_id AND (s.start <= a AND a < s."end") <> (s.start <= z AND z < s."end"))"""
-B.TABLES["t_left_spans"] = """SELECT doc_id, start, "end", type, '' AS attrs FROM t_left_new UNION ALL SELECT * FROM t_spans_a"""
-B.TABLES["t_left_uncrossed"] = uncrossed_table("t_left_spans")
+B.TABLES["t_left_spans"] = """SELECT doc_id, start, "end", type, '' AS attrs, 1 AS rank FROM t_left_new UNION ALL SELECT *, 0 FROM t_spans_a"""
+B.TABLES["t_left_uncrossed"] = uncrossed_table("t_left_spans", "rank")
 B.TABLES["t_left_merged"] = merged_table("t_left_uncrossed", "t_text_a")
 B.TABLES["t_left_wrapped"] = wrapped_table("t_left_merged", "t_text_a")
 B.TABLES["t_left_named"] = """SELECT doc_id, start, "end", CASE type WHEN 'BIBL' THEN 'h1' WHEN 'QUOTE' THEN 'p' ELSE 'cit' END AS name, attrs FROM (SELECT * FROM t_left_merged UNION ALL SELECT * FROM t_left_wrapped)"""

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citeloom.functions import labels as L, markup, urn as U
-from citeloom.operators import evaluation, lexing, profiling, structure, tokens as T
+from citeloom.operators import chardata, evaluation, lexing, profiling, structure, tokens as T, wellformed
 from citeloom.plans import binding as B
 from citeloom.plans.binding import query
+from citeloom.sources.storage import stored
 
 
 @query("b1_strip_tags", r"SELECT doc_id, regexp_replace(text, '</?(?:a|li)(?:\s[^>]*)?/?>', '', 'g') AS text FROM t_pages")
@@ -54,7 +55,7 @@ def strip_with_spans_unbalanced(spark, sf):
 
 @query("b8_strip_elements", "SELECT doc_id, string_agg(piece, '' ORDER BY pos) AS text FROM t_events WHERE name NOT IN ('div', 'b', 'nav') GROUP BY doc_id")
 def strip_elements(spark, sf):
-    return lexing.strip_elements(B.pages(spark, sf), ("div", "b", "nav"))
+    return wellformed.strip_elements(B.pages(spark, sf), ("div", "b", "nav"))
 
 
 @query("b9_attrs_text", r"SELECT doc_id, pos, coalesce(regexp_extract(piece, '(?s)^<[A-Za-z_][A-Za-z0-9_.:-]*(\s.*?)?\s*/?>$', 1), '') AS attrs FROM t_events WHERE kind = 'open'")
@@ -178,16 +179,87 @@ def select_documents(spark, sf):
     return profiling.select_documents(profiling.tag_counts(B.pages(spark, sf), B.PROFILE_TAGS), 15)
 
 
+_AREA = r"regexp_replace(regexp_replace(piece, '^</?[A-Za-z_][A-Za-z0-9_.:-]*', ''), '/?>$', '')"
+_KEYS = rf"regexp_extract_all({_AREA}, {B.literal(wellformed._ATTRIBUTE)}, 1)"
+_VALUES = rf"regexp_extract_all({_AREA}, {B.literal(wellformed._ATTRIBUTE)}, 2)"
+_IS_TAG = "kind IN ('open', 'close', 'selfclose')"
+_VOID = "(" + ", ".join(f"'{x}'" for x in wellformed.VOID) + ")"
+B.TABLES["t_odd"] = rf"""SELECT doc_id, start AS place, CASE WHEN kind = 'text' AND starts_with(piece, '<') THEN 'tag'
+    WHEN {_IS_TAG} AND NOT regexp_full_match({_AREA}, {B.literal("(?:" + chr(92) + "s+" + wellformed._ATTRIBUTE + ")*" + chr(92) + "s*")}) OR kind = 'close' AND trim({_AREA}) <> '' OR {_IS_TAG} AND len(list_distinct({_KEYS})) < len({_KEYS}) THEN 'attribute'
+    WHEN ({_IS_TAG} OR kind = 'text') AND contains(regexp_replace(piece, {B.literal(wellformed.reference())}, '', 'g'), '&') THEN 'reference' END AS error FROM t_events"""
+B.TABLES["t_shown"] = rf"""SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM t_events WHERE ({_IS_TAG} OR kind IN ('raw', 'cdata') OR kind = 'text' AND regexp_matches(piece, '[^\x20\x09-\x0D]')) AND name NOT IN {_VOID}"""
+#: A stack of open elements, tag by tag, until a closing tag doesn't fit.
+B.TABLES["t_walk"] = """SELECT doc_id, arg_max({'stack': len(stack), 'roots': roots, 'place': place, 'error': error, 'loose': loose, 'closed': start}, i) AS x FROM (WITH RECURSIVE walk AS
+    (SELECT doc_id, 0 AS i, CAST([] AS VARCHAR[]) AS stack, 0 AS roots, CAST(NULL AS BIGINT) AS place, CAST(NULL AS VARCHAR) AS error, false AS loose, CAST(NULL AS BIGINT) AS start FROM t_pages WHERE text IS NOT NULL UNION ALL
+    SELECT doc_id, i, CASE WHEN kind = 'open' THEN list_append(stack, name) WHEN kind = 'close' THEN stack[:len(stack) - 1] ELSE stack END, roots + CASE WHEN top AND kind IN ('open', 'selfclose', 'raw') THEN 1 ELSE 0 END,
+      coalesce(place, CASE WHEN wrong IS NOT NULL THEN start END), coalesce(error, wrong), wrong IS NOT DISTINCT FROM 'close', start FROM
+      (SELECT w.*, s.kind, s.name, s.start, len(stack) = 0 AS top, CASE WHEN kind = 'close' AND (len(stack) = 0 OR stack[len(stack)] <> s.name) THEN 'close' WHEN len(stack) = 0 AND (kind IN ('text', 'cdata') OR kind IN ('open', 'selfclose', 'raw') AND roots > 0) THEN 'root' END AS wrong
+       FROM (SELECT doc_id, i + 1 AS i, stack, roots, place, error FROM walk WHERE NOT loose) w JOIN t_shown s ON s.doc_id = w.doc_id AND s.i = w.i))
+    SELECT * FROM walk) GROUP BY doc_id"""
+B.TABLES["t_errors"] = """SELECT * FROM t_odd WHERE error IS NOT NULL UNION ALL SELECT doc_id, x.place, x.error FROM t_walk WHERE x.error IS NOT NULL UNION ALL SELECT doc_id, x.closed, 'close' FROM t_walk WHERE x.error = 'root' AND x.loose
+    UNION ALL SELECT w.doc_id, length(text), CASE WHEN x.stack > 0 THEN 'open' ELSE 'root' END FROM t_walk w JOIN t_pages p ON p.doc_id = w.doc_id WHERE NOT x.loose AND (x.stack > 0 OR x.roots = 0)"""
+
+
 @query(
     "f3_parse_status",
-    """SELECT d.doc_id, coalesce(o, 0) AS n_open, coalesce(c, 0) AS n_close, coalesce(bad, 0) = 0 AS balanced FROM t_pages d LEFT JOIN
-    (SELECT doc_id, CAST(sum(o) AS BIGINT) AS o, CAST(sum(c) AS BIGINT) AS c, max(CASE WHEN o <> c OR low < 0 THEN 1 ELSE 0 END) AS bad FROM
-      (SELECT doc_id, name, sum(CASE WHEN step > 0 THEN 1 ELSE 0 END) AS o, sum(CASE WHEN step < 0 THEN 1 ELSE 0 END) AS c, min(depth) AS low FROM
-        (SELECT *, sum(step) OVER (PARTITION BY doc_id, name ORDER BY pos) AS depth FROM (SELECT *, CASE kind WHEN 'open' THEN 1 ELSE -1 END AS step FROM t_events WHERE kind IN ('open', 'close') AND name NOT IN ('br', 'meta', 'img', 'hr', 'link', 'input')))
-      GROUP BY ALL) GROUP BY doc_id) x USING (doc_id)""",
+    f"""SELECT p.doc_id, (SELECT count(*) FROM t_events e WHERE e.doc_id = p.doc_id AND kind = 'open' AND name NOT IN {_VOID}) AS n_open, (SELECT count(*) FROM t_events e WHERE e.doc_id = p.doc_id AND kind = 'close' AND name NOT IN {_VOID}) AS n_close,
+    NOT x.loose AND x.stack = 0 AS balanced, f.place IS NULL AS well_formed, f.error, f.place AS error_at FROM t_pages p JOIN t_walk w ON w.doc_id = p.doc_id
+    LEFT JOIN (SELECT doc_id, place, min(error) AS error FROM t_errors e WHERE place = (SELECT min(place) FROM t_errors m WHERE m.doc_id = e.doc_id) GROUP BY ALL) f ON f.doc_id = p.doc_id""",
 )
 def parse_status(spark, sf):
-    return profiling.parse_status(B.pages(spark, sf))
+    return wellformed.parse_status(B.pages(spark, sf))
+
+
+@query("b9_attribute_rows", f"""SELECT doc_id, pos, unnest(range(len(k))) AS k, '' AS prefix, unnest(k) AS local, CAST(NULL AS VARCHAR) AS uri, unnest(list_transform(v, lambda x: substring(x, 2, length(x) - 2))) AS value FROM (SELECT doc_id, pos, {_KEYS} AS k, {_VALUES} AS v FROM t_events WHERE kind IN ('open', 'selfclose'))""")
+def attribute_rows(spark, sf):
+    return wellformed.attribute_rows(lexing.markup_events(B.pages(spark, sf)))
+
+
+#: Pages with a default namespace, in which list items are of another one.
+B.TABLES["t_spaced"] = """SELECT doc_id, '<tei xmlns="urn:main" xmlns:o="urn:other">' || replace(replace(text, '<li', '<o:li'), '</li', '</o:li') || '</tei>' AS text FROM t_pages"""
+B.TABLES["t_spaced_events"] = B.events_sql("t_spaced")
+
+
+def _spaced(spark, sf):
+    other = F.replace(F.replace("text", F.lit("<li"), F.lit("<o:li")), F.lit("</li"), F.lit("</o:li"))
+    return B.pages(spark, sf).select("doc_id", F.concat(F.lit('<tei xmlns="urn:main" xmlns:o="urn:other">'), other, F.lit("</tei>")).alias("text"))
+
+
+@query("b8_strip_namespaced", "SELECT doc_id, string_agg(piece, '' ORDER BY pos) AS text FROM t_spaced_events WHERE name NOT IN ('p', 'li') GROUP BY doc_id")
+def strip_namespaced(spark, sf):
+    return wellformed.strip_elements(_spaced(spark, sf), ("p", "li"))
+
+
+@query(
+    "b8_element_tree",
+    f"""SELECT * FROM (WITH RECURSIVE tags AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM t_events WHERE {_IS_TAG} AND name NOT IN {_VOID}),
+    walk AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(name VARCHAR, pos BIGINT)[]) AS stack, CAST(NULL AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS end_pos, CAST(NULL AS BIGINT) AS parent, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS BIGINT) AS "end" FROM t_pages UNION ALL
+      SELECT t.doc_id, t.i, CASE kind WHEN 'open' THEN list_append(stack, {{'name': t.name, 'pos': t.pos}}) WHEN 'close' THEN stack[:len(stack) - 1] ELSE stack END,
+        CASE kind WHEN 'close' THEN stack[len(stack)].pos WHEN 'selfclose' THEN t.pos END, CASE WHEN kind <> 'open' THEN t.pos END, CASE kind WHEN 'close' THEN stack[len(stack) - 1].pos WHEN 'selfclose' THEN stack[len(stack)].pos END, t.name, t."end"
+      FROM walk w JOIN tags t ON t.doc_id = w.doc_id AND t.i = w.i + 1)
+    SELECT w.doc_id, pos, end_pos, parent, name FROM walk w LEFT JOIN t_errors x ON x.doc_id = w.doc_id AND x.error = 'close' WHERE end_pos IS NOT NULL AND "end" <= coalesce(x.place, "end"))""",
+)
+def element_tree(spark, sf):
+    docs = B.pages(spark, sf)
+    first = wellformed.errors(docs).where("error = 'close'").groupBy("doc_id").agg(F.min("at").alias("at"))
+    tree = wellformed.elements(lexing.markup_events(docs), wellformed.VOID).join(first, "doc_id", "left")
+    return tree.where("end <= coalesce(at, end)").select("doc_id", "pos", "end_pos", "parent", "name")
+
+
+@query(
+    "f1_character_spans",
+    """SELECT doc_id, pos, start, "end", to_ - n_out AS decoded_start, to_ AS decoded_end, md5(replace(replace(replace(replace(replace(piece, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&')) AS digest
+    FROM (SELECT *, CAST(sum(n_out) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS to_ FROM t_data)""",
+)
+def character_spans(spark, sf):
+    docs = B.pages(spark, sf)
+    decoded = stored(chardata.decoded(docs))
+    runs = stored(chardata.run_rows(decoded))
+    source = lexing.markup_events(docs).where("kind in ('text', 'cdata')").select("doc_id", "pos", "start", "end", F.col("start").alias("s"), F.col("end").alias("e"))
+    moved = stored(chardata.to_decoded(source, runs))
+    back = chardata.to_source(moved.select("doc_id", "start", "end").distinct(), runs).select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"))
+    both = moved.join(back, ["doc_id", "s", "e"]).join(decoded.select("doc_id", "text"), "doc_id")
+    return both.select("doc_id", "pos", F.col("s").alias("start"), F.col("e").alias("end"), F.col("start").alias("decoded_start"), F.col("end").alias("decoded_end"), F.md5(markup.slice_text(F.col("text"), F.col("start"), F.col("end"))).alias("digest"))
 
 
 @query("f4_tag_proportions", "SELECT *, round(n_a / nullif(n_tags, 0), 6) AS p_a, round(n_li / nullif(n_tags, 0), 6) AS p_li, round(n_p / nullif(n_tags, 0), 6) AS p_p FROM t_counts")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import labels as L, markup, urn
 from citeloom.sources import readers
-from citeloom.operators import evaluation, labelling, leakage, lexing, profiling, resolution, splitting, structure, tokens as T
+from citeloom.operators import evaluation, labelling, leakage, lexing, profiling, resolution, splitting, structure, tokens as T, wellformed
 
 TYPES = {"bibl": "BIBL", "quote": "QUOTE", "cit": "CIT"}
 
@@ -125,7 +125,7 @@ def test_tag_corpus_stays_out_of_markup(spark):
         nested = "<[^<>]*<[A-Za-z/]"
         count = lambda d: d.select(F.sum(F.regexp_count("text", F.lit(nested)))).first()[0]
         assert tagged.count() == pages.count() and count(tagged) <= count(pages)
-        one, two = ({r.doc_id: r.balanced for r in profiling.parse_status(d).collect()} for d in (pages, tagged))
+        one, two = ({r.doc_id: r.balanced for r in wellformed.parse_status(d).collect()} for d in (pages, tagged))
         assert one == two
 
 
@@ -174,7 +174,7 @@ def test_profile(spark):
     df = texts(spark, "<bibl>a</bibl><quote>b</quote>" * 3, "<bibl>a</bibl>", "none")
     row = profiling.corpus_profile(profiling.tag_counts(df), min_tags=2).first()
     assert (row.n_included, row.n_excluded, row.tags_total, row.bibl_share_mean) == (1, 2, 6, 0.5)
-    status = {r.doc_id: r.balanced for r in profiling.parse_status(texts(spark, "<b>x</b>", "<b>x", "</b><b>", "")).collect()}
+    status = {r.doc_id: r.balanced for r in wellformed.parse_status(texts(spark, "<b>x</b>", "<b>x", "</b><b>", "")).collect()}
     assert status == {0: True, 1: False, 2: False, 3: True}
 
 
