@@ -25,9 +25,9 @@ def parse(urn: Column) -> Column:
 
 
 def passage(citation: Column) -> Column:
-    """The first place that a citation string names: numbers joined by dots, or a page and a letter; a range
-    gives its start. '' if there is none."""
-    found = F.regexp_extract(citation, r"([0-9]+(?:\.[0-9]+)*(?: ?[a-e]\b)?)", 1)
+    """The first place that a citation string names: numbers joined by dots, or a page, a letter and
+    a line, if there is one; a range gives its start. '' if there is none. See functions.citations for whole citations."""
+    found = F.regexp_extract(citation, r"([0-9]+(?:\.[0-9]+)*(?: ?[a-e](?:[0-9]+)?\b)?)", 1)
     return F.replace(found, F.lit(" "), F.lit(""))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from citeloom.functions import labels as L, markup, urn
+from citeloom.functions.sequences import diagonal_edits
 from citeloom.operators import labelling
 from citeloom.sources.storage import stored
 
@@ -74,10 +75,13 @@ def edits(a: Column, b: Column, bands: Sequence[int] = (128, 1024)) -> Column:
 
 
 def edit_distance_norm(pairs: DataFrame, chunk: int | None = 10_000) -> DataFrame:
-    """pairs (doc_id, a, b): doc_id, distance: edits of aligned chunks over the longer lengths; 0 if both are empty."""
+    """pairs (doc_id, a, b): doc_id, distance: edits of aligned chunks over the longer lengths; 0 if both are empty.
+
+    Without a chunk whole texts are compared along diagonals, so that few edits cost little however long the texts are.
+    """
     longest = F.greatest(F.length("a"), F.length("b"))
     if chunk is None:
-        return pairs.select("doc_id", F.coalesce(F.try_divide(edits(F.col("a"), F.col("b")).cast("double"), longest), F.lit(0.0)).alias("distance"))
+        return pairs.withColumn("edits", diagonal_edits(F.col("a"), F.col("b"))).select("doc_id", F.coalesce(F.try_divide(F.col("edits").cast("double"), longest), F.lit(0.0)).alias("distance"))
     rows = pairs.select("doc_id", "a", "b", F.explode(F.sequence(F.lit(0), F.greatest(longest - 1, F.lit(0)), F.lit(chunk))).alias("at"))
     rows = rows.select("doc_id", F.substring(F.col("a"), F.col("at") + 1, F.lit(chunk)).alias("a"), F.substring(F.col("b"), F.col("at") + 1, F.lit(chunk)).alias("b"))
     # One task would otherwise do all the chunks of its documents; they are dealt out evenly. The number is given,

@@ -160,3 +160,23 @@ def insert_tags(docs: DataFrame, spans: DataFrame, tags: dict[str, str] | None =
     """Spans are trimmed first; those of blanks alone are left out."""
     kept = spans.where("start = end").union(trim_spans(spans.where("start < end"), docs).where("start < end"))
     return render(docs, kept, tags)
+
+
+def align_predictions(tokens: DataFrame, predicted: DataFrame) -> DataFrame:
+    """tokens (doc_id, pos, start, end, ...) with label, from predicted (doc_id, start, end, label), made with other bounds.
+
+    Both tile the same texts. A token takes the label of the predicted token that shares most characters with it (ties: the
+    first), 'O' where none does. Where several tokens share one predicted token, the first of them begins its entity
+    and the others go on with it. They meet by blocks of code points.
+    """
+    block = 256
+    blocks = F.explode(F.expr(f"sequence(start div {block}, (end - 1) div {block})"))
+    mine = tokens.where("start < end").select("doc_id", "pos", "start", "end").withColumn("block", blocks)
+    other = predicted.where("start < end").withColumn("block", blocks).select("doc_id", "block", F.col("start").alias("s"), F.col("end").alias("e"), F.col("label").alias("other"))
+    shared = F.least("end", "e") - F.greatest("start", "s")
+    met = mine.join(other, ["doc_id", "block"]).where("start < e and s < end")
+    best = F.min(F.struct((-shared).alias("less"), F.col("s"), F.col("other"))).alias("x")
+    found = met.groupBy("doc_id", "pos").agg(best).select("doc_id", "pos", "x.s", "x.other")
+    again = F.row_number().over(Window.partitionBy("doc_id", "s").orderBy("pos")) > 1
+    label = F.when(again & F.col("other").startswith("B-"), F.concat(F.lit("I-"), F.substring("other", 3, 100))).otherwise(F.col("other"))
+    return tokens.join(found.select("doc_id", "pos", label.alias("label")), ["doc_id", "pos"], "left").fillna("O", ["label"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from citeloom.functions.arrays import let
+from citeloom.functions.sequences import sequence_ratio
 from citeloom.sources.storage import stored
 
 PREVIEW = 200
@@ -46,6 +47,21 @@ def levenshtein_ratio(a: Column, b: Column, least: float | None = None) -> Colum
     return out.otherwise(1 - F.levenshtein(a, b) / longer)
 
 
+def sequence_similarity(pairs: DataFrame, texts: DataFrame, least: float = 0.9) -> DataFrame:
+    """pairs (id1, id2, ...) with ratio, twice the characters of matching blocks over both lengths, where it reaches least.
+
+    Lengths are tested first, before texts are moved: a ratio of least needs min >= least / (2 - least) * max. texts: (id, text).
+    """
+    rows = texts.select("id", "text", F.length("text").alias("n"))
+    of = lambda k, *c: rows.select(F.col("id").alias(f"id{k}"), *(F.col(x).alias(f"{x}{k}") for x in c))
+    near = pairs.join(of(1, "n"), "id1").join(of(2, "n"), "id2")
+    near = near.where((2 - least) * F.least("n1", "n2") * (1 + 1e-12) >= least * F.greatest("n1", "n2")).select(*pairs.columns)
+    both = near.join(of(1, "text"), "id1").join(of(2, "text"), "id2")
+    # Few pairs are left, each of them costly: they are dealt out evenly.
+    both = both.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id1", "id2")
+    return both.withColumn("ratio", sequence_ratio(F.col("text1"), F.col("text2"), least)).where(F.col("ratio") >= least).select(*pairs.columns, "ratio")
+
+
 def pair_similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (id1, id2, ...) with n1, n2 and similarity, from whole sets (id, s, n) as of shingle_sets."""
     of = lambda k: sets.select(F.col("id").alias(f"id{k}"), F.col("s").alias(f"s{k}"), F.col("n").alias(f"n{k}"))

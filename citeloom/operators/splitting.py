@@ -97,6 +97,36 @@ def pattern_split(df: DataFrame, author: str, work: str, seed: int = 42, share:
     return marked.join(seen, author, "left").withColumn("category", category).drop("author_out", "work_out", "author_seen")
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (its least node) of edges (a, b), by rounds of minima and shortcuts: each node takes the least
+    label of itself and its neighbours, then the label of its label."""
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a is not null and b is not null").distinct())
+    now = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
+    while True:
+        near = both.join(now.toDF("b", "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        least = now.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
+        least = stored(least)
+        step = least.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        after = stored(least.join(step, "label").select("node", F.least("label", "next").alias("label"), "old"))
+        now = after.select("node", "label")
+        if after.where("label <> old").isEmpty():
+            return now.withColumnRenamed("label", "component")
+
+
+def leak_free_split(df: DataFrame, abbreviation: str, work: str, ratios: Sequence[float] = (0.7, 0.15, 0.15), seed: int = 42) -> DataFrame:
+    """df with component and split: no abbreviation and no work stands in two splits.
+
+    Abbreviations and works that stand in one row are joined; a component of that graph goes to one split as a whole,
+    by the rule of group_split. Rows without either are in no component and no split (null).
+    """
+    tagged = lambda kind, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(kind), F.col(c).cast("string")))
+    rows = df.withColumn("a", F.coalesce(tagged("a:", abbreviation), tagged("w:", work))).withColumn("b", F.coalesce(tagged("w:", work), F.col("a")))
+    found = components(rows.select("a", "b").distinct()).withColumnRenamed("node", "a")
+    joined = stored(rows.join(found, "a", "left").drop("a", "b"))
+    placed = group_split(joined.where("component is not null"), "component", ratios, seed=seed)
+    return placed.unionByName(joined.where("component is null").withColumn("split", F.lit(None).cast("string")))
+
+
 def holdout(df: DataFrame, key: str, fraction: float = 0.1, seed: int = 42) -> DataFrame:
     """df with held_out, by a hash of the key: repeatable, and no pass over the data."""
     return df.withColumn("held_out", F.conv(F.substring(_chance(seed, F.col(key)), 1, 4), 16, 10).cast("int") < int(fraction * 65536))

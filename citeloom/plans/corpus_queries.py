@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from citeloom.functions import urn as U
+from citeloom.functions import citations, urn as U
 from citeloom.functions.arrays import let
-from citeloom.operators import evaluation, leakage as K, profiling, resolution as R, splitting as S, structure, tokens as T
+from citeloom.operators import calibration, evaluation, leakage as K, profiling, resolution as R, retrieval, splitting as S, structure, tokens as T
 from citeloom.plans import binding as B, label_queries, markup_queries
 from citeloom.plans.binding import query
 from citeloom.sources import readers, storage, writers
+from citeloom.sources.storage import stored
 
 # ---- sources and sinks: written to the shared folder first, then read
 
@@ -223,20 +224,30 @@ def fuzzy_leaks(spark, sf):
 B.TABLES["t_least"] = "SELECT id2, id1 FROM (SELECT id AS id2, min(id) OVER (PARTITION BY least_) AS id1 FROM (SELECT id, min(md5(shingle)) AS least_ FROM t_shingles GROUP BY id)) WHERE id1 <> id2"
 
 
+def _least_pairs(docs):
+    """Of all splits, each text that shares its least shingle (by md5) with an earlier one, and the first of those."""
+    words = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    grams = lambda w: F.array_min(F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.md5(F.array_join(F.slice(w, i, 5), " "))))
+    least = docs.select("id", let(words, lambda w: F.when(F.size(w) >= 5, grams(w))).alias("least")).where("least is not null")
+    first = least.groupBy("least").agg(F.min("id").alias("id1"))
+    pairs = least.join(first, "least").where("id <> id1").select("id1", F.col("id").alias("id2"))
+    return pairs
+
+
 @query(
     "h3_similarity",
     """SELECT p.id1, p.id2, round(coalesce(both_, 0) / (x.n + y.n - coalesce(both_, 0)), 6) AS jaccard FROM t_least p JOIN t_sizes x ON p.id1 = x.id JOIN t_sizes y ON p.id2 = y.id
     LEFT JOIN (SELECT id1, id2, count(*) AS both_ FROM t_least JOIN t_shingles a ON a.id = id1 JOIN t_shingles b ON b.id = id2 AND a.shingle = b.shingle GROUP BY ALL) s ON s.id1 = p.id1 AND s.id2 = p.id2""",
 )
 def similarity(spark, sf):
-    """Of all splits, each text that shares its least shingle (by md5) with an earlier one, and the first of those."""
     docs = B.split_documents(spark, sf)
-    words = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    grams = lambda w: F.array_min(F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.md5(F.array_join(F.slice(w, i, 5), " "))))
-    least = docs.select("id", let(words, lambda w: F.when(F.size(w) >= 5, grams(w))).alias("least")).where("least is not null")
-    first = least.groupBy("least").agg(F.min("id").alias("id1"))
-    pairs = least.join(first, "least").where("id <> id1").select("id1", F.col("id").alias("id2"))
-    return K.pair_similarity(pairs, K.shingle_sets(docs)).select("id1", "id2", F.col("similarity").alias("jaccard"))
+    return K.pair_similarity(_least_pairs(docs), K.shingle_sets(docs)).select("id1", "id2", F.col("similarity").alias("jaccard"))
+
+
+@query("h3_sequence_ratio")
+def sequence_similarity(spark, sf):
+    docs = B.split_documents(spark, sf)
+    return K.sequence_similarity(_least_pairs(docs), docs.select("id", "text"), 0.9).select("id1", "id2", "ratio")
 
 
 @query(
@@ -310,12 +321,12 @@ def rank_candidates(spark, sf):
 
 
 B.TABLES["t_model"] = """SELECT c.id, 'urn:cts:' || c.lang || 'Lit:' || k.work || '.ed-lat1' || CASE WHEN p = '' THEN '' ELSE ':' || p END AS urn, k.confidence FROM
-    (SELECT *, replace(regexp_extract(CAST(id AS VARCHAR) || ' d', '([0-9]+(?:\\.[0-9]+)*(?: ?[a-e]\\b)?)', 1), ' ', '') AS p FROM t_cites) c JOIN t_candidates k ON k.id = c.id AND k.rank = 1"""
+    (SELECT *, replace(regexp_extract(bibl, '([0-9]+(?:\\.[0-9]+)*(?: ?[a-e](?:[0-9]+)?\\b)?)', 1), ' ', '') AS p FROM t_cites) c JOIN t_candidates k ON k.id = c.id AND k.rank = 1"""
 B.TABLES["t_model"] = B.TABLES["t_model"].replace("\\\\", "\\")
 
 
 def _model(spark, sf):
-    cites = B.citations(spark, sf).select("id", "quote", F.concat("lang", F.lit("Lit")).alias("namespace"), F.concat(F.col("id").cast("string"), F.lit(" d")).alias("bibl"))
+    cites = B.citations(spark, sf).select("id", "quote", F.concat("lang", F.lit("Lit")).alias("namespace"), "bibl")
     best = _candidates(spark, sf).where("rank = 1").select("id", "work", "confidence")
     return R.assemble_urn(cites.join(best, "id")).select("id", "urn", "confidence")
 
@@ -418,3 +429,98 @@ def urn_metrics(spark, sf):
 def threshold_sweep(spark, sf):
     rows = _candidates(spark, sf).select("confidence", (F.col("id") % 3 == 0).alias("correct"))
     return evaluation.threshold_sweep(rows, (0.0, 0.005, 0.01, 0.02))
+
+
+# ---- components, calibration, dense retrieval, whole citations
+
+
+def _abbreviated(spark, sf):
+    """id, abbreviation (the author and the first letter of a citation), work."""
+    rows = B.citations(spark, sf).select("id", U.parse(F.col("urn")).alias("p"), F.lower(F.regexp_extract("bibl", "([A-Za-z])", 1)).alias("letter")).where("p is not null")
+    return rows.select("id", F.concat_ws(".", "p.author", "letter").alias("abbreviation"), F.col("p.work").alias("work"))
+
+
+B.TABLES["t_abbreviated"] = "SELECT id, author || '.' || lower(regexp_extract(bibl, '([A-Za-z])', 1)) AS abbreviation, work FROM t_parsed"
+B.TABLES["t_ties"] = "SELECT DISTINCT 'a:' || abbreviation AS a, 'w:' || work AS b FROM t_abbreviated WHERE work IS NOT NULL"
+
+
+@query(
+    "g5_components",
+    """SELECT * FROM (WITH RECURSIVE both_ways AS (SELECT a, b FROM t_ties UNION SELECT b, a FROM t_ties), reach(node, seen) AS (SELECT a, a FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.seen)
+    SELECT node, min(seen) AS component FROM reach GROUP BY node)""",
+)
+def graph_components(spark, sf):
+    rows = _abbreviated(spark, sf).where("work is not null")
+    return S.components(rows.select(F.concat(F.lit("a:"), "abbreviation").alias("a"), F.concat(F.lit("w:"), "work").alias("b")).distinct())
+
+
+@query("g5_leak_free_split")
+def leak_free_split(spark, sf):
+    return S.leak_free_split(_abbreviated(spark, sf), "abbreviation", "work").select("id", "component", "split")
+
+
+def _scored(spark, sf):
+    """confidence and correct of every citation: chance by its id, right about as often as the confidence's square says."""
+    part = lambda at: F.conv(F.substring(F.md5(F.col("id").cast("string")), at, 4), 16, 10).cast("double") / 65536
+    return B.citations(spark, sf).select(part(1).alias("confidence"), (part(9) < part(1) * part(1)).alias("correct"))
+
+
+_PART = "CAST(('0x' || substring(md5(CAST(id AS VARCHAR)), {}, 4)) AS INTEGER) / 65536.0"
+B.TABLES["t_points"] = f"SELECT confidence, count(*) AS n, CAST(sum(CASE WHEN luck < confidence * confidence THEN 1 ELSE 0 END) AS BIGINT) AS right_ FROM (SELECT CAST({_PART.format(1)} AS DOUBLE) AS confidence, CAST({_PART.format(9)} AS DOUBLE) AS luck FROM t_cites) GROUP BY confidence"
+
+
+@query("i9_precision_curve", """SELECT round(confidence, 6) AS confidence, n, right_ AS "right", round(sum(n) OVER d / sum(n) OVER (), 6) AS coverage, round(sum(right_) OVER d / sum(n) OVER d, 6) AS precision FROM t_points WINDOW d AS (ORDER BY confidence DESC)""")
+def precision_curve(spark, sf):
+    return calibration.curve(stored(calibration.reliability(_scored(spark, sf))))
+
+
+@query("i9_chosen_cutoffs")
+def chosen_cutoffs(spark, sf):
+    return calibration.choose_cutoffs(stored(calibration.reliability(_scored(spark, sf))), 0.6, 0.5)
+
+
+@query("j11_calibrated_confidence")
+def calibrated_confidence(spark, sf):
+    points = stored(calibration.reliability(_scored(spark, sf)))
+    return calibration.calibrate(points, calibration.isotonic(points))
+
+
+def _vectors(spark, sf):
+    return stored(retrieval.unit_vectors(spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))))
+
+
+B.TABLES["t_dense"] = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 9) DESC, id) AS rank FROM
+    (SELECT q.vec_id AS query, c.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS similarity FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)) WHERE rank <= 10"""
+
+
+@query("j10_dense_exact", "SELECT query, id, round(similarity, 6) AS similarity, rank FROM t_dense")
+def dense_exact(spark, sf):
+    vectors = _vectors(spark, sf)
+    return retrieval.exact(vectors.where("id % 20 = 0"), vectors)
+
+
+@query("j10_dense_retrieval")
+def dense_retrieval(spark, sf):
+    """By lists, with as many probes as a recall of 0.9 needs on a sample."""
+    vectors = _vectors(spark, sf)
+    centres = retrieval.centroids(vectors)
+    index = retrieval.inverted_file(vectors, centres)
+    return retrieval.search(vectors.where("id % 20 = 0"), index, centres, 10, retrieval.probes_for(vectors, index, centres))
+
+
+@query(
+    "j10_vote",
+    """SELECT query, label, round(greatest(weight, 0) / nullif(total, 0), 6) AS share, n FROM (SELECT *, sum(weight) OVER (PARTITION BY query) AS total, row_number() OVER (PARTITION BY query ORDER BY round(weight, 9) DESC, n DESC, label) AS r FROM
+    (SELECT query, label, sum(greatest(similarity, 0)) AS weight, count(*) AS n FROM t_dense JOIN embeddings ON vec_id = id GROUP BY ALL)) WHERE r = 1""",
+)
+def dense_vote(spark, sf):
+    vectors = _vectors(spark, sf)
+    return retrieval.vote(retrieval.exact(vectors.where("id % 20 = 0"), vectors), spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "label"))
+
+
+@query("j7_citation_passages")
+def citation_passages(spark, sf):
+    """Author, work and passages that a reader finds in every whole citation."""
+    rows = B.citations(spark, sf).select("id", citations.parsed(F.col("bibl")).alias("p"))
+    passages = F.transform("p.passages", lambda x: F.concat_ws("-", x["start"], F.when(x["open"], F.lit("")).otherwise(x["end"])))
+    return rows.select("id", "p.author", "p.work", F.array_join(passages, ",").alias("passages"))

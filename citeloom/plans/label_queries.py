@@ -8,6 +8,7 @@ from citeloom.functions import markup
 from citeloom.operators import evaluation, labelling, lexing, structure, tokens as T
 from citeloom.plans import binding as B
 from citeloom.plans.binding import query
+from citeloom.sources.storage import stored
 
 _MARKER = r"'^\s*\[(BIBL|QUOTE|CIT)_(START|END)\]$'"
 
@@ -327,6 +328,12 @@ def edit_distance(spark, sf):
     return evaluation.edit_distance_norm(pairs, _CHUNK)
 
 
+@query("i6_whole_text_distance", "SELECT doc_id, round(levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text)), 6) AS distance FROM t_ascii a JOIN t_ascii_untagged b USING (doc_id)")
+def whole_text_distance(spark, sf):
+    pairs = _ascii(spark, sf).select("doc_id", F.col("text").alias("a"), markup.drop_attributes(F.col("text"), ("a", "li")).alias("b"))
+    return evaluation.edit_distance_norm(pairs, None)
+
+
 @query("i7_before_after_distance", "SELECT doc_id, a.distance AS after, b.distance AS before FROM t_after a JOIN t_before b USING (doc_id)")
 def before_after(spark, sf):
     docs = _ascii(spark, sf)
@@ -334,3 +341,17 @@ def before_after(spark, sf):
     return evaluation.before_after_distance(docs, predicted, docs.select("doc_id", markup.strip_tags(F.col("text"), ("a", "li")).alias("text")), _CHUNK)
 
 
+#: Predictions on windows of three tokens, for the tokens themselves.
+B.TABLES["t_coarse"] = f"""SELECT doc_id, min(start) AS s, max("end") AS e, {B.chance_label_sql("doc_id", "pos // 3")} AS other FROM t_tokens GROUP BY doc_id, pos // 3"""
+
+
+@query(
+    "d5_align_predictions",
+    """SELECT doc_id, pos, CASE WHEN starts_with(other, 'B-') AND row_number() OVER (PARTITION BY doc_id, s ORDER BY pos) > 1 THEN 'I-' || substring(other, 3) ELSE other END AS label
+    FROM (SELECT t.doc_id, t.pos, c.s, c.other FROM t_tokens t JOIN t_coarse c ON c.doc_id = t.doc_id AND c.s <= t.start AND t."end" <= c.e)""",
+)
+def align_predictions(spark, sf):
+    tokens = stored(T.tokenize_with_offsets(B.documents(spark, sf)).select("doc_id", "pos", "start", "end"))
+    coarse = tokens.withColumn("pos", F.expr("pos div 3")).groupBy("doc_id", "pos").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    coarse = coarse.select("doc_id", "start", "end", B.chance_label("doc_id", "pos").alias("label"))
+    return labelling.align_predictions(tokens, coarse).select("doc_id", "pos", "label")
