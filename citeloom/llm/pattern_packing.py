@@ -41,11 +41,11 @@ class Encoder:
 
     Same vocabulary, same merges and same pattern give the same ids several times faster. Strings of special
     tokens inside texts become those tokens, as in ``tokenizers``. The pattern tracks back over a run of white space
-    character by character, which long runs exhaust: they are cut out and encoded as the one part that they are, all
-    but their last character, which may belong to the word behind.
+    character by character, at a cost that is the square of its length: runs are cut out and encoded as the one part that
+    they are, all but their last character, which may belong to the word behind.
     """
 
-    RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+    RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{16,}")
     #: Fixed value: the split pattern of byte-level files that ask for the usual one.
     SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -248,15 +248,16 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2, wi
     """docs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    pieces = stored(docs.mapInArrow(lambda it: _pieces(it, tokenizer, capacity, end, with_ids), schema))
+    pieces = docs.mapInArrow(lambda it: _pieces(it, tokenizer, capacity, end, with_ids), schema)
+    pieces = stored(pieces.withColumn("number", F.monotonically_increasing_id()))
     histogram = np.zeros(capacity + 1, np.int64)
     for length, n in pieces.groupBy("length").count().collect():  # at most capacity rows
         histogram[length] = n
     places = _places(plan_of(histogram, capacity), capacity)
 
     salts = F.array(*(F.lit(int(-(-n // GROUP)) or 1) for n in histogram))
-    key = F.xxhash64("doc_id", "piece", "ids_crc32")
-    pieces = pieces.withColumn("salt", F.pmod(key, F.get(salts, F.col("length").cast("int"))))
+    # By a stored number, not by content: copies of a piece are dealt out like any others.
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("number"), F.get(salts, F.col("length").cast("int"))))
     groups = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
     # Two levels of sums: within blocks of salts, then over blocks, so no task sums a whole hot length alone.
     groups = groups.withColumn("block", F.expr("salt div 1024"))
@@ -266,7 +267,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2, wi
     by = Window.partitionBy("length", "block").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.withColumn("within", F.coalesce(F.sum("n").over(by), F.lit(0))).join(blocks, ["length", "block"])
     groups = groups.select("length", "salt", (F.col("before") + F.col("within")).alias("before"))
-    by = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
+    by = Window.partitionBy("length", "salt").orderBy("number")
     ranked = pieces.withColumn("row", F.row_number().over(by)).join(groups, ["length", "salt"])
     ranked = ranked.select(*[f.split()[0] for f in schema.split(", ")], (F.col("before") + F.col("row") - 1).alias("rank"))
     out = T.StructType([*(f for f in ranked.schema if f.name != "rank"), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
