@@ -27,7 +27,7 @@ from citeloom.llm.shared import bound_batches
 
 UNKNOWN = "und"
 #: Texts of a language and windows of a text that are learned from at most.
-SAMPLE, PER_TEXT = 400, 4
+SAMPLE, PER_TEXT, CHANCES = 400, 4, 1_000_003
 #: HIDDEN units in a direction, more for many languages.
 SPAN, HIDDEN, BATCH, STEPS, RATE = 64, 8, 256, 500, 0.02
 _LETTER = np.fromiter((unicodedata.category(chr(i))[0] == "L" for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
@@ -188,13 +188,20 @@ def learn(labelled: DataFrame) -> Network | None:
     """A network trained on labelled (doc_id, text, lang); None if it has no usable row."""
     rows = labelled.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where("lang is not null and trim(text) <> ''")
-    counts = rows.groupBy("lang").count().collect()  # a row a language
+    # The hash is of the whole row, so rows that share a doc_id are chosen one by one.
+    rows = rows.withColumn("chance", F.pmod(F.xxhash64("doc_id", "text"), F.lit(CHANCES)))
+    counts = rows.groupBy("lang").agg(F.count("*"), F.min("chance")).collect()  # a row a language
     if not counts:
         return None
-    # By a hash threshold, about SAMPLE texts of each language: no sort of a large group.
-    share = F.create_map(*(F.lit(x) for lang, n in counts for x in (lang, min(1.0, SAMPLE / n))))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003)
-    windows = chosen.select("text", "lang").mapInArrow(_windows, "lang string, window binary").orderBy(F.xxhash64("window"), "lang").limit(2 * SAMPLE * PER_TEXT * len(counts)).toPandas()
+    # By a hash threshold, about SAMPLE texts of each language, and the least hash in any case: no sort of a large group.
+    of = lambda values: F.element_at(F.create_map(*(F.lit(x) for lang, x in zip([c[0] for c in counts], values) for x in (lang, x))), F.col("lang"))
+    most = of([max(int(min(1.0, SAMPLE / n) * CHANCES), least + 1) for _, n, least in counts])
+    chosen = rows.where(F.col("chance") < most)
+    windows = chosen.select("text", "lang").mapInArrow(_windows, "lang string, window binary")
+    # Copies can pass together: each language keeps so many windows at most.
+    rank = F.expr("row_number() over (partition by lang order by xxhash64(window), window)")
+    windows = windows.withColumn("rank", rank).where(F.col("rank") <= 2 * SAMPLE * PER_TEXT).select("lang", "window").toPandas()
+    windows = windows.sort_values(["lang", "window"], ignore_index=True)
     languages = sorted(set(windows["lang"]))
     if not languages:
         return None
