@@ -186,7 +186,7 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     weights, gamma, p3 = train(maybe_among(docs, learned).join(learned.hint("merge"), "doc_id", "left_semi"))
     dense = docs.sparkSession.sparkContext.broadcast((gamma, p3))  # DENSE entries each
     blocks = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "lang", F.length("text")), F.lit(blocks)).cast("long"))
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(blocks)).cast("long"))
     asked = dealt.groupBy("block").applyInArrow(_asked, "block long, code long")
     answers = asked.join(weights.hint("merge"), "code").select("block", "code", "share", "gamma")
     scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda d, a: _scored(d, a, *dense.value), "doc_id long, lang string, n_bytes long, perplexity double")
