@@ -113,7 +113,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repetition(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text): the figures of SCHEMA, base_failed and kept, one row a row of docs."""
+    """docs (doc_id, text): counts, base_failed, kept and the method's own figures, one row a row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bound_batches(docs.sparkSession)
     out = docs.mapInArrow(_measured, SCHEMA)
@@ -121,4 +121,6 @@ def repetition(docs: DataFrame) -> DataFrame:
     fine = 100 * F.col("dup_line_chars") <= LINE_LIMIT * F.col("word_chars")
     for n, most in LIMITS.items():
         fine &= 100 * F.col(f"dup{n}_chars") <= most * F.col("word_chars")
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & fine)
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    more = [c for c in out.columns if c not in base]
+    return out.select(*base, failed.alias("base_failed"), (~failed & fine).alias("kept"), *more)
