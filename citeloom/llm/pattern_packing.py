@@ -174,13 +174,15 @@ def best_fit(histogram: np.ndarray, capacity: int) -> dict[tuple[int, ...], int]
     for length in range(capacity, 0, -1):
         count = int(histogram[length])
         while count:
-            room = next((r for r in range(length, capacity) if open_.get(r)), None)
-            pattern, there = open_[room].pop() if room is not None else ((), count)
-            used = min(count, there)
-            if there > used:
+            room = next((r for r in range(length, capacity) if open_.get(r)), capacity)
+            pattern, there = open_[room].pop() if room < capacity else ((), count)
+            # The first piece leaves less room, so the next of its length follows it, while they fit.
+            each = min(room // length, count)
+            used = min(there, count // each)
+            if there > used and room < capacity:
                 open_[room].append((pattern, there - used))
-            open_[(capacity if room is None else room) - length].append((pattern + (length,), used))
-            count -= used
+            open_[room - each * length].append((pattern + (length,) * each, used))
+            count -= each * used
     out: dict[tuple[int, ...], int] = defaultdict(int)
     for groups in open_.values():
         for pattern, n in groups:
