@@ -43,14 +43,18 @@ def tag_proportions(counts: DataFrame, tags: Sequence[str] = markup.TAGS) -> Dat
     return counts.withColumns({f"p_{t}": F.try_divide(F.col(f"n_{t}").cast("double"), F.col("n_tags")) for t in tags})
 
 
-def medians(rows: DataFrame, columns: Sequence[str], parts: int = 1000) -> DataFrame:
-    """One row: the exact median of each column (null if it has no value), as the mean of the two middle values.
+def value_counts(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """name, value (double), n: how often each column has each value, stored; nulls aren't counted."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns))).alias("x")
+    return stored(rows.select(pairs).select("x.*").where("value is not null").groupBy("name", "value").agg(F.count("*").alias("n")))
+
+
+def medians(counts: DataFrame, parts: int = 1000) -> DataFrame:
+    """counts as of value_counts: name, median (exact: the mean of the two middle values).
 
-    Different values are counted first, wherever they are. Splitters of each column, from a mergeable sketch, cut its
-    values in about ``parts`` parts of equal counts; only those parts that hold a middle value are ranked.
+    Splitters of each column, from a mergeable sketch, cut its different values in about ``parts`` parts of equal
+    counts; only those parts that hold a middle value are ranked.
     """
-    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns))).alias("x")
-    counts = stored(rows.select(pairs).select("x.*").where("value is not null").groupBy("name", "value").agg(F.count("*").alias("n")))
     cuts = counts.groupBy("name").agg(F.percentile_approx("value", [k / parts for k in range(1, parts)], 10 * parts).alias("cuts"), F.sum("n").alias("total"))
     counts = counts.join(F.broadcast(cuts), "name").withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("value"))))  # a row a column is broadcast
     parted = counts.groupBy("name", "total", "part").agg(F.sum("n").alias("n"))  # as many rows a column as parts
@@ -60,28 +64,32 @@ def medians(rows: DataFrame, columns: Sequence[str], parts: int = 1000) -> DataF
     ranked = counts.join(F.broadcast(middle), ["name", "part"])
     ranked = ranked.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("name", "part").orderBy("value")))
     at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("value")))
-    median = ranked.groupBy("name").agg(((at(low) + at(high)) / 2).alias("median"))
-    return median.agg(*(F.max(F.when(F.col("name") == c, F.col("median"))).alias(f"{c}_median") for c in columns))
+    return ranked.groupBy("name").agg(((at(low) + at(high)) / 2).alias("median"))
 
 
 def corpus_profile(counts: DataFrame, tags: Sequence[str] = markup.TAGS, min_tags: int = 100) -> DataFrame:
     """One row: documents in and out, and statistics of totals, counts and shares over those in.
 
-    Medians are exact; the standard deviation is the population's. All else is one aggregation of partial sums.
+    All come from one table of how often each column has each value. Medians are exact; the standard deviation is the
+    population's.
     """
-    rows = stored(tag_proportions(counts, tags))
     kept = F.col("n_tags") >= min_tags
     names = {"n_tags": "tags"} | {f"{p}_{t}": t + "_share" * (p == "p") for t in tags for p in "np"}
-
-    def stats(column: str) -> list:
-        x, name = F.when(kept, F.col(column)), names[column]
-        out = [] if column.startswith("p_") else [F.sum(x).alias(f"{name}_total")]
-        return out + [F.avg(x).alias(f"{name}_mean"), F.min(x).alias(f"{name}_min"), F.max(x).alias(f"{name}_max")]
-
-    columns = [F.sum(kept.cast("long")).alias("n_included"), F.sum((~kept).cast("long")).alias("n_excluded"), F.lit(min_tags).alias("min_tags"), F.stddev_pop(F.when(kept, F.col("n_tags"))).alias("tags_stddev")]
-    found = rows.agg(*columns, *(x for c in names for x in stats(c)))
-    middle = medians(rows.where(kept), list(names))
-    return found.crossJoin(F.broadcast(middle.select(*(F.col(f"{c}_median").alias(f"{n}_median") for c, n in names.items()))))  # one row each
+    rows = tag_proportions(counts, tags).select(*(F.when(kept, F.col(c)).alias(c) for c in names), kept.alias("included"))
+    table = value_counts(rows.withColumn("included", F.col("included").cast("int")), [*names, "included"])
+    x, n = F.col("value"), F.col("n")
+    stats = table.groupBy("name").agg(F.sum("n").alias("m"), F.sum(x * n).alias("total"), F.sum(x * x * n).alias("squares"), F.min("value").alias("min"), F.max("value").alias("max"))
+    stats = stats.withColumn("mean", F.col("total") / F.col("m")).join(F.broadcast(medians(table)), "name", "left")  # a row a column
+    of = lambda c, what: F.max(F.when(F.col("name") == c, F.col(what)))
+    whole = lambda c, what: of(c, what).cast("long")
+    included, every = F.coalesce(whole("included", "total"), F.lit(0)), F.coalesce(whole("included", "m"), F.lit(0))
+    spread = F.sqrt(F.greatest(of("n_tags", "squares") / of("n_tags", "m") - of("n_tags", "mean") * of("n_tags", "mean"), F.lit(0.0)))
+    columns = [included.alias("n_included"), (every - included).alias("n_excluded"), F.lit(min_tags).alias("min_tags"), spread.alias("tags_stddev")]
+    for c, name in names.items():
+        end = of if c.startswith("p_") else whole
+        columns += [] if c.startswith("p_") else [whole(c, "total").alias(f"{name}_total")]
+        columns += [of(c, "mean").alias(f"{name}_mean"), end(c, "min").alias(f"{name}_min"), end(c, "max").alias(f"{name}_max"), of(c, "median").alias(f"{name}_median")]
+    return stats.agg(*columns)
 
 
 def char_weighted_proportions(counts: DataFrame, tags: Sequence[str] = markup.TAGS, min_tags: int = 100) -> DataFrame:

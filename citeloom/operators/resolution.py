@@ -51,7 +51,7 @@ def work_training(citations: DataFrame) -> DataFrame:
 def frequencies(citations: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
     """P(author | key) and P(work | author, key) of resolved rows: (key, author, p_author), (key, author, work, p_work)."""
     rows = _parsed(citations).where("parsed.work is not null").select(key.alias("key"), "parsed.author", "parsed.work")
-    works = rows.groupBy("key", "author", "work").agg(F.count("*").alias("n"))
+    works = stored(rows.groupBy("key", "author", "work").agg(F.count("*").alias("n")))
     total = F.sum("n").over(Window.partitionBy("key", "author"))
     p_work = works.select("key", "author", "work", (F.col("n") / total).alias("p_work"))
     authors = works.groupBy("key", "author").agg(F.sum("n").alias("n"))

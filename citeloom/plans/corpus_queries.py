@@ -74,20 +74,20 @@ def read_xml_corpus(spark, sf):
     return files.select(key("source").alias("source"), key("part").cast("long").alias("part"), "charset", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
-@query("a6_write_splits", "SELECT split, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM t_split GROUP BY split")
+@query("a6_write_splits", "SELECT id, split, md5(text) AS digest FROM t_split")
 def write_splits(spark, sf):
     path = storage.new_path(spark, "splits")
     writers.write_splits(B.split_documents(spark, sf), path)
     back = writers.read_back(spark, path, "id long, text string, split string")
-    return back.groupBy("split").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    return back.select("id", "split", F.md5("text").alias("digest"))
 
 
-@query("a7_split_if_needed", "SELECT split, count(*) AS n, true AS first_wrote, false AS second_wrote FROM t_split GROUP BY split")
+@query("a7_split_if_needed", "SELECT id, split, md5(text) AS digest, true AS first_wrote, false AS second_wrote FROM t_split")
 def split_if_needed(spark, sf):
     path = storage.new_path(spark, "manifest")
     wrote = [writers.split_if_needed(spark, lambda: B.split_documents(spark, sf), path, "md5", (0.8, 0.1, 0.1), 42, sf) for _ in range(2)]
     back = writers.read_back(spark, f"{path}/data", "id long, text string, split string")
-    return back.groupBy("split").agg(F.count("*").alias("n")).select("split", "n", F.lit(wrote[0]).alias("first_wrote"), F.lit(wrote[1]).alias("second_wrote"))
+    return back.select("id", "split", F.md5("text").alias("digest"), F.lit(wrote[0]).alias("first_wrote"), F.lit(wrote[1]).alias("second_wrote"))
 
 
 @query("a8_write_tagged", "SELECT doc_id, text FROM t_untagged")
@@ -107,14 +107,22 @@ def write_windows(spark, sf):
     return writers.read_back(spark, path, "window_text string, filename string")
 
 
-@query("a10_write_evaluation", "SELECT n, round(accuracy, 6) AS accuracy, (SELECT count(*) FROM t_by_type) + 3 AS report_rows, (SELECT count(*) FROM t_pages) AS records FROM (SELECT count(*) AS n, avg(CASE WHEN t.label = p.label THEN 1 ELSE 0 END) AS accuracy FROM t_truth t JOIN t_predicted p USING (doc_id, pos))")
+@query(
+    "a10_write_evaluation",
+    f"""SELECT 'metrics' AS part, 'all' AS name, accuracy AS score, n, '' AS digest FROM ({B.ORACLES["i1_token_accuracy"]}) UNION ALL SELECT 'report', name, f1, support, concat_ws(':', CAST(CAST(round(precision * 1e6) AS BIGINT) AS VARCHAR), CAST(CAST(round(recall * 1e6) AS BIGINT) AS VARCHAR)) FROM ({B.ORACLES["i3_classification_report"]})
+    UNION ALL SELECT 'predictions', CAST(doc_id AS VARCHAR), NULL, NULL, concat_ws(':', original, stripped, predicted) FROM ({B.ORACLES["i5_prediction_records"]})""",
+)
 def write_evaluation(spark, sf):
     path = storage.new_path(spark, "evaluation")
     truth, predicted, docs = label_queries._truth(spark, sf), label_queries._predicted(spark, sf), B.pages(spark, sf)
-    writers.write_evaluation(evaluation.token_accuracy(truth, predicted), evaluation.classification_report(truth, predicted), evaluation.prediction_records(docs, docs, ("a", "li"), "a", "li"), path)
-    metrics = writers.read_back(spark, f"{path}/metrics", "n long, accuracy double")
-    rows = lambda part, n: writers.read_back(spark, f"{path}/{part}", "name string").agg(F.count("*").alias(n))
-    return metrics.crossJoin(rows("report", "report_rows")).crossJoin(rows("predictions", "records"))
+    records = label_queries._records(spark, sf)
+    writers.write_evaluation(evaluation.token_accuracy(truth, predicted), evaluation.classification_report(truth, predicted), records, path)
+    back = lambda part, schema: writers.read_back(spark, f"{path}/{part}", schema)
+    none, millionths = F.lit(None), lambda c: F.round(F.col(c) * 1e6).cast("long").cast("string")
+    metrics = back("metrics", "n long, accuracy double").select(F.lit("metrics").alias("part"), F.lit("all").alias("name"), F.col("accuracy").alias("score"), "n", F.lit("").alias("digest"))
+    report = back("report", "name string, precision double, recall double, f1 double, support long").select(F.lit("report"), "name", "f1", "support", F.concat_ws(":", millionths("precision"), millionths("recall")))
+    rows = back("predictions", "doc_id long, original string, stripped string, predicted string").select(F.lit("predictions"), F.col("doc_id").cast("string"), none.cast("double"), none.cast("long"), F.concat_ws(":", F.md5("original"), F.md5("stripped"), F.md5("predicted")))
+    return metrics.union(report).union(rows)
 
 
 @query("a11_write_profile", markup_queries.PROFILE_SQL)
@@ -311,7 +319,7 @@ B.TABLES["t_candidates"] = "SELECT id, author, work, coalesce(confidence, 0) AS
 
 
 def _candidates(spark, sf):
-    cites = B.citations(spark, sf)
+    cites = stored(B.citations(spark, sf).select("id", "lang", "urn"))
     return R.rank_candidates(cites.select("id", F.col("lang").alias("key")), *R.frequencies(cites, F.col("lang")))
 
 
@@ -374,7 +382,7 @@ def retrieve_similar(spark, sf):
 
 @query(
     "j11_confidence_features",
-    r"""SELECT id, author_freq, coalesce(work_freq, 0) AS work_freq, quote <> '' AS has_quote, length(bibl) AS bibl_length, 5 AS urn_parts, works_of_author,
+    r"""SELECT id, author_freq, coalesce(work_freq, 0) AS work_freq, quote <> '' AS has_quote, length(bibl) AS bibl_length, CAST(namespace IS NOT NULL AS INTEGER) + CAST(author IS NOT NULL AS INTEGER) + CAST(work IS NOT NULL AS INTEGER) + CAST(edition IS NOT NULL AS INTEGER) + CAST(passage IS NOT NULL AS INTEGER) AS urn_parts, works_of_author,
     regexp_matches(quote, '[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}]') = (namespace = 'greekLit') AS language_fits FROM t_parsed JOIN (SELECT author, count(*) AS author_freq, count(DISTINCT work) AS works_of_author FROM t_parsed GROUP BY author) USING (author)
     LEFT JOIN (SELECT work, count(*) AS work_freq FROM t_parsed GROUP BY work) USING (work)""",
 )

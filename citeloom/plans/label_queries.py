@@ -290,14 +290,18 @@ _CITED = "array_to_string(regexp_extract_all({}, '(?s)<a(?:\\s[^>]*)?>(.*?)</a>'
 B.TABLES["t_untagged"] = r"SELECT doc_id, regexp_replace(text, '<(a|li)\s[^>]*?(/?)>', '<\1\2>', 'g') AS text FROM t_pages"
 
 
+def _records(spark, sf):
+    docs = B.pages(spark, sf)
+    predicted = docs.select("doc_id", markup.drop_attributes(F.col("text"), ("a", "li")).alias("text"))
+    return evaluation.prediction_records(docs, predicted, ("a", "li"), "a", "li")
+
+
 @query(
     "i5_prediction_records",
     f"""SELECT doc_id, md5(p.text) AS original, md5(regexp_replace(p.text, '</?(?:a|li)(?:\\s[^>]*)?/?>', '', 'g')) AS stripped, md5(u.text) AS predicted, {_CITED.format('p.text')} AS true_bibl, {_CITED.format('u.text')} AS predicted_bibl FROM t_pages p JOIN t_untagged u USING (doc_id)""",
 )
 def prediction_records(spark, sf):
-    docs = B.pages(spark, sf)
-    predicted = docs.select("doc_id", markup.drop_attributes(F.col("text"), ("a", "li")).alias("text"))
-    rows = evaluation.prediction_records(docs, predicted, ("a", "li"), "a", "li")
+    rows = _records(spark, sf)
     joined = lambda c: F.array_join(F.col(c), "|")
     return rows.select("doc_id", *(F.md5(c).alias(c) for c in ("original", "stripped", "predicted")), joined("original_citations.bibl").alias("true_bibl"), joined("predicted_citations.bibl").alias("predicted_bibl"))
 
