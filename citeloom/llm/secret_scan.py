@@ -111,14 +111,18 @@ def _listed(found: Column) -> Column:
 
 def link_parts(parts: DataFrame) -> DataFrame:
     """Weak parts with a complementary part in scope: id (doc_id, 0 for none), row, linked (array of tagged spans)."""
-    free = lambda kind: F.filter(F.col(kind), lambda w: ~F.exists(F.concat(*STRONG), lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"])))
-    parts = parts.where(" or ".join(f"size({k}) > 0" for k in WEAK)).select(F.coalesce("doc_id", F.lit(0)).alias("id"), "row", *STRONG, *(free(k).alias(k) for k in WEAK))
+    parts = parts.where(" or ".join(f"size({k}) > 0" for k in WEAK)).select(F.coalesce("doc_id", F.lit(0)).alias("id"), "row", *PATTERNS)
     every = parts.select("id", "row", F.explode(F.concat(*(_tagged(k) for k in PATTERNS))).alias("p")).distinct()
+    touched = F.expr(f"sequence(p.s div {SCOPE}, (p.e - 1) div {SCOPE})")
+    # A weak part that overlaps a strong one is that one: they meet by blocks too.
+    block = every.select("id", "row", "p", F.explode(touched).alias("block"))
+    strong = block.where(F.col("p.kind").isin(*STRONG)).withColumnRenamed("p", "b")
+    taken = block.where(F.col("p.kind").isin(*WEAK)).join(strong, ["id", "row", "block"]).where("b.s < p.e and p.s < b.e").select("id", "row", "p").distinct()
+    every = every.join(taken, ["id", "row", "p"], "left_anti")
     role = F.when(F.col("p.kind").isin("access", "ident"), "identifier").when(F.col("p.kind") == "endpoint", "endpoint").otherwise("secret")
     every = every.withColumn("role", role)
     near = F.expr(f"sequence(greatest(p.s - {SCOPE}, 0) div {SCOPE}, (p.e + {SCOPE}) div {SCOPE})")
     weak = every.where(F.col("p.kind").isin(*WEAK)).select("id", "row", "p", "role", F.explode(near).alias("block"))
-    touched = F.expr(f"sequence(p.s div {SCOPE}, (p.e - 1) div {SCOPE})")
     other = every.select("id", "row", F.col("p").alias("q"), F.col("role").alias("q_role"), F.explode(touched).alias("block"))
     pairs = weak.join(other, ["id", "row", "block"]).where(f"q.s - p.e <= {SCOPE} and p.s - q.e <= {SCOPE} and role <> q_role and (role = 'secret' or q_role = 'secret')")
     return pairs.groupBy("id", "row").agg(F.collect_set("p").alias("linked"))

@@ -97,3 +97,14 @@ def test_perplexities_of_rows_without_a_doc_id(spark, monkeypatch):
     rows = kneser_ney_quality.perplexities(docs, labels).collect()
     one, two = (sorted(round(r.perplexity, 4) for r in rows if (r.doc_id is None) == none) for none in (False, True))
     assert len(rows) == 120 and one == two
+
+
+def test_a_row_of_many_parts_is_linked_in_little_time(spark):
+    from citeloom.llm import secret_scan
+
+    text = "user: admin " + "".join(f"{k:032x} https://h{k}.example.org/x " for k in range(8000))
+    df = spark.createDataFrame([(1, text, 5), (2, "plain", 6)], "doc_id long, text string, id int")
+    began = time.time()
+    rows = {r.doc_id: r for r in secret_scan.secrets(df).collect()}
+    assert rows[1].n_hex == 8000 and rows[1].n_linked >= 8000 and rows[2].spans == ""
+    assert time.time() - began < 60
