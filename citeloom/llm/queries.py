@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from citeloom.llm import conversation_repair, gru_language, kneser_ney_quality, license_scan, minhash_dedup, oracles, pattern_packing, pii_sanitise, repetition_rules, secret_scan, seed_decontamination, spelling_variants, token_counts, top_k_search
+from citeloom.sources.storage import table
 
 
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return table(spark, sf_dir, name)
 
 
 def tokenizer(name: str) -> str:

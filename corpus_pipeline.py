@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from citeloom.llm import gru_language, minhash_dedup, pattern_packing, pii_sanitise, seed_decontamination
 from citeloom.llm.queries import tokenizer
 from citeloom.llm.shared import stored
+from citeloom.sources.storage import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Below this a text's pooled probability says that no learned language fits it.
@@ -60,7 +61,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
