@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from citeloom.functions.arrays import let
@@ -23,6 +25,21 @@ def exact_leaks(df: DataFrame) -> DataFrame:
     return pairs.groupBy("split1", "split2").agg(F.sum(F.col("n1") * F.col("n2")).alias("hits"))
 
 
+def exact_findings(df: DataFrame, place: Sequence[str] = ("id",)) -> DataFrame:
+    """digest, split, n, first (a struct of the columns of ``place``, say file and line), preview: for each text that stands
+    in two splits or more, a row a split with how often and where first. Texts are moved as digests and previews."""
+    rows = _texts(df).groupBy(F.md5("text").alias("digest"), "split").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("first"), F.min(F.substring("text", 1, PREVIEW)).alias("preview"))
+    rows = stored(rows)
+    shared = rows.groupBy("digest").agg(F.count("*").alias("splits")).where("splits > 1").select("digest")
+    return rows.join(shared, "digest", "left_semi")
+
+
+def with_places(leaks: DataFrame, df: DataFrame, place: Sequence[str]) -> DataFrame:
+    """leaks (id1, id2, ...) with the columns of ``place`` of both texts, say file1, line1, file2, line2."""
+    of = lambda k: df.select(F.col("id").alias(f"id{k}"), *(F.col(c).alias(f"{c}{k}") for c in place))
+    return leaks.join(of(1), "id1").join(of(2), "id2")
+
+
 def shingle_sets(df: DataFrame, width: int = 5) -> DataFrame:
     """id, split, s (array of the hashes of the distinct shingles of ``width`` words, lower case, in order), n (its
     size): one row a text that has so many words."""
@@ -84,10 +101,10 @@ def fuzzy_leaks(df: DataFrame, threshold: float = 0.9, width: int = 5) -> DataFr
     leads = sets.join(lead.select(F.col("lead").alias("id")), "id", "left_semi")
     rows = leads.select("id", "split", "n", F.explode("s").alias("shingle"))
     shared = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("split").alias("low"), F.max("split").alias("high")).where("low <> high").select("shingle", "df")
-    by = Window.partitionBy("id").orderBy("df", "shingle")
-    ranked = rows.join(shared, "shingle").withColumn("rank", F.row_number().over(by)).withColumn("shared", F.count("*").over(Window.partitionBy("id")))
-    last = F.col("n") - F.ceil(F.round(F.col("n") * threshold, 6)) + 1
-    prefix = stored(ranked.where(F.col("n") - F.col("shared") + F.col("rank") <= last).select("shingle", "id", "split", "n"))
+    # A text's shared shingles are ordered inside its row, and the prefix alone goes on.
+    ranked = rows.join(shared, "shingle").groupBy("id", "split", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("x"))
+    last = (F.col("n") - F.ceil(F.round(F.col("n") * threshold, 6)) + 1 - (F.col("n") - F.size("x"))).cast("int")
+    prefix = stored(ranked.where(last > 0).select("id", "split", "n", F.explode(F.slice("x", F.lit(1), last)).alias("x")).select("x.shingle", "id", "split", "n"))
     one, two = prefix.toDF("shingle", "id1", "split1", "n1"), prefix.toDF("shingle", "id2", "split2", "n2")
     near = one.join(two, "shingle").where(f"split1 < split2 and least(n1, n2) >= {threshold} * greatest(n1, n2)")
     pairs = stored(near.select("id1", "split1", "id2", "split2").distinct())

@@ -224,6 +224,11 @@ def exact_leaks(spark, sf):
     return K.exact_leaks(B.split_documents(spark, sf))
 
 
+@query("h1_exact_findings", """SELECT digest, split, n, first, preview FROM (SELECT *, count(*) OVER (PARTITION BY digest) AS splits FROM (SELECT md5(text) AS digest, split, count(*) AS n, min(id) AS first, min(substring(text, 1, 200)) AS preview FROM t_split WHERE trim(text) <> '' GROUP BY ALL)) WHERE splits > 1""")
+def exact_findings(spark, sf):
+    return K.exact_findings(B.split_documents(spark, sf)).withColumn("first", F.col("first.id"))
+
+
 @query("h2_fuzzy_leaks", "SELECT split1, split2, id1, id2, round(similarity, 6) AS similarity FROM t_fuzzy")
 def fuzzy_leaks(spark, sf):
     return K.fuzzy_leaks(B.split_documents(spark, sf), 0.8)
