@@ -54,15 +54,30 @@ def seeds_of(tokens: np.ndarray, words: A.Words, masks: Sequence[str]) -> tuple[
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def _around(tokens: np.ndarray, words: A.Words, text: np.ndarray, at: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """The tokens from BEFORE before to AFTER after each seed (0 outside of its text), as bytes, and how many of
-    its text there are before and after it."""
+def _alike(tokens: np.ndarray, words: A.Words, seed: np.ndarray, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """Seeds of one text with the same surroundings, as one row: which seeds stand for them, and columns at, size, near
+    (the tokens from BEFORE before to AFTER after, 0 outside of the text, as bytes) and places (every at).
+
+    Whether a window agrees depends on what lies around alone, so at and size are cut to that. Repetitive texts would
+    else bring every place along with its surroundings.
+    """
     places = at[:, None] + np.arange(-BEFORE, AFTER)
     size = words.count[text]
     inside = (places >= 0) & (places < size[:, None])
     flat = np.where(inside, words.first[text][:, None] + places, 0)
     near = np.where(inside, tokens[flat] if len(tokens) else U(0), U(0))
-    return pa.array([x.tobytes() for x in near], pa.binary()), pa.array(at.astype(np.int64)), pa.array(size.astype(np.int64))
+    before = np.minimum(at, BEFORE)
+    whole = before + np.minimum(size - at, AFTER)
+    key = A.keyed(seed, text)
+    with np.errstate(over="ignore"):
+        for k in range(BEFORE + AFTER):
+            key = A.mix(key * U(0x9E3779B97F4A7C15) + near[:, k])
+        key = A.mix(key + (before * (BEFORE + AFTER + 1) + whole).astype(U))
+    _, first, of = np.unique(key, return_index=True, return_inverse=True)
+    order = np.argsort(of, kind="stable")
+    ends = np.append(0, np.cumsum(np.bincount(of, minlength=len(first)))).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(at[order].astype(np.int64)))
+    return first, {"at": pa.array(before[first].astype(np.int64)), "size": pa.array(whole[first].astype(np.int64)), "near": pa.array([x.tobytes() for x in near[first]], pa.binary()), "places": lists}
 
 
 def _seeds(batches: Iterator[pa.RecordBatch], key: str, masks: Sequence[str], bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
@@ -81,8 +96,18 @@ def _seeds(batches: Iterator[pa.RecordBatch], key: str, masks: Sequence[str], bi
                 for offset, m in pieces_of(n):
                     keep |= (size == n) & (at == offset) & (length == m) & (number >= len(MASKS))
         seed, text, at = seed[keep], text[keep], at[keep]
-        near, place, size = _around(tokens, words, text, at)
-        yield pa.record_batch({"seed": pa.array(seed.view(np.int64)), key: batch.column(key).take(pa.array(text)), "at": place, "size": size, "near": near})
+        first, columns = _alike(tokens, words, seed, text, at)
+        yield pa.record_batch({"seed": pa.array(seed[first].view(np.int64)), key: batch.column(key).take(pa.array(text[first]))} | columns)
+
+
+def shifts_between(places: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The different values of place less other, in memory of the order of their range."""
+    few, many, sign = (others, places, 1) if len(others) <= len(places) else (places, others, -1)
+    low = int(many.min() - few.max())
+    there = np.zeros(int(many.max() - few.min()) - low + 1, bool)
+    for x in few.tolist():
+        there[many - x - low] = True
+    return sign * (np.flatnonzero(there) + low)
 
 
 def best_window(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int]:
@@ -108,7 +133,20 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = both[:, WINDOW:] - both[:, :-WINDOW] == WINDOW
         fine = (full & (100 * (same[:, WINDOW:] - same[:, :-WINDOW]) >= AGREE * WINDOW)).any(1)
         whole = (item_size < WINDOW) & (both[:, -1:] == item_size) & (100 * same[:, -1:] >= AGREE * item_size)
-        yield batch.select(["row", "item_id", "shift"]).filter(pa.array(fine | whole[:, 0]))
+        fits = np.flatnonzero(fine | whole[:, 0])
+        (first, count), (item_first, item_count) = ((np.asarray(x.offsets)[:-1], np.diff(np.asarray(x.offsets))) for x in (batch.column("places"), batch.column("item_places")))
+        flat, item_flat = (np.asarray(batch.column(c).values) for c in ("places", "item_places"))
+        # Most seeds stand alone; the others' places are taken one by one with each other.
+        alone = fits[(count[fits] == 1) & (item_count[fits] == 1)]
+        yield _shifted(batch, alone, flat[first[alone]] - item_flat[item_first[alone]])
+        for k in np.setdiff1d(fits, alone):
+            shifts = shifts_between(flat[first[k] : first[k] + count[k]], item_flat[item_first[k] : item_first[k] + item_count[k]])
+            yield _shifted(batch, np.full(len(shifts), k), shifts)
+
+
+def _shifted(batch: pa.RecordBatch, at: np.ndarray, shifts: np.ndarray) -> pa.RecordBatch:
+    at = pa.array(at.astype(np.int64))
+    return pa.record_batch({"row": batch.column("row").take(at), "item_id": batch.column("item_id").take(at), "shift": pa.array(shifts.astype(np.int64))})
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,12 +180,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 1) -> DataFrame
     items = stored(benchmark.mapInArrow(_tokens, "item_id long, tokens array<long>, n int").where(f"n >= {max(1, least)}"))
     short = [r["n"] for r in items.where(f"n < {WINDOW}").select("n").distinct().collect()]  # fewer than WINDOW rows
     masks = MASKS + tuple("1" * m for m in sorted({m for n in short for _, m in pieces_of(n)}))
-    schema = "seed long, {} long, at long, size long, near binary"
-    item_seeds = benchmark.mapInArrow(lambda it: _seeds(it, "item_id", masks, None), schema.format("item_id")).where(f"size >= {max(1, least)}")
-    item_seeds = stored(item_seeds.toDF("seed", "item_id", "item_at", "item_size", "item_near"))
+    schema = "seed long, {} long, at long, size long, near binary, places array<long>"
+    item_seeds = benchmark.mapInArrow(lambda it: _seeds(it, "item_id", masks, None), schema.format("item_id"))
+    item_seeds = stored(item_seeds.toDF("seed", "item_id", "item_at", "item_size", "item_near", "item_places").join(items.select("item_id").distinct(), "item_id", "left_semi"))
     shared = docs.sparkSession.sparkContext.broadcast(bit_table(item_seeds, "seed", BITS))  # however large the benchmark
     hits = docs.select("row", "text").mapInArrow(lambda it: _seeds(it, "row", masks, shared.value), schema.format("row"))
-    hits = hits.join(item_seeds.hint("merge"), "seed").withColumn("shift", F.col("at") - F.col("item_at"))
+    hits = hits.join(item_seeds.hint("merge"), "seed")
     found = hits.mapInArrow(_near, "row long, item_id long, shift long").distinct()
     found = stored(found.groupBy("row", "item_id", F.floor(F.col("shift") / SHIFTS).alias("part")).agg(F.collect_set("shift").alias("shifts")))
     rows = found.select("row").distinct()

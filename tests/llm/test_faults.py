@@ -108,3 +108,23 @@ def test_a_row_of_many_parts_is_linked_in_little_time(spark):
     rows = {r.doc_id: r for r in secret_scan.secrets(df).collect()}
     assert rows[1].n_hex == 8000 and rows[1].n_linked >= 8000 and rows[2].spans == ""
     assert time.time() - began < 60
+
+
+def test_repetitive_texts_are_compared_in_little_time(spark):
+    from citeloom.llm import seed_decontamination
+
+    docs = spark.createDataFrame([(1, "same " * 20_000), (2, "a b " * 3000), (3, "something else entirely " * 30)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "same " * 200), (2, "a b " * 50), (3, "same same b a same b")], "item_id long, text string")
+    began = time.time()
+    got = {r.doc_id: (r.item_ids, r.matched) for r in seed_decontamination.decontaminate(docs, items).collect()}
+    assert got[1][0] == "1" and got[1][1] == 200 and got[2] == ("2", 100) and got[3] == ("", 0)
+    assert time.time() - began < 60
+
+
+def test_shifts_between_places():
+    from citeloom.llm import seed_decontamination
+
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        a, b = (np.unique(rng.integers(0, 40, rng.integers(1, 12))) for _ in range(2))
+        assert seed_decontamination.shifts_between(a, b).tolist() in ([*sorted({int(x - y) for x in a for y in b})], [*sorted({int(x - y) for x in a for y in b}, reverse=True)])
