@@ -110,7 +110,7 @@ def write_windows(spark, sf):
 @query(
     "a10_write_evaluation",
     f"""SELECT 'metrics' AS part, 'all' AS name, accuracy AS score, n, '' AS digest FROM ({B.ORACLES["i1_token_accuracy"]}) UNION ALL SELECT 'report', name, f1, support, concat_ws(':', CAST(CAST(round(precision * 1e6) AS BIGINT) AS VARCHAR), CAST(CAST(round(recall * 1e6) AS BIGINT) AS VARCHAR)) FROM ({B.ORACLES["i3_classification_report"]})
-    UNION ALL SELECT 'predictions', CAST(doc_id AS VARCHAR), NULL, NULL, concat_ws(':', original, stripped, predicted) FROM ({B.ORACLES["i5_prediction_records"]})""",
+    UNION ALL SELECT 'predictions', CAST(doc_id AS VARCHAR), 0.0, 0, concat_ws(':', original, stripped, predicted) FROM ({B.ORACLES["i5_prediction_records"]})""",
 )
 def write_evaluation(spark, sf):
     path = storage.new_path(spark, "evaluation")
@@ -118,10 +118,10 @@ def write_evaluation(spark, sf):
     records = label_queries._records(spark, sf)
     writers.write_evaluation(evaluation.token_accuracy(truth, predicted), evaluation.classification_report(truth, predicted), records, path)
     back = lambda part, schema: writers.read_back(spark, f"{path}/{part}", schema)
-    none, millionths = F.lit(None), lambda c: F.round(F.col(c) * 1e6).cast("long").cast("string")
+    millionths = lambda c: F.round(F.col(c) * 1e6).cast("long").cast("string")
     metrics = back("metrics", "n long, accuracy double").select(F.lit("metrics").alias("part"), F.lit("all").alias("name"), F.col("accuracy").alias("score"), "n", F.lit("").alias("digest"))
     report = back("report", "name string, precision double, recall double, f1 double, support long").select(F.lit("report"), "name", "f1", "support", F.concat_ws(":", millionths("precision"), millionths("recall")))
-    rows = back("predictions", "doc_id long, original string, stripped string, predicted string").select(F.lit("predictions"), F.col("doc_id").cast("string"), none.cast("double"), none.cast("long"), F.concat_ws(":", F.md5("original"), F.md5("stripped"), F.md5("predicted")))
+    rows = back("predictions", "doc_id long, original string, stripped string, predicted string").select(F.lit("predictions"), F.col("doc_id").cast("string"), F.lit(0.0), F.lit(0).cast("long"), F.concat_ws(":", F.md5("original"), F.md5("stripped"), F.md5("predicted")))
     return metrics.union(report).union(rows)
 
 
