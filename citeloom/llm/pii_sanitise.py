@@ -236,7 +236,8 @@ def report(docs: DataFrame) -> DataFrame:
     name = F.array(*map(F.lit, KINDS))
     text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(name, x["k"]), x["s"], x["e"])), ",")
     terms = F.transform("terms", lambda x: F.struct(F.lit(len(KINDS) - 1).alias("k"), x["s"].alias("s"), x["e"].alias("e")))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS[:-1])]
+    of_kind = lambda k: lambda x: x == k
+    counts = [F.size(F.filter(F.col("base")["k"], of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS[:-1])]
     found = find(docs)
     return found.select("doc_id", *counts, F.sha2(text(F.sort_array("base")), 256).alias("base_sha256"), text(F.concat(F.sort_array("base"), terms)).alias("spans"), F.size("terms").cast("long").alias("n_term"))
 

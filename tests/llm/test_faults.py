@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from citeloom.llm import gru_language, kneser_ney_quality, pattern_packing
+from citeloom.llm import gru_language, kneser_ney_quality, pattern_packing, pii_sanitise
 from citeloom.llm.queries import tokenizer
 
 
@@ -128,3 +128,10 @@ def test_shifts_between_places():
     for _ in range(50):
         a, b = (np.unique(rng.integers(0, 40, rng.integers(1, 12))) for _ in range(2))
         assert seed_decontamination.shifts_between(a, b).tolist() in ([*sorted({int(x - y) for x in a for y in b})], [*sorted({int(x - y) for x in a for y in b}, reverse=True)])
+
+
+def test_every_span_of_a_kind_counts(docs):
+    texts = ["a@b.co c@d.org, 1.2.3.4 and 10.20.30.40 or +49 30 1234567", "+1 555 123 4567 +1 555 123 4568 x@y.de z@y.de w@y.de 4111 1111 1111 1111", "", None, "9.9.9.9 8.8.8.8 7.7.7.7"]
+    rows = {r["doc_id"]: r for r in pii_sanitise.report(docs(*texts)).collect()}
+    counts = [tuple(rows[i][f"n_{kind}"] for kind in ("email", "ip", "card", "phone")) for i in range(5)]
+    assert counts == [(2, 2, 0, 1), (3, 0, 1, 2), (0, 0, 0, 0), (0, 0, 0, 0), (0, 3, 0, 0)]
