@@ -12,7 +12,7 @@ part of a longer word. Words of fewer than SHORTEST bytes are never terms.
 
 The frequency of every term is counted over every document first. With n documents, an entity in n_e of them
 can't be disclosed by a term in more than n**(1 - DISCLOSURE) * n_e**DISCLOSURE: only terms that are rare enough
-for some entity are looked for in the documents of entities, by a bit table of fixed size whose hits are then
+for some entity are looked for in the documents of entities, by a bit table whose hits are then
 joined exactly, and each is paired only with the entities that it's rare enough for.
 
 Offsets are code points, end exclusive. Null texts are empty. Every row is a document of the estimates, so are
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from citeloom.llm import arrays as A
 from citeloom.llm.shared import bit_table, in_table, stored
 
-WINDOW, SUPPORT, DISCLOSURE, REMOVAL, SHORTEST, BITS = 6, 3, 0.8, 0.97, 4, 1 << 23
+WINDOW, SUPPORT, DISCLOSURE, REMOVAL, SHORTEST = 6, 3, 0.8, 0.97, 4
 KINDS = ("email", "ip", "card", "phone", "term")
 U = np.uint64
 
@@ -185,8 +185,21 @@ def _identified(docs: DataFrame) -> DataFrame:
 _PLACES = "doc_id long, row long, term long, s int, e int"
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """entity, term, n_entity, n_term, n_both, disclosure: the terms that give an entity away. found: see find()."""
+def _classes(rows: DataFrame, name: str, n: str) -> DataFrame:
+    """name, class: values of equal n that stand in the same rows share a class. rows (row, name, n): each pair once.
+
+    Values of fewer than SUPPORT rows can't have SUPPORT contexts and are left out.
+    """
+    same = [F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"), F.count("*").alias("rows")]
+    return rows.groupBy(name, n).agg(*same).where(f"rows >= {SUPPORT}").select(name, F.xxhash64("x", "y", "rows", n).alias(f"{name}_class"))
+
+
+def _disclosing(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """entity, term_class, n_entity, n_term, n_both, disclosure; and term, term_class. None: no entity has support.
+
+    A page of many addresses and many rare terms would pair each with each. Copied lists and boilerplate stand in the
+    same rows, so classes are paired, and the contexts of single entities are counted for the pairs that reach DISCLOSURE.
+    """
     spark = docs.sparkSession
     seen = found.where("size(entities) > 0").select("row", F.explode("entities").alias("c")).select("row", "c.*")
     seen = seen.groupBy("row", "entity", "context").agg(F.count("*").alias("copies"))
@@ -196,22 +209,43 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     seen = stored(seen.join(of_entity, "entity"))
     most, total = seen.agg(F.max("n_entity")).first()[0], docs.count()
     if not most:
-        return spark.createDataFrame([], "entity long, term long, n_entity long, n_term long, n_both long, disclosure double")
+        return None
     rarity = lambda n: F.pow(F.lit(float(total)), F.lit(1 - DISCLOSURE)) * F.pow(n, F.lit(DISCLOSURE)) * (1 + 1e-9)
     counts = docs.select("text").mapInArrow(_counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     rare = stored(counts.where(F.col("n_term").between(F.lit(SUPPORT), rarity(F.lit(float(most))))))
-    bits = spark.sparkContext.broadcast(bit_table(rare, "term", BITS))  # of one size, whatever the corpus
-    rows = spark.sparkContext.broadcast(bit_table(seen.select(F.xxhash64("row").alias("place")), "place", BITS))
+    bits = spark.sparkContext.broadcast(bit_table(rare, "term"))
+    rows = spark.sparkContext.broadcast(bit_table(seen.select(F.xxhash64("row").alias("place")), "place"))
     texts = docs.select("doc_id", "row", "text", F.xxhash64("row").alias("place"))
     terms = texts.mapInArrow(lambda it: _standing(it, bits.value, rows.value), "row long, term long").distinct().join(rare.hint("merge"), "term")
-    both = terms.join(seen.hint("merge"), "row").where(F.col("n_term") <= rarity(F.col("n_entity")))
-    both = stored(both.select("entity", "term", "context", "copies", "n_entity", "n_term"))
-    both = both.groupBy("entity", "term", "context", "n_entity", "n_term").agg(F.sum("copies").alias("n"))
-    both = both.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts")).where(f"n_both >= {SUPPORT} and contexts >= {SUPPORT}")
+    terms = stored(terms.join(seen.select("row").distinct().hint("merge"), "row", "left_semi"))
+    of_term = stored(_classes(terms, "term", "n_term"))
+    seen = stored(seen.join(_classes(seen, "entity", "n_entity").hint("merge"), "entity"))
+    terms = stored(terms.join(of_term.hint("merge"), "term").select("row", "term_class", "n_term").distinct())
+    listed = seen.select("row", "entity_class", "n_entity", "copies").distinct()
+    both = terms.join(listed.hint("merge"), "row").where(F.col("n_term") <= rarity(F.col("n_entity")))
+    both = both.groupBy("entity_class", "term_class", "n_entity", "n_term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("rows")).where(f"rows >= {SUPPORT}")
     info = F.log(F.lit(float(total)) / F.col("n_entity"))
     told = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term"))) / info
-    out = both.where(F.col("n_entity") < total).withColumn("disclosure", told).where(F.col("disclosure") >= DISCLOSURE - 1e-9)
-    return out.select("entity", "term", "n_entity", "n_term", "n_both", "disclosure")
+    both = stored(both.where(F.col("n_entity") < total).withColumn("disclosure", told).where(F.col("disclosure") >= DISCLOSURE - 1e-9))
+    places = both.join(terms.select("row", "term_class").hint("merge"), "term_class").join(seen.select("row", "entity_class", "entity", "context").hint("merge"), ["row", "entity_class"])
+    known = ["entity", "term_class", "n_entity", "n_term", "n_both", "disclosure"]
+    return places.groupBy(*known).agg(F.countDistinct("context").alias("contexts")).where(f"contexts >= {SUPPORT}").select(*known), of_term
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """entity, term, n_entity, n_term, n_both, disclosure: the terms that give an entity away. found: see find()."""
+    told = _disclosing(docs, found)
+    if told is None:
+        return docs.sparkSession.createDataFrame([], "entity long, term long, n_entity long, n_term long, n_both long, disclosure double")
+    return told[0].join(told[1].hint("merge"), "term_class").select("entity", "term", "n_entity", "n_term", "n_both", "disclosure")
+
+
+def _telling(docs: DataFrame, found: DataFrame) -> DataFrame | None:
+    """term and how much it tells of the entity that it tells most of."""
+    told = _disclosing(docs, found)
+    if told is None:
+        return None
+    return told[0].groupBy("term_class").agg(F.max("disclosure").alias("disclosure")).join(told[1].hint("merge"), "term_class").select("term", "disclosure")
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -219,10 +253,11 @@ def find(docs: DataFrame) -> DataFrame:
     docs = _identified(docs)
     found = stored(docs.mapInArrow(_found, "doc_id long, row long, base array<struct<k:int,s:int,e:int>>, entities array<struct<entity:long,context:long>>"))
     empty = F.expr("cast(array() as array<struct<s:int,e:int,disclosure:double>>)")
-    telling = stored(disclosing_terms(docs, found).groupBy("term").agg(F.max("disclosure").alias("disclosure")))
-    if telling.isEmpty():
+    telling = _telling(docs, found)
+    telling = None if telling is None else stored(telling)
+    if telling is None or telling.isEmpty():
         return found.select("doc_id", "row", "base", empty.alias("terms"))
-    shared = docs.sparkSession.sparkContext.broadcast(bit_table(telling, "term", BITS))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(telling, "term"))
     places = docs.select("doc_id", "row", "text").mapInArrow(lambda it: _placed(it, shared.value), _PLACES).join(telling, "term")
     places = places.select("doc_id", "row", "s", "e", "disclosure").distinct()
     terms = places.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("s", "e", "disclosure"))).alias("terms"))

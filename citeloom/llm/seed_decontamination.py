@@ -2,7 +2,7 @@
 
 A seed mask fixes some token positions of a span and ignores the others; two texts that agree on the fixed
 ones share a hash. Hashes of the benchmark under each mask are joined with those of the documents. The
-documents' hashes first pass a bit table of fixed size made from the benchmark's, so nearly all that can't
+documents' hashes first pass a bit table made from the benchmark's, so nearly all that can't
 join is never shuffled; what passes is joined exactly. A hit brings its neighbourhood along, so the windows
 around it are compared at once, and only what agrees there is looked up in the whole texts: a document is
 contaminated when some window of WINDOW aligned tokens (or the whole item, if it is shorter) agrees in at least
@@ -28,7 +28,7 @@ from citeloom.llm.shared import bit_table, in_table, maybe_among, stored
 
 #: Kept token positions are 1. Any 13 tokens with two substitutions hit at least one of these.
 MASKS = ("1111011", "1101111", "11100111", "11111")
-WINDOW, AGREE, BITS = 13, 80, 1 << 25
+WINDOW, AGREE = 13, 80
 #: Tokens before and after a seed's first that a hit brings along, and shifts that are looked up together.
 BEFORE, AFTER, SHIFTS = WINDOW - 1, WINDOW, 256
 U = np.uint64
@@ -183,7 +183,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 1) -> DataFrame
     schema = "seed long, {} long, at long, size long, near binary, places array<long>"
     item_seeds = benchmark.mapInArrow(lambda it: _seeds(it, "item_id", masks, None), schema.format("item_id"))
     item_seeds = stored(item_seeds.toDF("seed", "item_id", "item_at", "item_size", "item_near", "item_places").join(items.select("item_id").distinct(), "item_id", "left_semi"))
-    shared = docs.sparkSession.sparkContext.broadcast(bit_table(item_seeds, "seed", BITS))  # however large the benchmark
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(item_seeds, "seed"))
     hits = docs.select("row", "text").mapInArrow(lambda it: _seeds(it, "row", masks, shared.value), schema.format("row"))
     hits = hits.join(item_seeds.hint("merge"), "seed")
     found = hits.mapInArrow(_near, "row long, item_id long, shift long").distinct()

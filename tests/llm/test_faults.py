@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from citeloom.llm import gru_language, kneser_ney_quality, pattern_packing, pii_sanitise
+from citeloom.llm import gru_language, kneser_ney_quality, pattern_packing, pii_sanitise, shared
 from citeloom.llm.queries import tokenizer
 
 
@@ -135,3 +135,35 @@ def test_every_span_of_a_kind_counts(docs):
     rows = {r["doc_id"]: r for r in pii_sanitise.report(docs(*texts)).collect()}
     counts = [tuple(rows[i][f"n_{kind}"] for kind in ("email", "ip", "card", "phone")) for i in range(5)]
     assert counts == [(2, 2, 0, 1), (3, 0, 1, 2), (0, 0, 0, 0), (0, 0, 0, 0), (0, 3, 0, 0)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 3000, 50_000])
+def test_bit_tables_follow_their_keys(spark, n):
+    table = shared.bit_table(spark.range(n).select(F.xxhash64("id").alias("place")), "place")
+    assert 64 * len(table) >= max(1 << shared.LEAST_BITS, 0.9 * shared.PER_KEY * n)
+    asked = spark.range(2 * n + 1000).select("id", F.xxhash64("id").alias("place")).toPandas()
+    there = shared.in_table(asked["place"].to_numpy().view(np.uint64), table)
+    assert there[:n].all() and there[n:].mean() < 0.01
+
+
+def test_bits_stay_in_bounds():
+    assert shared.bits_for(0) == shared.bits_for(1) == 1 << shared.LEAST_BITS
+    assert shared.bits_for(1 << 20) == 1 << 25
+    assert shared.bits_for(1 << 24) == shared.bits_for(1 << 40) == 1 << shared.MOST_BITS
+
+
+def test_pages_of_many_addresses_and_terms_pair_classes(spark, monkeypatch):
+    """Five pages list the same 300 addresses and 300 rare terms, in other orders: 90,000 pairs a page, one of classes."""
+    rng, rows = np.random.default_rng(3), []
+    names, terms = [f"user{i}@host{i}.org" for i in range(300)], [f"rareword{i}" for i in range(300)]
+    for page in range(5):
+        a, b = rng.permutation(300), rng.permutation(300)
+        rows.append((page, " ".join(f"{names[i]} {terms[j]}" for i, j in zip(a, b))))
+    rows += [(100 + i, f"plain text number{i} of other documents") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = []
+    monkeypatch.setattr(pii_sanitise, "stored", lambda df: made.append(shared.stored(df)) or made[-1])
+    got = pii_sanitise.report(docs).where("doc_id < 100").toPandas()
+    assert (got["n_email"] == 300).all() and (got["n_term"] == 300).all()
+    [pairs] = [t for t in made if {"entity_class", "term_class"} <= set(t.columns)]
+    assert pairs.count() == 1
