@@ -487,7 +487,17 @@ def precision_curve(spark, sf):
     return calibration.curve(stored(calibration.reliability(_scored(spark, sf))))
 
 
-@query("i9_chosen_cutoffs")
+# The fitted probability reaches p right after the first least value of the running sums of right - p * n.
+B.TABLES["t_running"] = "SELECT confidence, sum(2 * right_ - n) OVER (ORDER BY confidence) AS g FROM t_points"
+B.TABLES["t_curve"] = "SELECT confidence, sum(n) OVER d / sum(n) OVER () AS coverage, sum(right_) OVER d / sum(n) OVER d AS precision FROM t_points WINDOW d AS (ORDER BY confidence DESC)"
+
+
+@query(
+    "i9_chosen_cutoffs",
+    """SELECT round(high.confidence, 6) AS high, round(high.coverage, 6) AS coverage, round(high.precision, 6) AS precision, round(low, 6) AS low FROM
+    (SELECT min(confidence) AS low FROM t_points WHERE confidence > coalesce((SELECT min(confidence) FROM t_running WHERE g < 0 AND g = (SELECT min(g) FROM t_running)), -1)) l
+    LEFT JOIN (SELECT * FROM t_curve WHERE precision >= 0.6 ORDER BY confidence LIMIT 1) high ON true""",
+)
 def chosen_cutoffs(spark, sf):
     return calibration.choose_cutoffs(stored(calibration.reliability(_scored(spark, sf))), 0.6, 0.5)
 
