@@ -41,7 +41,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 #: Bits of a table for each different key, and of a table at least and at most (64 MB), as powers of two.
-PER_KEY, LEAST_BITS, MOST_BITS = 32, 16, 29
+PER_KEY, LEAST_BITS, MOST_BITS = 128, 16, 29
 
 
 def bits_for(keys: int) -> int:
@@ -52,8 +52,8 @@ def bits_for(keys: int) -> int:
 def bit_table(keys: DataFrame, column: str) -> np.ndarray:
     """A table with two bits set for each key of a long column of hashes: one by its low half, one by its high half.
 
-    Its size follows the number of different keys: of other keys, 0.4 % have both bits by chance. From 2**24 keys on it
-    stays at 2**MOST_BITS bits, so that it can be broadcast: then 1.5 % have them at 2**25 keys, 15 % at 2**27.
+    Its size follows the number of different keys: of other keys, one in 4,000 has both bits by chance. From 2**22 keys on
+    it stays at 2**MOST_BITS bits, so that it can be broadcast: then 1.5 % have them at 2**25 keys, 15 % at 2**27.
     """
     bits = bits_for(keys.agg(F.approx_count_distinct(column)).first()[0])
     places = keys.select(F.explode(F.array(F.col(column).bitwiseAND(bits - 1), F.shiftrightunsigned(column, 32).bitwiseAND(bits - 1))).alias("place"))

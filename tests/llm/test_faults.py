@@ -148,8 +148,8 @@ def test_bit_tables_follow_their_keys(spark, n):
 
 def test_bits_stay_in_bounds():
     assert shared.bits_for(0) == shared.bits_for(1) == 1 << shared.LEAST_BITS
-    assert shared.bits_for(1 << 20) == 1 << 25
-    assert shared.bits_for(1 << 24) == shared.bits_for(1 << 40) == 1 << shared.MOST_BITS
+    assert shared.bits_for(1 << 20) == shared.PER_KEY << 20
+    assert shared.bits_for(1 << 30) == shared.bits_for(1 << 40) == 1 << shared.MOST_BITS
 
 
 def test_pages_of_many_addresses_and_terms_pair_classes(spark, monkeypatch):
