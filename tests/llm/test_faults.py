@@ -146,6 +146,16 @@ def test_bit_tables_follow_their_keys(spark, n):
     assert there[:n].all() and there[n:].mean() < 0.01
 
 
+def test_bit_tables_reach_the_driver_packed(spark, monkeypatch):
+    """A few values of some KB, not a row a word, which took the driver hundreds of MB."""
+    sent = []
+    for name in ("toPandas", "toArrow"):
+        plain = getattr(type(spark.range(1)), name)
+        monkeypatch.setattr(type(spark.range(1)), name, lambda df, plain=plain: sent.append(plain(df)) or sent[-1])
+    table = shared.bit_table(spark.range(50_000).select(F.xxhash64("id").alias("place")), "place")
+    assert [len(x) for x in sent] == [len(table) // shared.BLOCK]
+
+
 def test_bits_stay_in_bounds():
     assert shared.bits_for(0) == shared.bits_for(1) == 1 << shared.LEAST_BITS
     assert shared.bits_for(1 << 20) == shared.PER_KEY << 20
