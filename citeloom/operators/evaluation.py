@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from citeloom.functions import labels as L, markup, urn
-from citeloom.functions.sequences import diagonal_edits
+from citeloom.functions.sequences import bit_edits, diagonal_edits
 from citeloom.operators import labelling
 from citeloom.sources.storage import stored
 
@@ -69,11 +69,6 @@ def prediction_records(docs: DataFrame, predicted: DataFrame, tags: Sequence[str
     return both.select("doc_id", "original", markup.strip_tags(F.col("original"), tags).alias("stripped"), "predicted", found("original").alias("original_citations"), found("predicted").alias("predicted_citations"))
 
 
-def edits(a: Column, b: Column, bands: Sequence[int] = (128, 1024)) -> Column:
-    """The edit distance: only a band around the diagonal is computed, as long as one that narrow can hold it."""
-    return F.coalesce(*(F.nullif(F.levenshtein(a, b, band), F.lit(-1)) for band in bands), F.levenshtein(a, b))
-
-
 def edit_distance_norm(pairs: DataFrame, chunk: int | None = 10_000) -> DataFrame:
     """pairs (doc_id, a, b): doc_id, distance: edits of aligned chunks over the longer lengths; 0 if both are empty.
 
@@ -87,7 +82,8 @@ def edit_distance_norm(pairs: DataFrame, chunk: int | None = 10_000) -> DataFram
     # One task would otherwise do all the chunks of its documents; they are dealt out evenly. The number is given,
     # because few bytes would be joined to one task, however long they take.
     rows = rows.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", F.md5("a"))
-    sums = rows.groupBy("doc_id").agg(F.sum(edits(F.col("a"), F.col("b"))).alias("edits"), F.sum(F.greatest(F.length("a"), F.length("b"))).alias("length"))
+    rows = rows.select("doc_id", bit_edits(F.col("a"), F.col("b")).alias("edits"), F.greatest(F.length("a"), F.length("b")).alias("length"))
+    sums = rows.groupBy("doc_id").agg(F.sum("edits").alias("edits"), F.sum("length").alias("length"))
     return sums.select("doc_id", _ratio(F.col("edits"), F.col("length")).alias("distance"))
 
 
@@ -112,5 +108,6 @@ def threshold_sweep(scored: DataFrame, thresholds: Sequence[float]) -> DataFrame
     """scored (confidence, correct): threshold, coverage, precision. Every row is read once for all thresholds."""
     rows = scored.withColumn("threshold", F.explode(F.array(*map(F.lit, sorted(set(thresholds))))))
     taken = F.coalesce(F.col("confidence") >= F.col("threshold"), F.lit(False)).cast("int")
+    rows = rows.select("doc_id", bit_edits(F.col("a"), F.col("b")).alias("edits"), F.greatest(F.length("a"), F.length("b")).alias("length"))
     sums = rows.groupBy("threshold").agg(F.count("*").alias("n"), F.sum(taken).alias("taken"), F.sum(taken * F.col("correct").cast("int")).alias("right"))
     return sums.select("threshold", (F.col("taken") / F.col("n")).alias("coverage"), _ratio(F.col("right"), F.col("taken")).alias("precision"))

@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from citeloom.functions import sequences
 from citeloom.operators import evaluation, labelling
 from citeloom.plans import catalogue
 
@@ -29,3 +30,27 @@ def test_arrays_of_other_bounds_are_aligned(spark):
     rows = spark.createDataFrame([(0, tokens, [(4, 8, "B-CIT"), (0, 3, "B-BIBL"), (3, 4, "O")]), (1, tokens, None), (2, None, []), (3, [], [])], schema)
     got = {r.doc_id: r.labels for r in labelling.align_arrays(rows).collect()}
     assert got == {0: ["I-CIT", "I-BIBL", "B-BIBL", "B-CIT", "O"], 1: ["O"] * 5, 2: None, 3: []}
+
+
+def test_unlike_chunks_are_compared_fast(spark):
+    """Two texts of 60,000 characters that have little in common, and one that lacks a character in three."""
+    import random
+
+    chance = random.Random(3)
+    a, b = ("".join(chance.choice("abcdefgh \u00e9") for _ in range(60_000)) for _ in range(2))
+    pairs = spark.createDataFrame([(k, a, b) for k in range(8)] + [(8, a, a.replace("a", ""))], "doc_id long, a string, b string")
+    evaluation.edit_distance_norm(pairs.limit(0)).collect()
+    began = time.time()
+    got = {r.doc_id: r.distance for r in evaluation.edit_distance_norm(pairs).collect()}
+    assert time.time() - began < 12
+    assert all(0.5 < got[k] < 0.8 for k in range(8))
+
+
+def test_bits_give_the_edit_distance():
+    import random
+
+    chance = random.Random(5)
+    for _ in range(300):
+        a, b = ("".join(chance.choice("abc\u00e9\U0001d11e") for _ in range(chance.randrange(400))) for _ in range(2))
+        assert sequences.bit_edit_distance(a, b) == sequences.edit_distance(a, b)
+    assert sequences.bit_edit_distance("", "") == 0 and sequences.bit_edit_distance("abc", "") == 3
