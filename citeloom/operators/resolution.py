@@ -5,6 +5,10 @@ Citations: (id, bibl, quote, urn, ...). Unresolved rows have a null or empty urn
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from citeloom.functions import urn as U
@@ -111,33 +115,88 @@ def resolution_coverage(citations: DataFrame, key: str) -> DataFrame:
     return out.select(F.when(F.col("total") == 1, F.lit(None)).otherwise(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias(key), "n", "n_resolved", (F.col("n_resolved") / F.col("n")).alias("coverage"))
 
 
-def grams(rows: DataFrame, width: int = 3) -> DataFrame:
-    """id, gram, n: distinct character n-grams of text, lower case; a shorter text is its own gram."""
-    cut = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (width - 1), F.lit(1))), lambda i: F.substring(t, i, F.lit(width)))
-    every = F.get(F.transform(F.array(F.lower("text")), cut), F.lit(0))
-    out = rows.where("text <> ''").select("id", F.array_distinct(every).alias("g"))
-    return out.select("id", F.size("g").alias("n"), F.explode("g").alias("gram"))
+#: Texts of a cell: known ones, and queries.
+KNOWN, ASKED = 1 << 15, 1 << 14
+
+
+def _gram_codes(texts: Sequence[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the text, gram as a number) of the distinct grams of each text, by text. Exact up to a width of 3, hashes beyond."""
+    places, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for at, text in enumerate(texts):
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        size = min(width, len(points))
+        code = np.zeros(len(points) - size + 1, np.uint64)
+        for i in range(size):
+            code = (code << np.uint64(21) if width <= 3 else code * np.uint64(0x9E3779B97F4A7C15)) + points[i : len(points) - size + 1 + i]
+        code = np.unique(code)
+        places.append(np.full(len(code), at))
+        codes.append(code)
+    return np.concatenate(places), np.concatenate(codes)
+
+
+def _most_similar(asked: pa.Table, known: pa.Table, k: int, least: float, width: int) -> pa.Table:
+    """q, urn, similarity: of each text that is asked for the k most similar urns of a cell, through lists of the texts of each gram."""
+    empty = pa.table({"q": pa.array([], pa.int64()), "urn": pa.array([], pa.string()), "similarity": pa.array([], pa.float64())})
+    if not asked.num_rows or not known.num_rows:
+        return empty
+    texts, of = np.unique(np.array(known["text"].to_pylist(), object), return_inverse=True)
+    urns = sorted(set(known["urn"].to_pylist()), key=lambda u: (u is not None, u or ""))
+    place = {u: i for i, u in enumerate(urns)}
+    urn = np.array([place[u] for u in known["urn"].to_pylist()])
+    by_text = np.argsort(of, kind="stable")
+    of, urn = of[by_text], urn[by_text]
+    first = np.searchsorted(of, np.arange(len(texts) + 1))
+    held, grams_ = _gram_codes(texts, width)
+    sizes = np.bincount(held, minlength=len(texts))
+    order = np.argsort(grams_, kind="stable")
+    held, (every, begin) = held[order].astype(np.int32), np.unique(grams_[order], return_index=True)
+    begin = np.append(begin, len(held))
+    q_at, q_grams = _gram_codes(asked["text"].to_pylist(), width)
+    bounds = np.searchsorted(q_at, np.arange(asked.num_rows + 1))
+    found = np.searchsorted(every, q_grams)
+    there = (found < len(every)) & (every[np.minimum(found, len(every) - 1)] == q_grams)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i, q in enumerate(asked["q"].to_pylist()):
+        low, high = bounds[i], bounds[i + 1]
+        lists = [held[begin[g] : begin[g + 1]] for g in found[low:high][there[low:high]]]
+        if not lists:
+            continue
+        both = np.bincount(np.concatenate(lists), minlength=len(texts))
+        similarity = both / (high - low + sizes - both)
+        near = np.flatnonzero(similarity >= least)
+        n = first[near + 1] - first[near]
+        rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[near], n)
+        near, value = urn[rows], np.repeat(similarity[near], n)
+        best = np.lexsort((near, -np.round(value, 9)))
+        best = best[np.sort(np.unique(near[best], return_index=True)[1])[:k]]
+        out.append((np.full(len(best), q), near[best], value[best]))
+    if not out:
+        return empty
+    q, near, value = map(np.concatenate, zip(*out))
+    return pa.table({"q": pa.array(q, pa.int64()), "urn": pa.array([urns[u] for u in near], pa.string()), "similarity": pa.array(value, pa.float64())})
 
 
 def retrieve_similar(queries: DataFrame, known: DataFrame, k: int = 5, least: float = 0.3, width: int = 3) -> DataFrame:
     """queries (id, text), known (id, text, urn): query, urn, similarity, rank of the k most similar distinct texts.
 
-    Texts that are equal are compared once, and their urns are ranked together. A prefix of each query's rarest
-    grams is joined, as long as the least similarity allows, so common grams hardly pair anything.
+    Texts that are equal are compared once, and their urns are ranked together. At a low similarity nearly all pairs share
+    grams, so cells of KNOWN texts, dealt out by their urns, and ASKED queries meet as texts; each gives k urns a query.
     """
-    q = grams(queries.select(F.xxhash64(F.lower("text")).alias("id"), "text").dropDuplicates(["id"]), width)
-    b = grams(known.select(F.xxhash64(F.lower("text")).alias("id"), "text").dropDuplicates(["id"]), width)
-    df = b.groupBy("gram").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "gram"))
-    cut = lambda x: x.join(df, "gram", "left").fillna(0, ["df"]).withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.round(F.col("n") * least, 6)) + 1)
-    near = cut(q).select(F.col("id").alias("q"), "gram", F.col("n").alias("n_q")).join(cut(b).select(F.col("id").alias("b"), "gram", F.col("n").alias("n_b")), "gram")
-    pairs = near.where(f"least(n_q, n_b) >= {least} * greatest(n_q, n_b)").select("q", "b", "n_q", "n_b").distinct()
-    both = pairs.join(q.select(F.col("id").alias("q"), "gram"), "q").join(b.select(F.col("id").alias("b"), "gram"), ["b", "gram"]).groupBy("q", "b", "n_q", "n_b").agg(F.count("*").alias("both"))
-    both = both.withColumn("similarity", F.col("both") / (F.col("n_q") + F.col("n_b") - F.col("both"))).where(F.col("similarity") >= least)
-    urns = known.select(F.xxhash64(F.lower("text")).alias("b"), "urn").distinct()
-    best = both.select("q", "b", "similarity").join(urns, "b").groupBy("q", "urn").agg(F.max("similarity").alias("similarity"))
+    name = F.xxhash64(F.lower("text"))
+    q = queries.where("text <> ''").select(name.alias("q"), F.lower("text").alias("text")).dropDuplicates(["q"])
+    b = stored(known.where("text <> ''").select(F.lower("text").alias("text"), F.col("urn").cast("string").alias("urn")).distinct())
+    q = stored(q)
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    groups, turns = max(cores, -(-b.count() // KNOWN)), max(1, -(-q.count() // ASKED))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("turn", F.pmod("q", F.lit(turns)).cast("int")).withColumn("group", every(groups))
+    b = b.withColumn("group", F.pmod(F.xxhash64("urn"), F.lit(groups)).cast("int")).withColumn("turn", every(turns))
+    # Little is read for what is computed: cells are dealt out to a given number of tasks.
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cell = lambda x: x.repartition(tasks, "group", "turn").groupBy("group", "turn")
+    best = cell(q).cogroup(cell(b)).applyInArrow(lambda x, y: _most_similar(x, y, k, least, width), "q long, urn string, similarity double")
     best = best.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("similarity", 9)), "urn"))).where(F.col("rank") <= k)
-    return queries.select(F.col("id").alias("query"), F.xxhash64(F.lower("text")).alias("q")).join(best, "q").select("query", "urn", "similarity", "rank")
+    return queries.select(F.col("id").alias("query"), name.alias("q")).join(best, "q").select("query", "urn", "similarity", "rank")
 
 
 def confidence_features(citations: DataFrame) -> DataFrame:

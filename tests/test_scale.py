@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeloom.functions import sequences
-from citeloom.operators import evaluation, labelling
+from citeloom.operators import evaluation, labelling, resolution
 from citeloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +54,36 @@ def test_bits_give_the_edit_distance():
         a, b = ("".join(chance.choice("abc\u00e9\U0001d11e") for _ in range(chance.randrange(400))) for _ in range(2))
         assert sequences.bit_edit_distance(a, b) == sequences.edit_distance(a, b)
     assert sequences.bit_edit_distance("", "") == 0 and sequences.bit_edit_distance("abc", "") == 3
+
+
+def test_similar_texts_are_those_found_by_hand(spark, monkeypatch):
+    """Over several cells; urns shared by texts, texts shared by urns, ties and texts shorter than a gram."""
+    import random
+
+    chance = random.Random(7)
+    monkeypatch.setattr(resolution, "KNOWN", 40)
+    monkeypatch.setattr(resolution, "ASKED", 15)
+    text = lambda: "".join(chance.choice("abAé𝄞 ") for _ in range(chance.choice((0, 1, 2, 3, 5, 8, 13))))
+    known = [(i, text(), f"u{chance.randrange(120)}") for i in range(300)]
+    asked = [(i, text()) for i in range(60)]
+    grams = lambda t: {t[i : i + 3] for i in range(max(1, len(t) - 2))} if t else set()
+    want = {}
+    for i, t in asked:
+        best = {}
+        for _, x, u in known:
+            a, b = grams(t.lower()), grams(x.lower())
+            if a and b and len(a & b) / len(a | b) >= 0.3:
+                best[u] = max(best.get(u, 0), len(a & b) / len(a | b))
+        for rank, (u, value) in enumerate(sorted(best.items(), key=lambda x: (-round(x[1], 9), x[0]))[:5], 1):
+            want[i, rank] = (u, round(value, 9))
+    got = resolution.retrieve_similar(spark.createDataFrame(asked, "id long, text string"), spark.createDataFrame(known, "id long, text string, urn string"))
+    assert {(r.query, r["rank"]): (r.urn, round(r.similarity, 9)) for r in got.collect()} == want
+
+
+def test_similar_texts_that_share_most_grams_make_no_row_a_pair(spark):
+    """2,000 queries and 8,000 texts of few letters: 16 million pairs share grams."""
+    letters = F.expr("array_join(transform(sequence(1, 60), i -> substring('abcd', 1 + cast(pmod(xxhash64(id, i), 4) as int), 1)), '')")
+    rows = spark.range(10_000).withColumn("text", letters)
+    began = time.time()
+    assert resolution.retrieve_similar(rows.where("id < 2000"), rows.where("id >= 2000").withColumn("urn", F.concat(F.lit("u"), "id"))).count() > 2000
+    assert time.time() - began < 30
