@@ -69,10 +69,10 @@ def attrs_text(spark, sf):
     FROM (SELECT *, regexp_replace(inner_, '[\x20\x09-\x0D]+$', '') AS trim_ FROM (SELECT t.*, substring(d.text, start + 1, "end" - start) AS inner_ FROM t_tokens t JOIN documents d USING (doc_id)))""",
 )
 def trim_span(spark, sf):
-    docs = B.documents(spark, sf).select("doc_id", "text")
-    both = T.tokenize_with_offsets(docs).join(docs, "doc_id")
-    args = (F.col("text"), F.col("start"), F.col("end"))
-    return both.select("doc_id", "pos", markup.trimmed_start(*args).alias("s"), markup.trimmed_end(*args).alias("e"))
+    # A token is the text between its bounds, so its own characters are trimmed, not cut out of the whole text again.
+    inner = (F.col("token"), F.lit(0), F.length("token"))
+    moved = lambda by: (F.col("start") + by)
+    return T.tokenize_with_offsets(B.documents(spark, sf)).select("doc_id", "pos", moved(markup.trimmed_start(*inner)).alias("s"), moved(markup.trimmed_end(*inner)).alias("e"))
 
 
 B.TABLES["t_rough"] = """SELECT DISTINCT doc_id, start, least(start + 40, n) AS "end", 'BIBL' AS type FROM (SELECT e.doc_id, e.start + (e.pos * 7) % 11 AS start, length(t.text) AS n FROM t_events e JOIN t_pages t USING (doc_id)) WHERE start < n"""
@@ -131,7 +131,7 @@ def tokenize(spark, sf):
     """SELECT doc_id, array_to_string(list_resize(x[:64], 64, '-'), '') AS fitted, CAST(least(len(x), 64) AS BIGINT) AS attended FROM (SELECT doc_id, list(token ORDER BY pos) AS x FROM t_tokens GROUP BY doc_id)""",
 )
 def fit_length(spark, sf):
-    wide = T.tokenize_with_offsets(B.documents(spark, sf)).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("x"))
+    wide = B.documents(spark, sf).where("text <> ''").select("doc_id", F.transform(T.token_array(F.col("text")), lambda x: x["token"]).alias("x"))
     attended = F.aggregate(L.attention(F.col("x"), 64), F.lit(0), lambda a, b: a + b)
     return wide.select("doc_id", F.array_join(L.fit_length(F.col("x"), 64, "-"), "").alias("fitted"), attended.alias("attended"))
 

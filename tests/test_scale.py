@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeloom.functions import sequences
-from citeloom.operators import evaluation, labelling, resolution
+from citeloom.operators import evaluation, labelling, resolution, tokens
 from citeloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +19,7 @@ def plan(df):
 
 
 @tables
-@pytest.mark.parametrize("name", ["d5_align_predictions"])
+@pytest.mark.parametrize("name", ["d5_align_predictions", "b10_trim_span", "c2_fit_length", "d3_extraction_dataset"])
 def test_documents_are_worked_on_inside_their_rows(spark, name):
     assert "hashpartitioning" not in plan(catalogue.QUERIES[name](spark, SF))
 
@@ -87,3 +87,25 @@ def test_similar_texts_that_share_most_grams_make_no_row_a_pair(spark):
     began = time.time()
     assert resolution.retrieve_similar(rows.where("id < 2000"), rows.where("id >= 2000").withColumn("urn", F.concat(F.lit("u"), "id"))).count() > 2000
     assert time.time() - began < 30
+
+
+def test_labels_inside_rows_are_those_of_the_windows(spark):
+    texts = [
+        "a [BIBL_START] b c[BIBL_END] d [QUOTE_START][CIT_START] e [CIT_END] f",
+        "[BIBL_START] open at the end",
+        "no markers here",
+        "[BIBL_END] x [QUOTE_START]\n[BIBL_START]",
+        "[CIT_START][CIT_END]",
+        "",
+        None,
+        "after an open one",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    slow = labelling.drop_markers(labelling.bio_labels(tokens.tokenize_with_offsets(docs, tokens.MARKED)))
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "pos", "start", "end", "token", "label").collect()))
+    assert rows(labelling.labelled_tokens(docs, {})) == rows(slow)
+
+
+@tables
+def test_true_labels_need_no_window(spark):
+    assert "Window" not in plan(catalogue.QUERIES["i4_length_mismatch"](spark, SF))
