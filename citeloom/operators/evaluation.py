@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from citeloom.functions import labels as L, markup, urn
 from citeloom.functions.sequences import bit_edits, diagonal_edits
 from citeloom.operators import labelling
-from citeloom.sources.storage import stored
+from citeloom.sources.storage import bound_batches, stored
 
 
 def drop_ignored(both: DataFrame) -> DataFrame:
@@ -20,7 +22,12 @@ def drop_ignored(both: DataFrame) -> DataFrame:
 def token_accuracy(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """One row: n, accuracy over positions that both have."""
     both = truth.select("doc_id", "pos", F.col("label").alias("t")).join(predicted.select("doc_id", "pos", F.col("label").alias("p")), ["doc_id", "pos"])
-    return both.agg(F.count("*").alias("n"), F.avg((F.col("t") == F.col("p")).cast("int")).alias("accuracy"))
+    return accuracy(both, F.col("t"), F.col("p"))
+
+
+def accuracy(both: DataFrame, truth: Column, predicted: Column) -> DataFrame:
+    """One row: n, accuracy of rows that hold both labels of a token."""
+    return both.agg(F.count("*").alias("n"), F.avg((truth == predicted).cast("int")).alias("accuracy"))
 
 
 def _entities(truth: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -30,6 +37,57 @@ def _entities(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     return both.groupBy("doc_id", "start", "end", "type").agg(F.max("t").alias("t"), F.max("p").alias("p"))
 
 
+def _by_type(truth: DataFrame, predicted: DataFrame) -> DataFrame:
+    """type, t, p, h: how many entities the truth has, the prediction, and both."""
+    return _entities(truth, predicted).groupBy("type").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum(F.col("t") * F.col("p")).alias("h"))
+
+
+def entity_counts(rows: DataFrame) -> DataFrame:
+    """type, t, p, h of rows (doc_id, tokens: array of structs with start and end, truth and predicted: arrays with a label for
+    each token, none null): the same counts, where both sequences of a document stand in its row. A type and batch
+    of rows gives one row to be summed."""
+    bound_batches(rows.sparkSession)
+    bounds = F.transform("tokens", lambda x: F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end")))
+    counts = rows.where("size(tokens) > 0").select(bounds.alias("tokens"), "truth", "predicted").mapInArrow(_counted, "type string, t long, p long, h long")
+    return counts.groupBy("type").agg(*(F.sum(c).alias(c) for c in ("t", "p", "h")))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tokens = batch.column("tokens")
+        first = np.asarray(tokens.offsets)[:-1] - tokens.offsets[0].as_py()
+        places = tokens.flatten()
+        start, end = (places.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end"))
+        types: dict[str, int] = {}
+        true, predicted = (_islands(batch.column(c).flatten(), first, start, end, types) for c in ("truth", "predicted"))
+        every, of = np.unique(np.concatenate([true, predicted]), axis=0, return_inverse=True)
+        of = of.reshape(-1)
+        t, p = (np.bincount(of[side], minlength=len(every)) > 0 for side in (slice(len(true)), slice(len(true), None)))
+        count = lambda which: pa.array(np.bincount(every[which, 3], minlength=len(types)))
+        yield pa.record_batch([pa.array(list(types), pa.string()), *(count(x).cast(pa.int64()) for x in (t, p, t & p))], ["type", "t", "p", "h"])
+
+
+def _islands(labels: pa.Array, first: np.ndarray, start: np.ndarray, end: np.ndarray, types: dict[str, int]) -> np.ndarray:
+    """A row (row of the document, start, end, number of the type) an entity, as decode_entities in mode "chunk" gives."""
+    known = labels.dictionary_encode()
+    names, code = known.dictionary.to_pylist(), known.indices.to_numpy(zero_copy_only=False)
+    kind = np.array([-1 if x == "O" else types.setdefault(x[2:], len(types)) for x in names], np.int64)[code]
+    begins = np.array([x[:1] == "B" for x in names], bool)[code]
+    before = np.roll(kind, 1)
+    before[first[first < len(kind)]] = -1
+    at = np.flatnonzero((kind >= 0) & (begins | (before != kind)))
+    # An entity goes up to the next one, or the next label outside.
+    stops = np.union1d(at, np.flatnonzero(kind < 0))
+    stop = np.append(stops, len(kind))[np.searchsorted(stops, at, "right")]
+    doc = np.searchsorted(first, at, "right") - 1
+    stop = np.minimum(stop, np.append(first, len(kind))[np.searchsorted(first, at, "right")])
+    n = stop - at
+    cuts = np.cumsum(n) - n
+    inner = np.arange(n.sum()) + np.repeat(at - cuts, n)
+    low, high = (np.minimum.reduceat(start[inner], cuts), np.maximum.reduceat(end[inner], cuts)) if len(at) else (start[:0], end[:0])
+    return np.column_stack([doc, low, high, kind[at]]).astype(np.int64).reshape(-1, 4)
+
+
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
 
@@ -40,13 +98,23 @@ def _scores(hit: Column, predicted: Column, true: Column) -> list[Column]:
 
 def entity_prf(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """One row: n_true, n_predicted, n_hit, precision, recall, f1 of entities with equal bounds and type."""
-    sums = _entities(truth, predicted).agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(n) for x, n in ((F.col("t"), "n_true"), (F.col("p"), "n_predicted"), (F.col("t") * F.col("p"), "n_hit"))))
+    return prf_of(_by_type(truth, predicted))
+
+
+def prf_of(counts: DataFrame) -> DataFrame:
+    """entity_prf from counts (type, t, p, h), as of entity_counts."""
+    sums = counts.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(n) for x, n in (("t", "n_true"), ("p", "n_predicted"), ("h", "n_hit"))))
     return sums.select("*", *_scores(F.col("n_hit"), F.col("n_predicted"), F.col("n_true")))
 
 
 def classification_report(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """name (a type, or micro, macro, weighted), precision, recall, f1, support."""
-    by = stored(_entities(truth, predicted).groupBy("type").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum(F.col("t") * F.col("p")).alias("h")))
+    return report_of(_by_type(truth, predicted))
+
+
+def report_of(counts: DataFrame) -> DataFrame:
+    """classification_report from counts (type, t, p, h), as of entity_counts."""
+    by = stored(counts)
     score = ["precision", "recall", "f1"]
     types = by.select(F.col("type").alias("name"), *_scores(F.col("h"), F.col("p"), F.col("t")), F.col("t").alias("support"))
     micro = by.agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum("h").alias("h")).select(F.lit("micro").alias("name"), *_scores(F.col("h"), F.col("p"), F.col("t")), F.col("t").alias("support"))

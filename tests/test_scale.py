@@ -109,3 +109,24 @@ def test_labels_inside_rows_are_those_of_the_windows(spark):
 @tables
 def test_true_labels_need_no_window(spark):
     assert "Window" not in plan(catalogue.QUERIES["i4_length_mismatch"](spark, SF))
+
+
+@tables
+@pytest.mark.parametrize("name", ["i1_token_accuracy", "i2_entity_prf", "i3_classification_report"])
+def test_labels_are_compared_inside_rows(spark, name):
+    """Nothing is joined or ordered; what is shuffled are sums."""
+    text = plan(catalogue.QUERIES[name](spark, SF))
+    assert "Window" not in text and "Join" not in text
+
+
+def test_entities_counted_inside_rows_are_those_of_the_windows(spark):
+    import random
+
+    chance = random.Random(11)
+    labels = lambda n: [chance.choice(("O", "B-BIBL", "I-BIBL", "B-QUOTE", "I-QUOTE", "I-CIT")) for _ in range(n)]
+    rows = [(k, [(3 * i, 3 * i + 2) for i in range(n)], labels(n), labels(n)) for k in range(60) for n in [chance.choice((0, 1, 2, 9))]]
+    wide = spark.createDataFrame(rows + [(60, None, None, None)], "doc_id long, tokens array<struct<start:int,end:int>>, truth array<string>, predicted array<string>")
+    long = lambda c: wide.selectExpr("doc_id", f"posexplode(arrays_zip(tokens, {c})) as (pos, x)").selectExpr("doc_id", "pos", "x.tokens.start", "x.tokens.end", f"x.{c} as label")
+    want = evaluation._by_type(long("truth"), long("predicted"))
+    counts = lambda df: sorted(map(tuple, df.select("type", "t", "p", "h").collect()))
+    assert counts(evaluation.entity_counts(wide)) == counts(want)
