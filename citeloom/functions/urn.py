@@ -4,24 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from citeloom.functions.arrays import let
+
 
 def parse(urn: Column) -> Column:
     """struct<namespace, author, work, edition, passage>; null unless the urn has a namespace and an author.
 
     ``work`` is author and work joined, as identifiers are only unique so; missing parts are null.
     """
-    part, text = F.split(urn, ":"), lambda c: F.when(c != "", c)
-    dotted = F.split(F.get(part, F.lit(3)), "\\.")
-    author, work = text(F.get(dotted, F.lit(0))), text(F.get(dotted, F.lit(1)))
-    fields = F.struct(
-        text(F.get(part, F.lit(2))).alias("namespace"),
-        author.alias("author"),
-        F.when(work.isNotNull(), F.concat(author, F.lit("."), work)).alias("work"),
-        text(F.get(dotted, F.lit(2))).alias("edition"),
-        text(F.get(part, F.lit(4))).alias("passage"),
-    )
-    fine = urn.startswith("urn:cts:") & text(F.get(part, F.lit(2))).isNotNull() & author.isNotNull()
-    return F.when(fine, fields)
+    text = lambda c: F.when(c != "", c)
+
+    def parts(part: Column, dotted: Column) -> Column:
+        author, work = text(F.get(dotted, F.lit(0))), text(F.get(dotted, F.lit(1)))
+        fields = F.struct(
+            text(F.get(part, F.lit(2))).alias("namespace"),
+            author.alias("author"),
+            F.when(work.isNotNull(), F.concat(author, F.lit("."), work)).alias("work"),
+            text(F.get(dotted, F.lit(2))).alias("edition"),
+            text(F.get(part, F.lit(4))).alias("passage"),
+        )
+        return F.when((F.get(part, F.lit(0)) == "urn") & (F.get(part, F.lit(1)) == "cts") & text(F.get(part, F.lit(2))).isNotNull() & author.isNotNull(), fields)
+
+    # Split once, however many parts are named: a filter would otherwise split anew for each.
+    return let(F.split(urn, ":"), lambda part: let(F.split(F.get(part, F.lit(3)), "\\."), lambda dotted: parts(part, dotted)))
 
 
 def passage(citation: Column) -> Column:

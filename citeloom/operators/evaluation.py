@@ -165,8 +165,11 @@ def before_after_distance(gold: DataFrame, predicted: DataFrame, untagged: DataF
 def urn_metrics(ranked: DataFrame, k: int = 3) -> DataFrame:
     """ranked (id, truth, candidate, rank from 1): one row of exact, author, work and passage accuracy of the first
     candidate, coverage, and the share of truths among the first k."""
-    t, c = urn.parse(F.col("truth")), urn.parse(F.col("candidate"))
-    rows = ranked.select("id", "rank", (F.col("truth") == F.col("candidate")).alias("exact"), F.col("candidate").isNotNull().alias("covered"), *((t[p] == c[p]).alias(p) for p in ("author", "work", "passage")))
+    # Parts are compared of first candidates alone, so no other is taken apart.
+    of_first = lambda c: urn.parse(F.when(F.col("rank") <= 1, F.col(c)))
+    rows = ranked.withColumns({"t": of_first("truth"), "c": of_first("candidate")})
+    t, c = F.col("t"), F.col("c")
+    rows = rows.select("id", "rank", (F.col("truth") == F.col("candidate")).alias("exact"), F.col("candidate").isNotNull().alias("covered"), *((t[p] == c[p]).alias(p) for p in ("author", "work", "passage")))
     flag = lambda c, top: F.max(F.coalesce(F.when(F.col("rank") <= top, F.col(c)), F.lit(False)).cast("int")).alias(c if top == 1 else "top")
     by = rows.groupBy("id").agg(*(flag(c, 1) for c in ("exact", "author", "work", "passage", "covered")), flag("exact", k))
     return by.agg(F.count("*").alias("n"), *(F.avg(c).alias(n) for c, n in (("exact", "exact"), ("author", "author_accuracy"), ("work", "work_accuracy"), ("passage", "passage_accuracy"), ("covered", "coverage"), ("top", "precision_at_k"))))
@@ -176,6 +179,5 @@ def threshold_sweep(scored: DataFrame, thresholds: Sequence[float]) -> DataFrame
     """scored (confidence, correct): threshold, coverage, precision. Every row is read once for all thresholds."""
     rows = scored.withColumn("threshold", F.explode(F.array(*map(F.lit, sorted(set(thresholds))))))
     taken = F.coalesce(F.col("confidence") >= F.col("threshold"), F.lit(False)).cast("int")
-    rows = rows.select("doc_id", bit_edits(F.col("a"), F.col("b")).alias("edits"), F.greatest(F.length("a"), F.length("b")).alias("length"))
     sums = rows.groupBy("threshold").agg(F.count("*").alias("n"), F.sum(taken).alias("taken"), F.sum(taken * F.col("correct").cast("int")).alias("right"))
     return sums.select("threshold", (F.col("taken") / F.col("n")).alias("coverage"), _ratio(F.col("right"), F.col("taken")).alias("precision"))

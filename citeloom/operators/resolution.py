@@ -63,8 +63,8 @@ def frequencies(citations: DataFrame, key: Column) -> tuple[DataFrame, DataFrame
     return p_author, p_work
 
 
-def rank_candidates(queries: DataFrame, p_author: DataFrame, p_work: DataFrame, k: int = 3) -> DataFrame:
-    """queries (id, key): id, author, work, confidence, rank: k authors by p, k works of each by p, by the product.
+def rank_candidates(queries: DataFrame, p_author: DataFrame, p_work: DataFrame, k: int = 3, keep: Sequence[str] = ()) -> DataFrame:
+    """queries (id, key): id, author, work, confidence, rank, and the columns keep of the query: k authors by p, k works of each by p, by the product.
 
     A query without any candidate keeps one row with nulls, confidence 0 and rank 1.
     """
@@ -78,8 +78,8 @@ def rank_candidates(queries: DataFrame, p_author: DataFrame, p_work: DataFrame,
     # At most k * k rows a key: few keys go to every task, so a key that many queries ask for isn't one task's.
     if best.count() <= BROADCAST_ROWS:
         best = F.broadcast(best)
-    out = queries.select("id", "key").join(best, "key", "left")
-    return out.select("id", "author", "work", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("rank", F.lit(1)).alias("rank"))
+    out = queries.select("id", "key", *keep).join(best, "key", "left")
+    return out.select("id", *keep, "author", "work", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("rank", F.lit(1)).alias("rank"))
 
 
 def assemble_urn(rows: DataFrame) -> DataFrame:
@@ -213,7 +213,8 @@ def confidence_features(citations: DataFrame) -> DataFrame:
 def synthetic_negatives(citations: DataFrame, seed: int = 42) -> DataFrame:
     """id, work, wrong_work, kind: another work of the author ('within'), if it has one, and the work of a next
     author in the order of chance ('outside'), if there is one."""
-    rows = _parsed(citations).where("parsed.work is not null").select("id", "parsed.author", "parsed.work")
+    # Made once: it is read for each kind, and for its works.
+    rows = stored(_parsed(citations).where("parsed.work is not null").select("id", "parsed.author", "parsed.work"))
     works = rows.select("author", "work").distinct().withColumn("chance", F.md5(F.concat_ws(":", F.lit(seed), "work")))
     inside = Window.partitionBy("author").orderBy("chance", "work")
     whole = Window.partitionBy("author")

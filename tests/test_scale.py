@@ -130,3 +130,24 @@ def test_entities_counted_inside_rows_are_those_of_the_windows(spark):
     want = evaluation._by_type(long("truth"), long("predicted"))
     counts = lambda df: sorted(map(tuple, df.select("type", "t", "p", "h").collect()))
     assert counts(evaluation.entity_counts(wide)) == counts(want)
+
+
+@tables
+def test_citations_of_negatives_are_made_once(spark):
+    """One read of the stored citations for each use, none of the documents."""
+    assert "documents" not in plan(catalogue.QUERIES["j12_synthetic_negatives"](spark, SF))
+
+
+@tables
+def test_candidates_bring_their_truth_along(spark):
+    text = plan(catalogue.QUERIES["i8_urn_metrics"](spark, SF))
+    assert "documents" not in text and "SortMergeJoin" not in text
+
+
+def test_urn_parts(spark):
+    from citeloom.functions import urn
+
+    texts = ["urn:cts:a:b.c.d:1.2", "urn:cts:a:b", "urn:cts:a:b..d:", "urn:cts::b.c", "urn:cts:a:.c", "urn:cts:", "urn:cts", "urn:ctsx:a:b", "", None, "urn:cts:a:b.c.d.e:1:2"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, urn string").select("id", urn.parse(F.col("urn")).alias("p"))
+    got = {r.id: r.p and tuple(r.p) for r in rows.collect()}
+    assert got == {0: ("a", "b", "b.c", "d", "1.2"), 1: ("a", "b", None, None, None), 2: ("a", "b", None, "d", None), 10: ("a", "b", "b.c", "d", "1")} | dict.fromkeys(range(3, 10))
