@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from citeloom.sources.storage import bound_batches
+
 #: The fields of a citation record, all strings.
 CITATION = "bibl string, quote string, xml_context string, filename string, urn string, ref string, n_attrib string, doc_cit_urn string"
 EXAMPLE = "xml_context string, window_text string, filename string"
@@ -67,12 +74,26 @@ def _decoded(content: pd.Series, charset: pd.Series) -> pd.Series:
     return pd.Series([one(*x) for x in zip(content, charset)], dtype=object)
 
 
-def read_xml_corpus(spark: SparkSession, path: str | list[str], glob: str = "*.xml") -> DataFrame:
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each file in tar archives, a batch for each archive."""
+    for batch in batches:
+        for path, content in zip(batch.column("path"), batch.column("content")):
+            # Padding may be a whole block of zeros, which would end the archive.
+            with tarfile.open(fileobj=io.BytesIO(content.as_py()), ignore_zeros=True) as archive:
+                held = [(f"{path}/{member.name}", archive.extractfile(member).read()) for member in archive if member.isfile()]
+            yield pa.record_batch([pa.array([x[k] for x in held], kind) for k, kind in enumerate((pa.string(), pa.binary()))], ["path", "content"])
+
+
+def read_xml_corpus(spark: SparkSession, path: str | list[str], glob: str = "*.xml", archives: bool = False) -> DataFrame:
     """filename, text, charset of every file: decoded by the charset that its XML declaration names, else as UTF-8.
 
-    A file that begins with a byte order mark is UTF-16 or UTF-8 by that. Of an unknown charset text is null.
+    A file that begins with a byte order mark is UTF-16 or UTF-8 by that. Of an unknown charset text is null. archives:
+    what is read are tar archives, and each file in one of them is a row; an archive is opened by one task.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+    if archives:
+        bound_batches(spark)
+        files = files.mapInArrow(_members, files.schema)
     mark = F.hex(F.substring("content", 1, 4))
     head = F.replace(F.decode(F.substring("content", 1, 400), "ISO-8859-1"), F.lit("\x00"), F.lit(""))
     name = F.upper(F.regexp_extract(head, r"""^[^<]{0,4}\s*<\?xml[^>]*encoding=["']([A-Za-z0-9._-]+)["']""", 1))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import tarfile
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def write_splits(df: DataFrame, path: str) -> None:
@@ -58,6 +60,26 @@ def write_windows(df: DataFrame, path: str) -> None:
     df.select("window_text", "filename").write.mode("overwrite").json(path)
 
 
+@F.pandas_udf(T.StringType())
+def _member_head(name: pd.Series, size: pd.Series) -> pd.Series:
+    def one(name: str, size: int) -> str:
+        info = tarfile.TarInfo(name)
+        info.size = size
+        return info.tobuf(tarfile.PAX_FORMAT).decode()
+
+    return pd.Series([one(*x) for x in zip(name, size)], dtype=object)
+
+
+def write_archives(files: DataFrame, path: str, members: int = 16) -> None:
+    """files (name, text) in UTF-8, inside tar archives of at most so many: one file a text costs the file system more than its
+    content does. Padding that fills a block alone needs ignore_zeros (tar -i)."""
+    size = F.octet_length("text")
+    # The end of a line is the last character of the padding.
+    padding = F.repeat(F.lit("\0"), F.pmod(-(size + 1), F.lit(512)))
+    rows = files.select(F.concat(_member_head("name", size), "text", padding).alias("value"))
+    rows.write.option("lineSep", "\0").option("maxRecordsPerFile", members).text(path)
+
+
 def write_evaluation(metrics: DataFrame, report: DataFrame, records: DataFrame, path: str) -> None:
     for name, df in (("metrics", metrics), ("report", report), ("predictions", records)):
         df.write.mode("overwrite").json(f"{path}/{name}")

@@ -187,3 +187,36 @@ def test_shingle_sets_are_cut_outside_the_plan_and_counted_by_hashing(spark, mon
     monkeypatch.setattr(leakage, "pair_similarity", lambda pairs, sets: asked.append({r.id for r in sets.collect()}) or of(pairs, sets))
     assert {(r.id1, r.id2) for r in leakage.fuzzy_leaks(spark.createDataFrame([(0, "a b c d e f", "x"), (1, "a b c d e f!", "y"), (2, "a b c d e  f", "y"), (3, "q r s t u v", "x")], "id long, text string, split string"), 0.9).collect()} == {(0, 2)}
     assert asked == [{0, 2}]
+
+
+@tables
+def test_xml_files_stand_in_archives(spark, monkeypatch):
+    """A hundred or more files to read, of which 16 or fewer share a file of the file system."""
+    from citeloom.sources import storage
+
+    made = []
+    of = storage.new_path
+    monkeypatch.setattr(storage, "new_path", lambda *x: made.append(of(*x)) or made[-1])
+    n = catalogue.QUERIES["a5_read_xml_corpus"](spark, SF).count()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(made[0]).count()
+    assert n / 16 <= files < n / 2
+
+
+def test_files_in_archives_are_read_as_they_are(spark, tmp_path):
+    """Sizes that end in, before and on a block, long and foreign names, a charset that isn't UTF-8."""
+    import tarfile
+
+    from citeloom.sources import readers, writers
+
+    texts = {f"{'d' * k}é/{k}.xml": "é" + "x" * k for k in (0, 1, 100, 300)} | {f"{k}.xml": "x" * k for k in (1, 510, 511, 512, 513, 1024)}
+    files = spark.createDataFrame(list(texts.items()), "name string, text string").coalesce(1)
+    writers.write_archives(files, f"{tmp_path}/a", 4)
+    got = readers.read_xml_corpus(spark, f"{tmp_path}/a", "*.txt", archives=True).collect()
+    assert {r.filename.split(".txt/")[1]: r.text for r in got} == texts and len(got) == len(texts)
+    assert len(list((tmp_path / "a").glob("*.txt"))) == 3
+    inner = tmp_path / "x.xml"
+    inner.write_bytes('<?xml version="1.0" encoding="windows-1252"?><p>“€”</p>'.encode("windows-1252"))
+    with tarfile.open(tmp_path / "b.tar.gz", "w:gz") as archive:
+        archive.add(inner, "d/x.xml")
+    (row,) = readers.read_xml_corpus(spark, str(tmp_path), "*.tar.gz", archives=True).collect()
+    assert row.filename.endswith("/b.tar.gz/d/x.xml") and row.charset == "WINDOWS-1252" and row.text.endswith("<p>“€”</p>")
