@@ -220,3 +220,22 @@ def test_files_in_archives_are_read_as_they_are(spark, tmp_path):
         archive.add(inner, "d/x.xml")
     (row,) = readers.read_xml_corpus(spark, str(tmp_path), "*.tar.gz", archives=True).collect()
     assert row.filename.endswith("/b.tar.gz/d/x.xml") and row.charset == "WINDOWS-1252" and row.text.endswith("<p>“€”</p>")
+
+
+def test_labels_of_texts_are_those_of_their_windows(spark, monkeypatch):
+    texts = ["", None, "a", "A b. C  ", " \n", " ".join(f"t{i}é" for i in range(900)), "x" * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes = lambda: lambda windows: [[f"B-{len(w)}{t.strip()[:1]}" for t in w] for w in windows]
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "window_idx", "n", "pos", "start", "end", "token", "label").collect()))
+    for size, stride in ((16, 8), (7, 3), (5, 5)):
+        got = labelling.label_texts(docs, sizes, size, stride)
+        assert "Generate" not in plan(got)
+        assert rows(got) == rows(labelling.label_windows(tokens.windows(docs, size, stride), sizes, size))
+    with pytest.raises(Exception, match="each token"):
+        labelling.label_texts(docs, lambda: lambda windows: [["O"] for _ in windows], 16, 8).collect()
+
+
+@tables
+def test_windows_are_labelled_in_one_pass(spark):
+    """A token goes to Python once: no window is made of structures of columns."""
+    assert "Generate" not in plan(catalogue.QUERIES["d5_label_windows"](spark, SF))
