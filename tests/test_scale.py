@@ -239,3 +239,45 @@ def test_labels_of_texts_are_those_of_their_windows(spark, monkeypatch):
 def test_windows_are_labelled_in_one_pass(spark):
     """A token goes to Python once: no window is made of structures of columns."""
     assert "Generate" not in plan(catalogue.QUERIES["d5_label_windows"](spark, SF))
+
+
+def test_spans_inside_rows_win_as_in_tables(spark):
+    """Labels by chance over several documents, spans that are empty, adjoin tokens, overlap, or lie outside."""
+    import random
+
+    chance = random.Random(13)
+    kinds = ("O", "B-BIBL", "I-BIBL", "B-QUOTE", "I-QUOTE", "I-CIT")
+    rows, existing = [], []
+    for k in range(80):
+        n = chance.choice((0, 1, 2, 12))
+        words = [chance.choice(("a", " bb", "\n cé")) for _ in range(n)]
+        spans = [(s, s + chance.choice((0, 0, 1, 2, 5)), chance.choice(("BIBL", "QUOTE", "CIT"))) for s in (chance.randrange(25) for _ in range(chance.randrange(4)))]
+        rows.append((k, words, [chance.choice(kinds) for _ in range(n)], spans))
+        existing += [(k, *x) for x in spans]
+    wide = spark.createDataFrame(rows + [(80, [], [], [])], "doc_id long, tokens array<string>, labels array<string>, spans array<struct<start:int,end:int,type:string>>").coalesce(2)
+    long = [(k, i, sum(map(len, w[:i])), sum(map(len, w[: i + 1])), x[i]) for k, w, x, _ in rows for i in range(len(w))]
+    predicted = spark.createDataFrame(long, "doc_id long, pos int, start int, end int, label string")
+    want = labelling.resolve_against_existing(predicted, spark.createDataFrame(existing, "doc_id long, start int, end int, type string"))
+    assert sorted(map(tuple, labelling.resolve_arrays(wide).collect())) == sorted(map(tuple, want.collect()))
+
+
+@tables
+def test_labels_against_spans_are_resolved_inside_rows(spark):
+    text = plan(catalogue.QUERIES["d7_resolve_against_existing"](spark, SF))
+    assert "Join" not in text and "Window" not in text and "hashpartitioning" not in text
+
+
+def test_spans_in_rows_are_those_of_events(spark):
+    import random
+
+    from citeloom.operators import lexing
+
+    chance = random.Random(17)
+    parts = ["<p>", "</p>", "<P n='1' >", "<p/>", '<h1 a="x"/>', "<h1\n>", "</h1 >", "</h1/>", "<pre>", "<p:x>", "\u00e9\U0001d11e", " a ", "<", "<!-- <p> -->", "<script>1<p></script>", "<![CDATA[</p>]]>", "<p"]
+    texts = [None, "", "<p></p>"] + ["".join(chance.choice(parts) for _ in range(chance.randrange(14))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    types = {"p": "QUOTE", "h1": "BIBL", "script": "CIT"}
+    text, spans = lexing.strip_with_spans(docs, types)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(text) == rows(lexing.without_tags(docs, list(types)))
+    assert rows(spans) == rows(lexing.spans_of(lexing.markup_events(docs), types))
