@@ -267,6 +267,13 @@ def test_labels_against_spans_are_resolved_inside_rows(spark):
     assert "Join" not in text and "Window" not in text and "hashpartitioning" not in text
 
 
+@tables
+def test_crossing_spans_are_dropped_inside_rows(spark):
+    """No spans of many documents are sorted or hashed in one task."""
+    text = plan(catalogue.QUERIES["e3_drop_crossing"](spark, SF))
+    assert "hashpartitioning" not in text and "Window" not in text and "Sort " not in text
+
+
 def test_spans_in_rows_are_those_of_events(spark):
     import random
 
