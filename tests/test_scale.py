@@ -288,3 +288,25 @@ def test_spans_in_rows_are_those_of_events(spark):
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(text) == rows(lexing.without_tags(docs, list(types)))
     assert rows(spans) == rows(lexing.spans_of(lexing.markup_events(docs), types))
+
+
+def test_entities_found_inside_rows_are_those_of_tables(spark):
+    import random
+
+    from citeloom.operators import lexing
+
+    chance = random.Random(19)
+    parts = ["Foo", " bar", "\n", "  ", ".", "<i>", "</i>", "é", "<", " <b> ", "<p>", "</p>", " Baz"]
+    docs = spark.createDataFrame([(k, "".join(chance.choice(parts) for _ in range(chance.choice((0, 1, 3, 30))))) for k in range(150)], "doc_id long, text string")
+    kinds = ("O", "O", "B-BIBL", "I-BIBL", "B-QUOTE", "I-QUOTE")
+    predictor = lambda: lambda windows: [[kinds[(sum(map(ord, t)) + len(w) * i) % 6] for i, t in enumerate(w)] for w in windows]
+    rows = lexing.spans_in_rows(docs, {"p": "QUOTE"})
+    text, existing = rows.select("doc_id", "text"), rows.select("doc_id", F.inline("spans"))
+    ordered = lambda df: sorted(map(tuple, df.select("doc_id", "start", "end", "type").collect()))
+    for size, stride in ((8, 4), (7, 3), (4, 4)):
+        labelled = labelling.label_windows(tokens.windows(text, size, stride, lexing.text_tokens(F.col("text"), tokens.TOKEN)), predictor, size)
+        merged = tokens.merge_window_labels(labelled, size, stride).select("doc_id", "pos", "start", "end", "label")
+        merged = labelling.resolve_against_existing(merged, existing)
+        want = labelling.trim_spans(labelling.decode_entities(merged), text).where("start < end")
+        found = labelling.find_entities(rows.select("doc_id", lexing.tiles(F.col("text"), tokens.TOKEN).alias("x"), "spans"), predictor, size, stride)
+        assert "Exchange" not in plan(found).replace("RoundRobin", "") and ordered(found) == ordered(want)
