@@ -310,3 +310,20 @@ def test_entities_found_inside_rows_are_those_of_tables(spark):
         want = labelling.trim_spans(labelling.decode_entities(merged), text).where("start < end")
         found = labelling.find_entities(rows.select("doc_id", lexing.tiles(F.col("text"), tokens.TOKEN).alias("x"), "spans"), predictor, size, stride)
         assert "Exchange" not in plan(found).replace("RoundRobin", "") and ordered(found) == ordered(want)
+
+
+def test_texts_do_not_follow_their_spans(spark):
+    """A text of 200,000 characters with 400 spans, which were 80 MB, and neighbours with and without blanks between."""
+    from citeloom.operators import structure
+
+    schema = "doc_id long, start int, end int, type string, attrs string"
+    rows = [(0, 500 * k, 500 * k + 10, "BIBL", "") for k in range(400)] + [(1, 0, 2, "BIBL", "x"), (1, 3, 5, "BIBL", ""), (1, 5, 7, "QUOTE", ""), (1, 9, 10, "QUOTE", "")]
+    docs = spark.createDataFrame([(0, "ab cd" * 40_000), (1, "aa bbccd e")], "doc_id long, text string")
+    df = spark.createDataFrame(rows, schema)
+    merged = structure.merge_adjacent(df, docs)
+    # The documents are joined with one row a document: an aggregate stands below that join.
+    assert "collect_set" in plan(merged)
+    assert sorted(map(tuple, merged.where("doc_id = 1").collect())) == [(1, 0, 5, "BIBL", "x"), (1, 5, 7, "QUOTE", ""), (1, 9, 10, "QUOTE", "")]
+    assert merged.where("doc_id = 0").count() == 400
+    assert [tuple(r) for r in structure.wrap_pairs(merged, docs).collect()] == [(1, 0, 7, "CIT", "")]
+    assert structure.merge_adjacent(df, docs, 0).where("doc_id = 1").count() == 4
